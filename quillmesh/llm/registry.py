@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import secrets, tokenfiles
+from quillmesh.llm import png, secrets, tokenfiles
 
 
 def queries():
-    return {"op8_secrets": secrets.op8_secrets, "op9_token_files": tokenfiles.op9_token_files}
+    return {"op7_png": png.op7_png, "op8_secrets": secrets.op8_secrets, "op9_token_files": tokenfiles.op9_token_files}
 
 
 def oracle_sql():

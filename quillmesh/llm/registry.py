@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import png, secrets, tokenfiles
+from quillmesh.llm import fmindex, png, secrets, tokenfiles
 
 
 def queries():
-    return {"op7_png": png.op7_png, "op8_secrets": secrets.op8_secrets, "op9_token_files": tokenfiles.op9_token_files}
+    return {
+        "op6_fm_index": fmindex.op6_fm_index,
+        "op7_png": png.op7_png,
+        "op8_secrets": secrets.op8_secrets,
+        "op9_token_files": tokenfiles.op9_token_files,
+    }
 
 
 def oracle_sql():
-    return {"op8_secrets": secrets.OP8_ORACLE}
+    return {
+        "op6_fm_index": fmindex.OP6_ORACLE,
+        "op8_secrets": secrets.OP8_ORACLE,
+    }

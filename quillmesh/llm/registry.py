@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import fmindex, png, secrets, tokenfiles
+from quillmesh.llm import fmindex, png, secrets, substrings, tokenfiles
 
 
 def queries():
     return {
+        "op4_substrings": substrings.op4_substrings,
         "op6_fm_index": fmindex.op6_fm_index,
         "op7_png": png.op7_png,
         "op8_secrets": secrets.op8_secrets,
@@ -16,6 +17,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_substrings": substrings.OP4_ORACLE,
         "op6_fm_index": fmindex.OP6_ORACLE,
         "op8_secrets": secrets.OP8_ORACLE,
     }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import fmindex, png, secrets, substrings, tokenfiles
+from quillmesh.llm import dartminhash, fmindex, png, secrets, substrings, tokenfiles
 
 
 def queries():
     return {
         "op4_substrings": substrings.op4_substrings,
+        "op5_dart_minhash": dartminhash.op5_dart_minhash,
         "op6_fm_index": fmindex.op6_fm_index,
         "op7_png": png.op7_png,
         "op8_secrets": secrets.op8_secrets,

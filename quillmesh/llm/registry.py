@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import dartminhash, fmindex, personal, png, secrets, substrings, tokenfiles
+from quillmesh.llm import dartminhash, fmindex, personal, png, secrets, substrings, tokenfiles, toxicity
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_personal": personal.op2_personal,
         "op4_substrings": substrings.op4_substrings,
         "op5_dart_minhash": dartminhash.op5_dart_minhash,

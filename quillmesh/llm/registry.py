@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import dartminhash, fmindex, personal, png, secrets, substrings, tokenfiles, toxicity
+from quillmesh.llm import dartminhash, fmindex, personal, pieces, png, secrets, substrings, tokenfiles, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op7_png": png.op7_png,
         "op8_secrets": secrets.op8_secrets,
         "op9_token_files": tokenfiles.op9_token_files,
+        "op10_pieces": pieces.op10_pieces,
     }
 
 

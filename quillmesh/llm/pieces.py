@@ -66,39 +66,42 @@ def double_array(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray,
                 ends.append(-1)
             node = children[node][c]
         ends[node] = ident
-    size = 1024
+    size = 1 << 12
     base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
     used = bytearray(size)
     used[0] = 1
-    place, todo, free = {0: 0}, [0], 1
+    place, todo, free, roomy = {0: 0}, [0], 1, 1
     while todo:
         node = todo.pop()
         at = place[node]
         value[at] = ends[node]
-        kids = children[node]
-        if not kids:
+        order = sorted(children[node])
+        if not order:
             base[at] = -1
             continue
-        order = sorted(kids)
-        while used[free]:
-            free += 1
-            if free + 512 >= size:
+        low, slot, tries = order[0], free if len(order) == 1 else roomy, 0
+        while True:
+            slot = used.find(0, max(slot, low))  # where the first child may go
+            if slot < 0 or slot + 256 >= size:
                 base, check, value = (np.concatenate([x, np.full(size, f, np.int64)]) for x, f in ((base, 0), (check, -1), (value, -1)))
                 used += bytes(size)
+                slot = size - 256 if slot < 0 else slot
                 size *= 2
-        slot, low = free, order[0]
-        while used[slot] or slot < low or any(used[slot - low + c] for c in order):
+                continue
+            if not any(used[slot - low + c] for c in order):
+                break
             slot += 1
-            if slot + 512 >= size:
-                base, check, value = (np.concatenate([x, np.full(size, f, np.int64)]) for x, f in ((base, 0), (check, -1), (value, -1)))
-                used += bytes(size)
-                size *= 2
+            tries += 1
+        if len(order) == 1:
+            free = max(free, slot - 256)
+        elif tries > 32:
+            roomy = slot  # below, the array is nearly full
         base[at] = slot - low
         for c in order:
             used[slot - low + c] = 1
             check[slot - low + c] = at
-            place[kids[c]] = slot - low + c
-            todo.append(kids[c])
+            place[children[node][c]] = slot - low + c
+            todo.append(children[node][c])
     return base, check, value
 
 

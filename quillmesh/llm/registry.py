@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import dartminhash, fmindex, personal, pieces, png, secrets, substrings, tokenfiles, toxicity
+from quillmesh.llm import dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_personal": personal.op2_personal,
+        "op3_main_text": templates.op3_main_text,
         "op4_substrings": substrings.op4_substrings,
         "op5_dart_minhash": dartminhash.op5_dart_minhash,
         "op6_fm_index": fmindex.op6_fm_index,

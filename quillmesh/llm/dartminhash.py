@@ -14,9 +14,11 @@ probability 3e-6. The classes are the connected components of all pairs that sha
 a band and whose exact similarity is `THRESHOLD` or more:
 
 1. Equal texts are one node.
-2. Each band's bucket is compared with one member of it, so a large bucket costs its size.
-3. Buckets whose members are still in several components are compared across these only;
-   whether two nodes agree in enough coordinates is tested first.
+2. Each band's bucket is compared with one member of it, the one that meets the most others,
+   so a large bucket costs its size.
+3. Buckets whose members are still in several components are compared across these only,
+   and only where two nodes can be similar: what they have in common is at most what either
+   shares with any other node. Agreement in enough coordinates is tested before the exact check.
 
 Defined cases: null is the empty text; texts without words are equal to each other only
 where they are the same text; equal rows are in one class; a null doc_id is a document
@@ -191,24 +193,28 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool =
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
 
     each = nodes.select("node", F.explode("bands").alias("key"))
-    # another member of a bucket for each fourth of the keys, so that a class is tried against several
-    pick = F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))).alias("h"), F.col("node").alias("pivot")))
-    buckets = each.groupBy("key").agg(pick.alias("p"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("key", "p.pivot")
-    members = written(each.join(buckets, "key").select("key", "node", "pivot"), "members")
-    some = members.select("node").distinct()
-    texts = rows.select("node", "text").dropDuplicates(["node"]).join(some, "node", "left_semi")
+    buckets = each.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    members = written(each.join(buckets, "key"), "members")
+    # a bucket's pivot is its member that meets the most others over all bands, which in a class is the one they vary
+    met = members.groupBy("node").agg(F.sum("times").alias("met"))
+    pivots = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    texts = rows.select("node", "text").dropDuplicates(["node"]).join(met, "node", "left_semi")
     lists = written(texts.mapInArrow(_element_lists, "node long, elements array<long>, times array<int>"), "elements")
 
     signs = nodes.select("node", "sig")
-    first = members.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    star = members.join(pivots, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    first = written(star, "pairs")
     links = written(_similar(_agreeing(first, signs, threshold), lists, weighted, threshold), "links")
     labels = components(links)
     # buckets that still hold several components
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    apart = named.join(split, "key")
-    one, two = apart.select("key", F.col("node").alias("x"), F.col("label").alias("lx")), apart.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-    across = one.join(two, "key").filter("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = written(named.join(split, "key"), "apart")
+    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node"), weighted), "node")
+    one, two = (sized.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "total", "shared"))) for k in "xy")
+    # what two texts have in common is at most what either shares with any other
+    possible = F.least("shared_x", "shared_y") * (1 + threshold) >= threshold * (F.col("total_x") + F.col("total_y"))
+    across = one.join(two, "key").filter((F.col("label_x") < F.col("label_y")) & possible).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     across = across.join(first, ["a", "b"], "left_anti")
     more = written(_similar(_agreeing(across, signs, threshold), lists, weighted, threshold), "links")
     if not more.isEmpty():
@@ -220,6 +226,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool =
     return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id")
 
 
+def _shared_weight(lists: DataFrame, weighted: bool) -> DataFrame:
+    """node, total (its weight), shared (the weight of its elements that another of these nodes has too)."""
+    weight = F.col("e.times") if weighted else F.lit(1)
+    each = lists.select("node", F.explode(F.arrays_zip("elements", "times")).alias("e")).select("node", F.col("e.elements").alias("element"), weight.cast("long").alias("w"))
+    own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.min("w").alias("w")).filter("nodes = 1").groupBy("node").agg(F.sum("w").alias("own"))
+    total = F.aggregate("times", F.lit(0).cast("long"), lambda n, x: n + x) if weighted else F.size("elements").cast("long")
+    return lists.select("node", total.alias("total")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def _agreeing(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) that agree in enough coordinates to be worth an exact check."""
     least = AGREE - max(0.0, THRESHOLD - threshold) * COORDINATES

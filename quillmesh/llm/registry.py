@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillmesh.llm import dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
 
 
@@ -17,11 +18,13 @@ def queries():
         "op8_secrets": secrets.op8_secrets,
         "op9_token_files": tokenfiles.op9_token_files,
         "op10_pieces": pieces.op10_pieces,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {
+    found = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return found | {
         "op4_substrings": substrings.OP4_ORACLE,
         "op6_fm_index": fmindex.OP6_ORACLE,
         "op8_secrets": secrets.OP8_ORACLE,

@@ -44,10 +44,10 @@ MANIFEST = "file int, path string, n_docs long, n_tokens long"
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct chunk of a worker once.
 
-    A byte-level vocabulary's pre-tokenizer breaks before every single space that
-    stands between two other characters, so where a text's only white space is such
-    spaces and line ends off those spaces, its chunks between spaces can be encoded
-    apart. Any other text is encoded as a whole.
+    A byte-level vocabulary's pre-tokenizer breaks before every single space and around
+    one or two line ends that stand between other characters, so where these are a text's
+    only white space, what lies between the breaks can be encoded apart, and so can
+    a comma or full stop behind a letter. Any other text is encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,50 +58,52 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.newline = self._ids("\n")
-        self.known: dict[str, bytes] = {}
+        self.fixed = {c: self._bytes(c) for c in ("", "\n", ",", ".")}
+        self.known: dict[str, bytes] = dict(self.fixed)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype=np.uint16).tobytes()
+
     @staticmethod
     def plain(text: str) -> bool:
-        """Whether the text can be cut before its spaces."""
-        words = text.replace("\n", "x")
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        """Whether the text can be cut before its spaces and around its line ends."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\0" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
             return False
-        return len(words.split()) == words.count(" ") + 1  # no other white space
+        return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")  # no other white space
+
+    @staticmethod
+    def _stem(chunk: str) -> str:
+        """The chunk without a comma or full stop behind a letter."""
+        return chunk[:-1] if chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha() else chunk
 
     def learn(self, chunks: set[str]) -> None:
-        """Encodes what is not known yet; chunks without a line end go together, one a line."""
+        """Encodes what is not known yet, many chunks together, one a line."""
         new = [c for c in chunks if c not in self.known]
-        lines = [c for c in new if "\n" not in c]
-        if len(self.newline) == 1:
-            for at in range(0, len(lines), 4096):
-                part = lines[at : at + 4096]
-                ids = np.array(self._ids("\n".join(part)), dtype=np.uint16)
-                cuts = np.flatnonzero(ids == self.newline[0])
-                if len(cuts) == len(part) - 1:
-                    low = [0, *(cuts + 1).tolist()]
-                    high = [*cuts.tolist(), len(ids)]
-                    for c, a, b in zip(part, low, high, strict=True):
-                        self.known[c] = ids[a:b].tobytes()
-                else:
-                    new += part
+        lines = list({s for s in map(self._stem, new) if s not in self.known})
+        for at in range(0, len(lines), 4096):
+            part = lines[at : at + 4096]
+            ids = np.array(self._ids("\n".join(part)), dtype=np.uint16)
+            cuts = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else np.zeros(0, int)
+            if len(cuts) == len(part) - 1:
+                low = [0, *(2 * cuts + 2).tolist()]
+                high = [*(2 * cuts).tolist(), 2 * len(ids)]
+                data = ids.tobytes()
+                for c, a, b in zip(part, low, high, strict=True):
+                    self.known[c] = data[a:b]
+            else:
+                self.known |= {c: self._bytes(c) for c in part}
         for c in new:
             if c not in self.known:
-                self.known[c] = np.array(self._ids(c), dtype=np.uint16).tobytes()
+                self.known[c] = self.known[c[:-1]] + self.fixed[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if self.plain(text):
-                first, *rest = text.split(" ")
-                cut.append([first, *(" " + c for c in rest)])
-            else:
-                cut.append(None)
+        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.plain(t) else None for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known = dict(self.fixed)
         self.learn({c for x in cut if x is not None for c in x})
         whole = iter(self.tokenizer.encode_batch([t for t, x in zip(texts, cut, strict=True) if x is None], add_special_tokens=False))
         get = self.known.__getitem__

@@ -1,11 +1,263 @@
-"""The registry of queries over the knowledge model."""
+"""The queries over the knowledge model; their SQL is in ``quillmesh.plans.oracle``."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.functions import text, vector
+from quillmesh.operators import evaluation, lifecycle, retrieval
+from quillmesh.plans import oracle
+from quillmesh.sources import knowledge as model
+
+LIMIT = 10
+TERMS = ["the", "that"]
+QUERIES, CENTROIDS, PROBES = 20, 16, 6  # a stated query set and the lists of the approximate index
+SENSITIVE = ["sensitive"]
+
+
+def _vectors(spark: SparkSession, sf_dir: str, below: int) -> list[tuple[int, list[float]]]:
+    """The vectors of the ids under ``below``."""
+    rows = model.table(spark, sf_dir, "embeddings").filter((F.col("vec_id") >= 0) & (F.col("vec_id") < below)).select("vec_id", "embedding").orderBy("vec_id").collect()
+    return [(r[0], list(r[1])) for r in rows]
+
+
+def vector_topk(spark, sf_dir):
+    found = retrieval.nearest(model.table(spark, sf_dir, "embeddings"), _vectors(spark, sf_dir, 1)[0][1], LIMIT, "vec_id")
+    return found.filter(vector.reaches("score", retrieval.MIN_SCORE))
+
+
+def _compatible(spark, sf_dir):
+    return retrieval.compatible(model.embedded_chunks(spark, sf_dir), model.batches(spark), model.ACTIVE)
+
+
+def vector_topk_filtered(spark, sf_dir):
+    rows = retrieval.any_of(_compatible(spark, sf_dir), model.source_categories(spark, sf_dir), "category", ["en", "curated"])
+    rows = retrieval.any_of(rows, model.source_projects(spark, sf_dir), "project_id", [0, 1, 4])
+    return retrieval.nearest(rows, _vectors(spark, sf_dir, 1)[0][1], LIMIT)
+
+
+def normalize_documents(spark, sf_dir):
+    return model.sources(spark, sf_dir).select("doc_id", F.length("content_text").cast("long").alias("n_chars"), text.content_hash(F.col("content_text")).alias("content_hash"))
+
+
+def content_hash_dedupe(spark, sf_dir):
+    return lifecycle.first_by_hash(normalize_documents(spark, sf_dir)).select("doc_id", "content_hash")
+
+
+def chunk_documents(spark, sf_dir):
+    return model.chunks(spark, sf_dir).select("chunk_id", "doc_id", "chunk_index", "start_char", "end_char", F.sha2("content", 256).alias("content_hash"))
+
+
+def sources_serialized(spark, sf_dir):
+    """Each source with its categories and projects by name."""
+    cats = model.source_categories(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories"))
+    named = model.source_projects(spark, sf_dir).join(model.projects(spark).select("project_id", "name", "status"), "project_id")
+    projs = named.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", "status"))), ",").alias("projects"))
+    src = model.sources(spark, sf_dir).withColumn("kind", F.lit("text"))
+    return src.join(cats, "doc_id", "left").join(projs, "doc_id", "left").select("doc_id", "title", text.safe_uri("uri", "kind", "title").alias("uri"), "tag", F.coalesce("categories", F.lit("")).alias("categories"), F.coalesce("projects", F.lit("")).alias("projects"))
+
+
+def facets(spark, sf_dir):
+    """Every facet value with its number of sources."""
+    docs = model.table(spark, sf_dir, "documents")
+    one = model.source_categories(spark, sf_dir).select(F.lit("category").alias("facet"), F.col("category").alias("name"))
+    two = docs.select(F.lit("tag"), F.col("source"))
+    three = model.source_projects(spark, sf_dir).select(F.lit("project"), F.concat(F.lit("project-"), F.col("project_id").cast("string")))
+    return one.union(two).union(three).groupBy("facet", "name").agg(F.count(F.lit(1)).alias("n_sources"))
+
+
+def dashboard_metrics(spark, sf_dir):
+    return model.table(spark, sf_dir, "documents").agg(F.count("doc_id").alias("n_sources"), F.count_distinct("source").alias("n_tags")).crossJoin(  # one row each
+        model.projects(spark).agg(F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") == "archived").alias("n_archived"))
+    )
+
+
+def recent_sources(spark, sf_dir):
+    return model.sources(spark, sf_dir).orderBy(F.col("created_at").desc_nulls_last(), "title", "doc_id").limit(5).select("doc_id", "title", F.unix_timestamp("created_at").alias("created_s"))
+
+
+def library_all_filter(spark, sf_dir):
+    return retrieval.all_of(model.source_categories(spark, sf_dir), "category", ["en", "curated"])
+
+
+def library_title_search(spark, sf_dir):
+    """Titles that hold a string, without regard to case and accents."""
+    return model.sources(spark, sf_dir).filter(F.contains(F.translate(F.lower("title"), "áéíóúç", "aeiouc"), F.lit("doc-1"))).select("doc_id", "title")
+
+
+def tag_autocomplete(spark, sf_dir):
+    names = model.table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    return names.filter(text.category_key("name").like("s%")).orderBy("name").limit(LIMIT)
+
+
+def missing_filter_ids(spark, sf_dir):
+    """Of the asked projects those that do not exist, in the order of the request."""
+    asked = spark.range(1).select(F.posexplode(F.array(*map(F.lit, [4, 9, 2, 7]))).alias("pos", "project_id"))
+    return asked.join(model.projects(spark), "project_id", "left_anti").select("pos", F.col("project_id").cast("long").alias("project_id"))
+
+
+def project_sources(spark, sf_dir):
+    return model.source_projects(spark, sf_dir).filter("project_id = 4").join(model.sources(spark, sf_dir).select("doc_id", "title"), "doc_id").select("project_id", "doc_id", "title")
+
+
+def deletable_categories(spark, sf_dir):
+    """Catalog names that no source uses."""
+    asked = spark.createDataFrame([("en",), ("unused",), ("curated",)], "name string")
+    return asked.join(model.source_categories(spark, sf_dir).select(F.col("category").alias("name")), "name", "left_anti")
+
+
+def compatible_chunk_count(spark, sf_dir):
+    return _compatible(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def reindex_candidates(spark, sf_dir):
+    return lifecycle.reindex_candidates(model.embedded_chunks(spark, sf_dir), model.batches(spark), model.ACTIVE)
+
+
+def reindex_reason_counts(spark, sf_dir):
+    return reindex_candidates(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("doc_id").alias("n_sources"))
+
+
+def reindex_slice(spark, sf_dir):
+    """The first batch of a reindex run, in the order of source and chunk."""
+    return reindex_candidates(spark, sf_dir).orderBy("doc_id", "chunk_id").limit(100)
+
+
+def text_match(spark, sf_dir):
+    return retrieval.matching(model.chunks(spark, sf_dir), TERMS).select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def text_rank_topk(spark, sf_dir):
+    return retrieval.text_top(model.chunks(spark, sf_dir), TERMS, 40)
+
+
+def hybrid_search(spark, sf_dir):
+    """The flagship: vector and full-text candidates, fused by reciprocal rank."""
+    k = retrieval.candidate_limit(LIMIT)
+    near = retrieval.nearest(_compatible(spark, sf_dir), _vectors(spark, sf_dir, 1)[0][1], k)
+    return retrieval.fused(near, retrieval.text_top(model.chunks(spark, sf_dir), TERMS, k), LIMIT)
+
+
+def _retrieved(spark, sf_dir, k=LIMIT):
+    rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.exact_top(rows, _vectors(spark, sf_dir, QUERIES), k)
+
+
+def exact_knn(spark, sf_dir):
+    return _retrieved(spark, sf_dir)
+
+
+def _expected(spark, sf_dir):
+    """For each query the five vectors of its label with the least ids above it."""
+    e = model.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    pairs = e.filter(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("id > query")
+    return retrieval.top_by_query(pairs.select("query", "id", (-F.col("id")).alias("score")), 5).select(F.col("query").alias("case"), "id")
+
+
+def _cases(spark, sf_dir, k=LIMIT):
+    return evaluation.case_results(_retrieved(spark, sf_dir, k).select(F.col("query").alias("case"), "id", "rank"), _expected(spark, sf_dir))
+
+
+def recall_mrr(spark, sf_dir):
+    return _cases(spark, sf_dir).select("case", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+def compare_reports(spark, sf_dir):
+    """Cases that fall when five results are shown instead of fifty."""
+    return evaluation.regressed(_cases(spark, sf_dir, 50), _cases(spark, sf_dir, 5))
+
+
+def latency_percentiles(spark, sf_dir):
+    rows = model.table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    return rows.groupBy(F.col("event_type").alias("stage")).agg(evaluation.rounded_percentile("value").alias("p95_rounded"), evaluation.nearest_rank("value", 0.5).alias("p50"), evaluation.nearest_rank("value", 0.95).alias("p95"))
+
+
+def threshold_gate(spark, sf_dir):
+    m = _cases(spark, sf_dir).agg(F.round(F.avg("recall_at_k"), 6).alias("recall_at_k"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+    metrics = m.select(F.explode(F.map_from_arrays(F.array(F.lit("recall_at_k"), F.lit("mrr")), F.array("recall_at_k", "mrr"))).alias("metric", "value"))
+    return evaluation.gate(metrics, [("recall_at_k", "minimum", 0.8), ("mrr", "minimum", 0.7)])
+
+
+def refusal_grading(spark, sf_dir):
+    talk = model.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    return talk.select("conv_id", "turn", evaluation.is_refusal(F.col("text")).alias("refused"))
+
+
+def ann_search(spark, sf_dir):
+    """Top k of each query from the inverted lists that it probes."""
+    rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centroids, queries = _vectors(spark, sf_dir, CENTROIDS), _vectors(spark, sf_dir, QUERIES)
+    lists = spark.createDataFrame(centroids, "id long, embedding array<float>")
+    probes: dict[int, list[int]] = {}
+    for r in retrieval.exact_top(lists, queries, PROBES).collect():  # PROBES rows a query
+        probes.setdefault(r["query"], []).append(r["id"])
+    return retrieval.probed_top(retrieval.clustered(rows, centroids), probes, queries, LIMIT)
+
+
+def ann_recall(spark, sf_dir):
+    exact = _retrieved(spark, sf_dir).select(F.col("query").alias("case"), "id")
+    return evaluation.case_results(ann_search(spark, sf_dir).select(F.col("query").alias("case"), "id", "rank"), exact).select(F.col("case").alias("query"), F.round("recall_at_k", 4).alias("recall"))
+
+
+def rag_context(spark, sf_dir):
+    """What the answer model is shown, a part for each result in rank order."""
+    hits = hybrid_search(spark, sf_dir).select("chunk_id", "place")
+    rows = model.chunks(spark, sf_dir).join(F.broadcast(hits), "chunk_id")  # LIMIT rows
+    head = F.concat(F.lit("[source_id="), F.col("doc_id").cast("string"), F.lit("; chunk_id="), F.col("chunk_id").cast("string"), F.lit("; titulo=doc-"), F.col("doc_id").cast("string"), F.lit("; localizacao=chunk "), F.col("chunk_index").cast("string"), F.lit("]\n"))
+    parts = rows.select("place", F.concat(head, F.col("content")).alias("part"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "\n\n"), 256).alias("context_hash"), F.count(F.lit(1)).alias("n_parts"))
+
+
+def privacy_gate(spark, sf_dir):
+    """Whether a source may be sent to an external provider."""
+    cats = model.source_categories(spark, sf_dir)
+    keyed = cats.select("category").distinct().withColumn("key", text.privacy_key("category"))
+    bad = cats.join(keyed.filter(F.col("key").isin([text.without_accents(s, True) for s in SENSITIVE])), "category", "left_semi").select("doc_id", F.lit(True).alias("sensitive")).distinct()
+    docs = model.table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(bad, "doc_id", "left").select("doc_id", F.coalesce("sensitive", F.lit(False)).alias("blocked"))
+
+
+def category_inventory_match(spark, sf_dir):
+    """User turns that share a word with a category's name."""
+    names = ["en", "de", "fr", "curated", "sensitive"]
+    talk = model.table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return talk.select("conv_id", "turn", F.arrays_overlap(text.tokens("text"), F.array(*map(F.lit, names))).alias("matches"))
+
+
+def backfill_content(spark, sf_dir):
+    """A source's text from its chunks, in order."""
+    rows = model.chunks(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))).alias("c"))
+    return rows.select("doc_id", F.sha2(F.array_join(F.transform("c", lambda x: x["content"]), "\n\n"), 256).alias("content_hash"))
+
+
+def safe_json(spark, sf_dir):
+    """A field of the properties; what is no JSON object is the empty one."""
+    found = F.get_json_object("props", "$.k")
+    return model.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.coalesce(found.try_cast("long"), F.lit(0))).alias("sum_k"), F.count(F.lit(1)).alias("n"))
+
+
+def expected_chunks(spark, sf_dir):
+    """Which chunks hold the first words of a benchmark passage: a join on their own word runs, then an exact test."""
+    n = 6
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, n), " "))
+    wanted = model.table(spark, sf_dir, "benchmark").select("item_id", text.tokens("text").alias("t")).filter(F.size("t") >= n).select("item_id", F.array_join(F.slice("t", 1, n), " ").alias("run"))
+    held = model.chunks(spark, sf_dir).select("chunk_id", text.tokens("content").alias("t")).filter(F.size("t") >= n).select("chunk_id", F.explode(F.array_distinct(runs(F.col("t")))).alias("run"))
+    return held.join(wanted, "run").select("item_id", "chunk_id").distinct()
+
+
+_ALL = (
+    vector_topk, vector_topk_filtered, normalize_documents, content_hash_dedupe, chunk_documents, sources_serialized, facets, dashboard_metrics,
+    recent_sources, library_all_filter, library_title_search, tag_autocomplete, missing_filter_ids, project_sources, deletable_categories,
+    compatible_chunk_count, reindex_candidates, reindex_reason_counts, reindex_slice, text_match, text_rank_topk, hybrid_search, exact_knn,
+    recall_mrr, compare_reports, latency_percentiles, threshold_gate, refusal_grading, ann_search, ann_recall, rag_context, privacy_gate,
+    category_inventory_match, backfill_content, safe_json, expected_chunks,
+)
+
 
 def queries():
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql()

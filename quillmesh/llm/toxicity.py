@@ -24,6 +24,7 @@ labels do not; without documents of both classes every score is the share of tox
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -40,6 +41,7 @@ EPOCHS = 60
 RATE = 0.3
 DECAY = 1e-4
 GROUP = 512  # documents whose chains are run together
+CHAINS = 4096  # training chains that are held at once
 
 _TOKEN = re.compile(r"\w+")
 
@@ -158,12 +160,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _add_gradients(grads, params, own, before, after, gold, on, last) -> None:
+    """Adds the gradient of the log-likelihood of some chains, but for the pairs' true counts."""
+    w0, w1, w2, b, pairs = params
+    scores = b[0] + w0[own] + w1[before] * (before > 0) + w2[after] * (after > 0)
+    forward, backward = chains(scores, last, pairs)
+    odds = forward * backward
+    flat = ((gold - odds / (1 + odds)) * on).ravel()
+    for g, k in zip(grads, (own, before, after), strict=False):
+        g += np.bincount(k.ravel(), weights=flat, minlength=len(g))
+    grads[3] += flat.sum()
+    x, t = np.exp(np.clip(scores[1:], -40, 40)) * backward[1:], np.exp(pairs)
+    cells = [t[0, 0] + 0 * x, t[0, 1] * x, t[1, 0] * forward[:-1], t[1, 1] * forward[:-1] * x]
+    total = sum(cells)
+    grads[4] -= np.array([(c / total * on[1:]).sum() for c in cells]).reshape(2, 2)
+
+
 def train(texts: list[str | None], toxic: list[int]) -> Model:
     """The model of labelled documents."""
     share = sum(toxic) / len(toxic) if toxic else 0.0
     if share in (0.0, 1.0):
         return Model(constant=share)
-    documents = [tokens(t) for t in texts]
+    documents = [list(map(sys.intern, tokens(t))) for t in texts]
     kept = without_copies(documents)
     documents, toxic = [documents[k] for k in kept], [toxic[k] for k in kept]
     if len(set(toxic)) < 2:
@@ -171,40 +189,35 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     bad, held = offensive_words(documents, toxic)
     model = Model(words={w: k + 1 for k, w in enumerate(sorted(w for w, n in held.items() if n >= 3))})
     get = model.words.get
-    ids = [np.array([get(w, 0) for w in d], dtype=np.int64) for d in documents]
-    labels = [np.array([y and w in bad for w in d], dtype=float) for d, y in zip(documents, toxic, strict=True)]
+    ids = [np.array([get(w, 0) for w in d], dtype=np.int32) for d in documents]
+    labels = [np.array([y and w in bad for w in d], dtype=np.float32) for d, y in zip(documents, toxic, strict=True)]
     # chains of equal length, the last of a document padded
     cut = [(d, low) for d in range(len(ids)) for low in range(0, len(ids[d]), SEGMENT)]
     shape = (SEGMENT, len(cut))
-    own, before, after, gold, on = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape)
+    own, before, after = (np.zeros(shape, np.int32) for _ in range(3))
+    gold, on = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
     for c, (d, low) in enumerate(cut):
         n = min(SEGMENT, len(ids[d]) - low)
         own[:n, c], gold[:n, c], on[:n, c] = ids[d][low : low + n], labels[d][low : low + n], 1
         before[1:n, c], after[: n - 1, c] = ids[d][low : low + n - 1], ids[d][low + 1 : low + n]
     last = on.sum(axis=0).astype(int) - 1
     size = len(model.words) + 1
-    model.weights, model.bias = np.zeros((3, size)), float(np.log((gold.sum() + 0.5) / (on.sum() + 0.5)))
-    both = on[1:]
-    true_pairs = np.array([[((1 - gold[:-1]) * (1 - gold[1:]) * both).sum(), ((1 - gold[:-1]) * gold[1:] * both).sum()], [(gold[:-1] * (1 - gold[1:]) * both).sum(), (gold[:-1] * gold[1:] * both).sum()]])
+    model.weights, model.bias = np.zeros((3, size)), float(np.log((gold.sum(dtype=np.float64) + 0.5) / (on.sum(dtype=np.float64) + 0.5)))
+    both, first, second = on[1:], gold[:-1], gold[1:]
+    count = lambda x: float((x * both).sum(dtype=np.float64))
+    true_pairs = np.array([[count((1 - first) * (1 - second)), count((1 - first) * second)], [count(first * (1 - second)), count(first * second)]])
     # steps by Adam on the mean gradient over the positive tokens
-    scale = 1 / max(gold.sum(), 1)
+    scale = 1 / max(float(gold.sum(dtype=np.float64)), 1)
     params = [model.weights[0], model.weights[1], model.weights[2], np.array([model.bias]), model.pairs]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, EPOCHS + 1) if len(cut) else ():
-        w0, w1, w2, b, pairs = params
-        scores = b[0] + w0[own] + w1[before] * (before > 0) + w2[after] * (after > 0)
-        forward, backward = chains(scores, last, pairs)
-        odds = forward * backward
-        rest = (gold - odds / (1 + odds)) * on
-        x, t = np.exp(np.clip(scores[1:], -40, 40)) * backward[1:], np.exp(pairs)
-        cells = [t[0, 0] + 0 * x, t[0, 1] * x, t[1, 0] * forward[:-1], t[1, 1] * forward[:-1] * x]
-        total = sum(cells)
-        expected = np.array([(c / total * both).sum() for c in cells]).reshape(2, 2)
-        flat = rest.ravel()
-        grads = [np.bincount(k.ravel(), weights=flat, minlength=size) for k in (own, before, after)]
-        for g in grads:
+        grads = [np.zeros_like(x) for x in params]
+        grads[4] += true_pairs
+        for low in range(0, len(cut), CHAINS):
+            part = slice(low, low + CHAINS)
+            _add_gradients(grads, params, own[:, part], before[:, part], after[:, part], gold[:, part], on[:, part], last[part])
+        for g in grads[:3]:
             g[0] = 0  # other words have no weight
-        grads += [np.array([flat.sum()]), true_pairs - expected]
         for k, g in enumerate(grads):
             g = g * scale - DECAY * params[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 10
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 BLOCK_BYTES = 2 << 20
 SAMPLE = 32  # every so many text positions are stored
 END, OTHER = 0, 1  # symbols below the words' numbers

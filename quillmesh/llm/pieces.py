@@ -22,17 +22,21 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
-CACHE = 1_000_000  # chunks that a worker keeps with their ids; above it, it starts anew
-CELLS = 4_000_000  # of a padded group of chunks
+CACHE = 200_000  # chunks that a worker keeps with their ids; above it, it starts anew
+CELLS = 1_000_000  # of a padded group of chunks
+PART = 256  # texts that are encoded together
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # fixed values: the kinds of pieces
 
@@ -239,28 +243,24 @@ def _codec(shared) -> Codec:
     return _CODECS[key]
 
 
-ENCODED = "ids array<int>, decoded string"
-
-
 def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ids, the pieces of each text, and decoded, the text that they decode to."""
+    """Adds ids, the pieces of each text, and decoded, the text that they decode to; a task holds a few hundred texts at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # a vocabulary of at most 65,536 pieces
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    @F.pandas_udf(ENCODED)
-    def run(texts):
-        import pandas as pd
-
-        codec, values = _codec(shared), texts.tolist()
-        ids, decoded = [], []
-        for at in range(0, len(values), 512):
-            for x in codec.encode(values[at : at + 512]):
-                found = np.frombuffer(x, "<u2")
-                ids.append(found.astype(np.int32))
-                decoded.append(codec.decode(found.tolist()))
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for whole in batches:
+            for low in range(0, whole.num_rows, PART):
+                batch = whole.slice(low, PART)
+                found = codec.encode(batch.column(batch.num_columns - 1).to_pylist())
+                ends = np.cumsum([0, *(len(x) // 2 for x in found)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
+                decoded = pa.array([codec.decode(np.frombuffer(x, "<u2").tolist()) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), decoded], names=schema.names)
 
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*kept, run(F.col(text)).alias("_pieces")).select(*kept, "_pieces.ids", "_pieces.decoded")
+    return docs.select(*kept, F.col(text).alias("_coded")).mapInArrow(run, schema)
 
 
 DIGEST = "n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean"
@@ -280,8 +280,8 @@ def op10_pieces(spark, sf_dir: str) -> DataFrame:
 
         codec, values, rows = _codec(shared), texts.tolist(), []
         low, high = min(codec.byte_ids), max(codec.byte_ids)
-        for at in range(0, len(values), 512):
-            part = values[at : at + 512]
+        for at in range(0, len(values), PART):
+            part = values[at : at + PART]
             for text, x in zip(part, codec.encode(part), strict=True):
                 ids = np.frombuffer(x, "<u2")
                 back = codec.decode(ids.tolist())

@@ -16,32 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import dartminhash, fmindex, personal, pieces, toxicity
-from quillmesh.llm.common import table, written
+from quillmesh.llm.common import small_batches, table, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain model does not reject."""
+    small_batches(spark)
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that of the least doc_id."""
+    small_batches(spark)
     return dartminhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of the benchmark."""
+    small_batches(spark)
     cut = fmindex.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
     return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data redacted."""
+    small_batches(spark)
     return personal.redact(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the piece ids of the text, their number, and whether they decode to it."""
+    small_batches(spark)
     import public_tokenizers
 
     found = pieces.with_pieces(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -9,8 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000  # texts that pass to Python together; Spark's own 10,000 may be hundreds of MB
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch in this session, unless it has a lower bound already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
+    """One of the driver's tables; from here on the session passes texts in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

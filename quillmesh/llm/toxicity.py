@@ -40,7 +40,8 @@ SEGMENT = 64  # tokens in a training chain
 EPOCHS = 60
 RATE = 0.3
 DECAY = 1e-4
-GROUP = 512  # documents whose chains are run together
+GROUP = 256  # documents whose chains are run together, fewer where they are long
+CELLS = 500_000  # of a group's padded chains
 CHAINS = 4096  # training chains that are held at once
 
 _TOKEN = re.compile(r"\w+")
@@ -91,7 +92,7 @@ def marginals(model: Model, documents: list[np.ndarray]) -> list[np.ndarray]:
         part = order[at : at + GROUP]
         # a group's padding is bounded: a much longer document starts a group of its own
         while part:
-            few = [k for k in part if len(documents[k]) <= 4 * len(documents[part[0]]) + 256]
+            few = [k for n, k in enumerate(part) if len(documents[k]) <= 4 * len(documents[part[0]]) + 256 and (n == 0 or (n + 1) * len(documents[k]) <= CELLS)]
             part = part[len(few) :]
             sizes = np.array([len(documents[k]) for k in few])
             scores = np.zeros((sizes.max(), len(few)))
@@ -265,8 +266,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         get = own.words.get
         out_score, out_spans = [], []
         values = texts.tolist()
-        for at in range(0, len(values), 4096):
-            part = values[at : at + 4096]
+        for at in range(0, len(values), 512):
+            part = values[at : at + 512]
             ids = [np.array([get(w, 0) for w in tokens(t)], dtype=np.int64) for t in part]
             found = marginals(own, ids) if own.constant is None else [np.zeros(0)] * len(part)
             out_score += document_scores(own, found).tolist()

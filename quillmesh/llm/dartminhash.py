@@ -191,8 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, node (of its text), class_id (the least doc_id of its class) for every row."""
+def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> its rows (node, doc_id, text), and node, doc_id (its least), label (of its component) for every node."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     signed = rows.mapInArrow(_sign(weighted), "node long, doc_id long, sig array<long>, bands array<long>")
@@ -226,7 +226,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool =
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    labelled = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return rows, nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, node (of its text), class_id (the least doc_id of its class) for every row."""
+    rows, labelled = _labelled(docs, **options)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     classes = labelled.join(least, "label").select("node", "class_id")
     return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id")
@@ -271,15 +276,23 @@ def _agreeing(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each class: the one with the least doc_id, and of equal ids one text."""
-    found = near_classes(docs.select("doc_id", "text"), **options)
-    best = found.filter("doc_id <=> class_id").groupBy("doc_id", "class_id").agg(F.min("node").alias("node")).select("doc_id", "node").distinct()
+    """docs without all but one row of each class: of the least doc_id (null last), then of one text, then one of equal rows."""
+    _, labelled = _labelled(docs.select("doc_id", "text"), **options)
     names = {c.lower() for c in docs.columns}
-    mark = next(x for x in ("_node", "_node_", "__node__") if x not in names)
-    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    keys = best.select(F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node"))
-    joined = marked.join(keys, marked["doc_id"].eqNullSafe(keys["_kept_id"]) & (marked[mark] == keys["_kept_node"]), "left_semi")
-    return joined.drop(mark)
+    ident, node, row = (next(x for x in (f"_{c}", f"_{c}_", f"__{c}__") if x not in names) for c in ("id", "node", "row"))
+    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    marked = docs.withColumns({ident: F.col("doc_id").cast("long"), node: F.xxhash64(F.coalesce("text", F.lit(""))), row: hashed})
+    equal = marked.select(F.col(ident).alias("id"), F.col(node).alias("node"), F.col(row).alias("row")).groupBy("id", "node", "row").agg(F.count(F.lit(1)).alias("times"))
+    # the best row of each text before that of each class, so neither a common text nor a large class meets in one task
+    best = equal.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "times")).alias("b"))
+    best = best.join(labelled.select("node", "label"), "node").groupBy("label").agg(F.min(F.struct("b.no_id", "b.id", "node", "b.row", "b.times")).alias("b"))
+    keys = written(best.select(F.col("b.id").alias("kept_id"), F.col("b.node").alias("kept_node"), F.col("b.row").alias("kept_row"), F.col("b.times").alias("kept_times")), "kept")
+    same = marked[ident].eqNullSafe(keys["kept_id"]) & (marked[node] == keys["kept_node"]) & (marked[row] == keys["kept_row"])
+    if keys.filter("kept_times > 1").isEmpty():
+        return marked.join(keys, same, "left_semi").select(*docs.columns)
+    once = marked.join(keys.filter("kept_times = 1"), same, "left_semi")
+    often = marked.join(keys.filter("kept_times > 1"), same, "left_semi").dropDuplicates([ident, node, row])
+    return once.unionByName(often).select(*docs.columns)
 
 
 def op5_dart_minhash(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ consecutive windows with one anchor are its stretch: the seed extended both ways
 as its windows reach.
 
 1. Each task finds its stretches and settles those it holds twice: all but the first of
-   equal stretches repeat. So whatever is common reaches the shuffle once a task.
+   equal stretches repeat. So whatever is common reaches the shuffle once a task. Texts that
+   share the first's id and start are no repeats of it and go with it as one row.
 2. Anchors that occur once are dropped; documents meet on the others. All but the first of
    equal stretches repeat as a whole.
 3. The first of each stretch may still share some windows with another stretch of its
@@ -45,7 +46,7 @@ BLOCK_ROWS = 1_500_000  # stretches or windows that a task settles at once
 
 _NO_ID = -(1 << 63)
 _INVERSE = np.uint64(pow(int(wordhash.BASE), -1, 1 << 64))
-_ROW = "anchor long, key long, doc long, part int, start int, n int, known boolean"
+_ROW = "anchor long, key long, doc long, part int, start int, n int, known boolean, also array<int>"
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -76,13 +77,15 @@ def _stretches(texts: list[str | None], length: int) -> tuple[np.ndarray, ...]:
 
 
 def _settled(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """rows: (anchor, key, doc, part, start, n). The first of each key stays; later ones become known repeats, merged where they touch."""
+    """rows: (anchor, key, doc, part, start, n). The first of each key stays, with the other texts at its id and start; later ones become known repeats, merged where they touch."""
     anchor, key, doc, part, start, n = rows
-    order = np.lexsort((start, doc, key))
-    key_, doc_, start_ = key[order], doc[order], start[order]
+    order = np.lexsort((part, start, doc, key))
+    key_, doc_, start_, part_ = key[order], doc[order], start[order], part[order]
     head = np.append(True, np.diff(key_) != 0) if len(key_) else np.zeros(0, bool)
     group = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0)) if len(head) else np.zeros(0, int)
     later = (doc_ > doc_[group]) | ((doc_ == doc_[group]) & (start_ > start_[group]))
+    tied = ~head & ~later & np.append(False, np.diff(part_) != 0)[: len(head)]
+    others = np.bincount(np.cumsum(head)[tied] - 1, minlength=head.sum())
     firsts, known = order[head], order[later]
     known = known[np.lexsort((start[known], part[known], doc[known]))]
     d, p, s, e = doc[known], part[known], start[known], start[known] + n[known]
@@ -92,6 +95,7 @@ def _settled(rows: list[np.ndarray]) -> pa.RecordBatch:
     empty = wordhash.mix(d[cut].astype(np.uint64) * wordhash.MIX_A + s[cut].astype(np.uint64)).view(np.int64)
     flag = np.zeros(len(firsts) + len(cut), bool)
     flag[len(firsts) :] = True
+    ends = np.concatenate([np.zeros(1, int), np.cumsum(others), np.full(len(cut), others.sum())])
     join = lambda a, b, t: pa.array(np.concatenate([a, b]).astype(t))
     return pa.RecordBatch.from_arrays(
         [
@@ -102,8 +106,9 @@ def _settled(rows: list[np.ndarray]) -> pa.RecordBatch:
             join(start[firsts], s[cut], np.int32),
             join(n[firsts], e[last] - s[cut], np.int32),
             pa.array(flag),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(part_[tied].astype(np.int32))),
         ],
-        names=["anchor", "key", "doc", "part", "start", "n", "known"],
+        names=["anchor", "key", "doc", "part", "start", "n", "known", "also"],
     )
 
 
@@ -173,11 +178,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = stretches.join(shared, "anchor", "left").filter("known OR times IS NOT NULL")
     first = F.min(F.struct("doc", "start")).over(Window.partitionBy("key"))  # a row a task at most, so a small group
     later = F.col("known") | (F.struct("doc", "start") > F.col("first"))
-    settled = written(met.withColumn("first", first).select("doc", "part", "start", "n", later.alias("later")), "stretches")
+    each = F.explode(F.concat(F.array("part"), "also")).alias("part")
+    settled = written(met.withColumn("first", first).select("doc", each, "start", "n", later.alias("later")), "stretches")
 
     todo = _merged(settled.filter(~F.col("later")))
     windows = rows.join(todo, ["doc", "part"]).select("doc", "part", "text", "todo").mapInArrow(_find_windows(length), _ROW)
-    again = windows.withColumn("first", first).filter(later).select("doc", "part", "start", "n")
+    again = windows.withColumn("first", first).filter(later).select("doc", each, "start", "n")
     ranges = _merged(settled.filter("later").select("doc", "part", "start", "n").unionByName(again))
     found = rows.join(ranges.withColumnRenamed("todo", "ranges"), ["doc", "part"], "left")
 

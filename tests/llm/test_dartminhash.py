@@ -77,6 +77,18 @@ def test_classes(spark, weighted):
         assert ids == {c for _, c in _classes(rows)}
 
 
+def test_keep_one_of_each_class(spark):
+    a, b, c, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abce")
+    rows = [(None, a, 1), (None, b, 2), (None, b + " more", 3), (5, c, 4), (5, e, 5), (6, c, 6), (8, "one text", 7), (8, "one text", 7), (8, "one text", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").repartition(3)
+    kept = d.keep_one(docs)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    near_b = next(t for _, t in got if t in (b, b + " more"))
+    assert kept.columns == docs.columns
+    assert got == sorted([(None, a), (None, near_b), (5, c), (5, e), (8, "one text")], key=repr)
+    assert sorted(r.text for r in d.keep_one(docs.filter("doc_id = 5")).collect()) == [c, e]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r.node: r.label for r in d.components(spark.createDataFrame(chain, "a long, b long")).collect()}

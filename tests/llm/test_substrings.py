@@ -43,5 +43,19 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
     assert sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[3])) == _brute(rows, substrings.LENGTH)
 
 
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_texts_that_share_an_id_and_a_start(spark, tasks):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(1, "short " + passage)] + [(d, f"{passage} tail{x}") for d in (None, 7) for x in range(4)]
+    for here in (rows, [r for r in rows if r[0] is not None], [r for r in rows if r[0] is None]):
+        late = [r for r in here if r[0] != 1]
+        docs = spark.createDataFrame(late, "doc_id long, text string").coalesce(1)
+        if len(late) < len(here):
+            first = spark.createDataFrame([rows[0]], "doc_id long, text string").coalesce(1)
+            docs = docs.union(first) if tasks == 2 else docs.union(first).coalesce(1)
+        got = [(r.doc_id, *substrings.kept_words(r.text, r.repeats)) for r in substrings.find_repeats(docs).collect()]
+        assert sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[3])) == _brute(here, substrings.LENGTH)
+
+
 def test_empty(spark):
     assert substrings.find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

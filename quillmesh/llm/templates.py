@@ -12,7 +12,11 @@ The main text is what stands in the element marked as the article or main conten
 without one it is the data in the deepest element of the template that holds most of
 the group's data; words of the template are left out there. In both cases elements for
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-are left out, by tag or by the words of class, id and role.
+are left out, by tag or by the words of class, id and role. Words after "has", "with" and the
+like say what an element holds and do not count. An element that is or encloses an outermost
+article or main element stays in spite of its words where its text is most of the page's: of
+all of it where no marked element stays otherwise, and else, only for words that
+layouts use as well (`LAYOUT_NAMES`), of the text in marked elements.
 
 Hosts with over a hundredth of all pages, of which there are at most a hundred, are salted, so
 one host's pages go to many tasks; a group never leaves its task.
@@ -51,12 +55,22 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 OUT_TAGS = frozenset("nav header footer aside form head button select option menu dialog svg object canvas label input".split()) | RAW
 OUT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments commentlist reply replies respond disqus widget widgets toolbar pager pagination skip".split())
+LAYOUT_NAMES = frozenset("side sidebar rail share sharing social alert reply notice skip header masthead banner signup toolbar".split())
+HOLDS = frozenset("has with no without hide show".split())
 MAIN_ROLE = "main"
 ENDS_P = BLOCKS - {"html", "body"}
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KEEPS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 
 
+@dataclass(eq=False)
+class Named:
+    """An element that its names exclude."""
+
+    names: set[str]
+    top: bool = False  # it is or encloses an article or main element that no other encloses
+
+
 @dataclass
 class Block:
     """A run of text in one block element."""
@@ -65,6 +79,7 @@ class Block:
     text: str
     main: bool  # in an element marked as the main content
     out: bool  # in an element that is never main text
+    named: list[Named] = field(default_factory=list)  # the elements around it that their names exclude
 
 
 @dataclass
@@ -73,26 +88,32 @@ class Page:
     tokens: list[tuple] = field(default_factory=list)  # each element as it opens and each word, with its path
 
 
-def _marks(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(name with its first class, main, out)"""
+def _names(value: str) -> set[str]:
+    """The words of a class, id or role that say what the element is."""
+    words = [[n for n in _NAME.split(v) if n] for v in value.split()]
+    return {n for w in words for k, n in enumerate(w) if not (k and w[k - 1] in HOLDS)}
+
+
+def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, Named | None]:
+    """(name with its first class, main, out by its tag, out by its names)"""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs else {}
-    names = {n for v in found.values() for n in _NAME.split(v) if n}
+    names = set().union(*map(_names, found.values())) & OUT_NAMES
     main = tag in ("article", "main") or found.get("role") == MAIN_ROLE
-    out = tag in OUT_TAGS or bool(names & OUT_NAMES) and tag not in ("html", "body", "main")
-    return (f"{tag}.{found['class'].split()[0]}" if found.get("class", "").split() else tag), main, out
+    named = Named(names) if names and tag not in ("html", "body", "main") else None
+    return (f"{tag}.{found['class'].split()[0]}" if found.get("class", "").split() else tag), main, tag in OUT_TAGS, named
 
 
 def parse(html: str | None) -> Page:
     """The blocks and elements of a page, in order."""
     page, text, source = Page(), [], html or ""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, in main, out
+    stack: list[tuple[str, str, bool, bool, Named | None]] = []  # tag, name, main, out, out by names
 
     def flush() -> None:
         words = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if words:
             path = tuple(s[1] for s in stack if s[0] in BLOCKS)
-            page.blocks.append(Block(path, words, any(s[2] for s in stack), any(s[3] for s in stack)))
+            page.blocks.append(Block(path, words, any(s[2] for s in stack), any(s[3] for s in stack), [s[4] for s in stack if s[4]]))
             page.tokens += [(w, *path) for w in words.split()]
 
     def close(tag: str, stop: tuple[str, ...] = ()) -> None:
@@ -133,14 +154,33 @@ def parse(html: str | None) -> Page:
             close("p", ("td", "th", "div", "section", "article", "main", "body", "button"))
         for other in CLOSES.get(tag, ()):
             close(other, KEEPS[tag])
-        name, main, out = _marks(tag, m[3])
+        name, main, out, named = _marks(tag, m[3])
         page.tokens.append(("<", *(s[1] for s in stack if s[0] in BLOCKS), name))
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, name, main, out))
+            if main and not any(s[2] for s in stack):
+                for x in [*(s[4] for s in stack), named]:
+                    if x:
+                        x.top = True
+            stack.append((tag, name, main, out, named))
     flush()
+    _judge(page.blocks)
     return page
 
 
+def _judge(blocks: list[Block]) -> None:
+    """Sets the blocks out that names exclude, but for the elements that hold most of the page."""
+    within = [b for b in blocks if not b.out and all(x.top for x in b.named)]
+    marked = any(b.main and not b.named for b in within)
+    total = sum(len(b.text) for b in within if b.main or not marked)
+    size: Counter = Counter()
+    for b in within:
+        for x in b.named:
+            size[x] += len(b.text) if b.main or not marked else 0
+    stays = {x for x, n in size.items() if 2 * n >= total and (not marked or x.names <= LAYOUT_NAMES)}
+    for b in blocks:
+        b.out |= not stays.issuperset(b.named)
+
+
 def template(pages: list[Page]) -> tuple[set[tuple], list[set[tuple]]]:
     """The tokens of the template and of the nested classes inside its slots, of pages that differ."""
     sequences = [p.tokens for p in pages]

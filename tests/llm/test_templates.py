@@ -77,6 +77,24 @@ def test_single_pages(html, text):
     assert t.main_texts([html]) == [text]
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<div class='layout has-sidebar'><article><p>one</p></article></div><footer>f</footer>", "one"),
+        ("<article class='post with-comments'><p>one</p><div class=comments>me</div></article><article class=teaser>t</article>", "one\n\nt"),
+        ("<div id='content-side'><main><p>one two</p></main></div><div>rights</div>", "one two"),
+        ("<div id=social-share><article>one two three</article></div><article>t</article>", "one two three\n\nt"),
+        ("<article class='sponsored post'>one two three</article><div>rights</div>", "one two three"),
+        # an element of its own kind stays out
+        ("<article>one</article><div class=comments><article class=comment>much longer than it</article></div>", "one"),
+        ("<article>one two three<div class=share>send</div></article><div class=sidebar><article>hint</article></div>", "one two three"),
+        ("<div><p>one two three four</p></div><div class=comments><article>me</article></div>", "one two three four"),
+    ],
+)
+def test_names_do_not_exclude_the_article(html, text):
+    assert t.main_texts([html]) == [text]
+
+
 def test_table(spark):
     rows = [(k % 90, None if k == 3 else f"http://h{k % 2}.org/x", f"<article><p>p{k}</p></article>", "s") for k in range(150)] + [(7, "no host", "", "s"), (None, "http://h0.org", None, "s")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, salt string")

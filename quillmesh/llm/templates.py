@@ -8,10 +8,13 @@ order on each page; the valid class of the tokens that all pages have is the tem
 valid classes of fewer pages are kept where all their tokens lie inside one of its slots.
 The text of the remaining slots is data.
 
-The main text is what stands in the element marked as the article or main content. On pages
-without one it is the data in the deepest element of the template that holds most of
-the group's data; words of the template are left out there. In both cases elements for
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+Pages with an element marked as the article or main content and pages without one have
+templates of their own; where either are fewer than `LEAST` different pages, it is that of the whole group.
+The main text is the data in marked elements. On pages without one it is the data in the
+deepest element that holds most of the group's data. Copies of an article on several pages
+form classes too, so marked elements keep what is in a template that has over half
+of their different words, and all of nested classes where these have over a third of a page's, or
+where one has only a part of some block's words or words of an h1. In both cases elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
 are left out, by tag or by the words of class, id and role. Words after "has", "with" and the
 like say what an element holds and do not count. An element that is or encloses an outermost
 article or main element stays in spite of its words where its text is most of the page's: of
@@ -19,7 +22,9 @@ all of it where no marked element stays otherwise, and else, only for words that
 layouts use as well (`LAYOUT_NAMES`), of the text in marked elements.
 
 Hosts with over a hundredth of all pages, of which there are at most a hundred, are salted, so
-one host's pages go to many tasks; a group never leaves its task.
+one host's pages go to many tasks, about `GROUP` or more together; a group never leaves its
+task. The last pages of a host are halved, so hosts of more than `GROUP` pages have groups of
+`GROUP` / 2 pages or more.
 
 Defined cases: null or empty html has no text; a null url or one without a host is host "";
 a group of fewer than `LEAST` different pages has no template, and its pages are judged
@@ -184,10 +189,17 @@ def _judge(blocks: list[Block]) -> None:
 def template(pages: list[Page]) -> tuple[set[tuple], list[set[tuple]]]:
     """The tokens of the template and of the nested classes inside its slots, of pages that differ."""
     sequences = [p.tokens for p in pages]
-    counts = [Counter(s) for s in sequences]
-    vectors: dict[tuple, list[tuple]] = defaultdict(list)
-    for token in set().union(*counts):
-        vectors[tuple(c[token] for c in counts)].append(token)
+    on: dict[tuple, int] = defaultdict(int)  # the pages of a token, as bits
+    often: set[tuple] = set()  # tokens that come twice on a page
+    for k, s in enumerate(sequences):
+        for token, n in Counter(s).items():
+            on[token] |= 1 << k
+            if n > 1:
+                often.add(token)
+    vectors: dict[int, list[tuple]] = defaultdict(list)
+    for token, bits in on.items():
+        if token not in often:
+            vectors[bits].append(token)
 
     def valid(tokens: list[tuple], on: list[int]) -> set[tuple]:
         """The tokens that come once each and in one order: those of the first page's order that the other pages keep."""
@@ -204,13 +216,14 @@ def template(pages: list[Page]) -> tuple[set[tuple], list[set[tuple]]]:
             mine = set(order)
         return mine
 
-    everywhere = valid(vectors.get((1,) * len(pages), []), list(range(len(pages)))) if (1,) * len(pages) in vectors else set()
+    full = (1 << len(pages)) - 1
+    everywhere = valid(vectors[full], list(range(len(pages)))) if full in vectors else set()
     nested = []
-    for vector, tokens in vectors.items():
-        on = [k for k, n in enumerate(vector) if n]
-        if len(tokens) >= 3 and LEAST <= len(on) < len(pages) and all(vector[k] == 1 for k in on):
-            found = valid(tokens, on)
-            if len(found) >= 3 and all(_in_one_slot(sequences[k], everywhere, found) for k in on):
+    for bits, tokens in vectors.items():
+        if len(tokens) >= 3 and LEAST <= bits.bit_count() < len(pages):
+            held = [k for k in range(len(pages)) if bits >> k & 1]
+            found = valid(tokens, held)
+            if len(found) >= 3 and all(_in_one_slot(sequences[k], everywhere, found) for k in held):
                 nested.append(found)
     return everywhere, nested
 
@@ -224,16 +237,42 @@ def _in_one_slot(sequence: list[tuple], outer: set[tuple], inner: set[tuple]) ->
 def main_texts(htmls: list[str | None]) -> list[str]:
     """The main text of each page of one host's group."""
     pages = [parse(h) for h in htmls]
-    bare = [k for k, p in enumerate(pages) if not any(b.main and not b.out for b in p.blocks)]
-    out = ["\n\n".join(b.text for b in p.blocks if b.main and not b.out) for p in pages]
+    bare, marked = [], []
+    for k, p in enumerate(pages):
+        (marked if any(b.main and not b.out for b in p.blocks) else bare).append(k)
+    out = [""] * len(pages)
+
+    def deduced(on: list[int]) -> tuple[set[tuple], list[set[tuple]]]:
+        for some in (on, range(len(pages))):
+            different = list({tuple(b.text for b in pages[k].blocks): pages[k] for k in some}.values())
+            if len(different) >= LEAST:
+                return template(different)
+        return set(), []
+
+    def slots(blocks: list[Block], tokens: set[tuple]) -> list[Block]:
+        return [b for b in blocks if not (tokens and all((w, *b.path) in tokens for w in b.text.split()))]
+
+    if marked:
+        everywhere, nested = deduced(marked)
+        mine = {k: [b for b in pages[k].blocks if b.main and not b.out] for k in marked}
+        words = {k: {(w, *b.path) for b in mine[k] for w in b.text.split()} for k in marked}
+        if 2 * sum(len(x & everywhere) for x in words.values()) > sum(map(len, words.values())):
+            everywhere = set()
+        inner = set().union(*nested)
+        for k in marked:
+            data = slots(mine[k], everywhere)
+            copied = 3 * len(words[k] & inner) > len(words[k])
+            for c in nested:
+                if not copied and not c.isdisjoint(words[k]):
+                    rest = slots(data, everywhere | c)
+                    if all(c.isdisjoint((w, *b.path) for w in b.text.split()) for b in [*rest, *(b for b in data if b.path[-1:] and b.path[-1].split(".")[0] == "h1")]):
+                        data = rest
+            out[k] = "\n\n".join(b.text for b in data or mine[k])
     if not bare:
         return out
-    different = list({tuple(b.text for b in pages[k].blocks): pages[k] for k in bare}.values())
-    tokens: set[tuple] = set()
-    if len(different) >= LEAST:
-        everywhere, nested = template(different)
-        tokens = everywhere.union(*nested)
-    data = {k: [b for b in pages[k].blocks if not b.out and not (tokens and all((w, *b.path) in tokens for w in b.text.split()))] for k in bare}
+    everywhere, nested = deduced(bare)
+    tokens = everywhere.union(*nested)
+    data = {k: slots([b for b in pages[k].blocks if not b.out], tokens) for k in bare}
     inside: Counter = Counter()
     for k in bare:
         for b in data[k]:
@@ -253,18 +292,24 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (host, page_id, url, html) by host -> page_id, url, text"""
     held: list[tuple] = []
 
-    def emit() -> pa.RecordBatch:
-        texts = main_texts([r[3] for r in held])
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in held], pa.int64()), pa.array([r[2] for r in held], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    def emit(n: int) -> pa.RecordBatch:
+        rows = held[:n]
+        del held[:n]
+        texts = main_texts([r[3] for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        while held:
+            yield emit(len(held) if len(held) <= GROUP else len(held) // 2)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (held[0][0] != row[0] or len(held) >= GROUP):
-                yield emit()
-                held = []
+            if held and held[0][0] != row[0]:
+                yield from rest()
+            elif len(held) >= 2 * GROUP:
+                yield emit(GROUP)
             held.append(row)
-    if held:
-        yield emit()
+    yield from rest()
 
 
 def host_of(url):
@@ -277,9 +322,10 @@ def main_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    hot = [r[0] for r in counts.filter(F.col("n") * 100 > total).select("host").collect()]  # a hundred at most
-    salt = F.when(F.col("host").isin(hot), F.pmod(F.xxhash64("page_id"), F.lit(2 * n))) if hot else F.lit(0)
-    spread = rows.withColumn("salt", F.coalesce(salt, F.lit(0))).repartition(n, "host", "salt").sortWithinPartitions("host", "page_id")
+    hot = counts.filter(F.col("n") * 100 > total).collect()  # a hundred at most
+    salts = F.create_map(*(F.lit(x) for r in hot for x in (r["host"], max(1, min(2 * n, r["n"] // GROUP))))) if hot else None
+    salt = F.pmod(F.xxhash64("page_id"), F.coalesce(F.try_element_at(salts, F.col("host")), F.lit(1))) if hot else F.lit(0)
+    spread = rows.withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "page_id")
     return spread.select("host", "page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string")
 
 

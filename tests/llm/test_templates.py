@@ -52,6 +52,34 @@ def test_template_without_article():
     assert {"Site", "Copyright", "rights", "<"} <= words and "story" in words and "t7" not in words
 
 
+def test_template_inside_the_article():
+    line = "<div class=x>Send this page to your friends</div>"
+    some = "<section class=y><b>Also</b> <i>see</i> <u>this</u></section>"
+    story = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    htmls = [f"<div>Site</div><article><h1>t{k}</h1><p>the story {story(k)}</p>{line}{some if k % 2 else ''}</article>" for k in range(8)]
+    assert t.main_texts(htmls) == [f"t{k}\n\nthe story {story(k)}" for k in range(8)]
+
+
+@pytest.mark.parametrize("others", [0, 6])
+def test_copies_of_an_article_stay(others):
+    shared = "a text with a title that all of these pages carry as it is and as it was"
+    copies = [f"<article><h1>One title here</h1><p>{shared}</p><p>on day {k}</p></article><div>{k}</div>" for k in range(4)]
+    other = [f"<article><h1>t{k}</h1><p>u{k} v{k}</p></article>" for k in range(others)]
+    assert t.main_texts(copies + other)[:4] == [f"One title here\n\n{shared}\n\non day {k}" for k in range(4)]
+
+
+def test_marked_and_bare_pages_of_a_host():
+    htmls = [_page(k, f"<p>story {k} is about t{k * 7}</p>") for k in range(4)] + [f"<article><p>own text {k} of t{k * 9}</p></article>" for k in range(4)]
+    assert t.main_texts(htmls) == [f"story {k} is about t{k * 7}" for k in range(4)] + [f"own text {k} of t{k * 9}" for k in range(4)]
+
+
+@pytest.mark.parametrize("pages,partitions", [(49, 1), (50, 1), (97, 1), (98, 2), (40, 20)])
+def test_last_pages_of_a_host_have_a_template(spark, pages, partitions):
+    rows = [(k, "http://h.org/x", _page(k, f"<p>story {k} is about t{k * 7}</p>")) for k in range(pages)]
+    got = t.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), partitions).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"story {k} is about t{k * 7}" for k in range(pages)}
+
+
 def test_nested_class_stands_in_one_slot():
     box = "<section class=box><b>Also</b> <i>see</i> <u>this</u></section>"
     htmls = [_page(k, f"<p>text{k} x{k}</p>" + (box if k % 2 else "")) for k in range(8)]

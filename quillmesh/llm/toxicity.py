@@ -12,8 +12,9 @@ have weights of their own. Forward-backward gives each token's marginal; tokens
 on the training documents, of its greatest marginal and of its expected number of toxic tokens.
 
 Near copies of a training document are left out, as they would make its words look offensive.
-Training takes at most `ROWS` documents of each class, by the hash of their ids, and of
-these at most `CHARS` characters. Labels decide the training alone: scores depend on the text.
+Training takes at most `ROWS` documents of each class and half of `CHARS` characters of each, by
+the hash of their ids; one that does not fit is passed over, as is one of over `CHARS` / `PARTS`
+characters. Of several texts under one id it takes the shortest. Labels decide the training alone: scores depend on the text.
 
 Defined cases: null is the empty text; a text without tokens has the score of no evidence; equal
 rows have equal scores; where a document has several labels the highest counts and null
@@ -30,11 +31,12 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 1500
 CHARS = 16_000_000
+PARTS = 32
 SPAN = 0.5
 SEGMENT = 64  # tokens in a training chain
 EPOCHS = 60
@@ -241,12 +243,21 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Model:
     """Trains on a bounded sample of the labelled rows of docs (doc_id, text) that are not held out."""
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", F.length(text).alias("n"), F.xxhash64(text).alias("hash")).groupBy("doc_id").agg(F.min(F.struct("n", "hash")).alias("t"))
+    known = sized.join(known, "doc_id").select("doc_id", "t.n", "t.hash", "toxic").filter(F.col("n") <= chars // PARTS)
     order = F.xxhash64("doc_id")
-    ids = [known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
-    taken = F.broadcast(ids[0].unionByName(ids[1]))  # 2 * rows ids
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(taken, "doc_id").dropDuplicates(["doc_id"])
-    upto = F.sum(F.length("text")).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    found = texts.withColumn("upto", upto).filter(F.col("upto") <= chars).select("doc_id", "text", "toxic").collect()
+    chosen = []
+    for y in (0, 1):
+        left = chars // 2
+        for r in known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(rows).collect():  # ids and lengths
+            if r["n"] <= left:
+                left -= r["n"]
+                chosen.append(r)
+    taken = F.broadcast(docs.sparkSession.createDataFrame(chosen, known.schema))  # 2 * rows ids
+    same = (F.length("text") == F.col("n")) & (F.xxhash64("text") == F.col("hash"))
+    texts = docs.select("doc_id", text.alias("text")).join(taken, "doc_id").filter(same)
+    found = texts.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
     found.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in found], [r["toxic"] for r in found])
 

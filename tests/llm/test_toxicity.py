@@ -61,6 +61,17 @@ def test_scores_and_spans(spark):
     assert kept.columns == docs.columns and {1003, 1000, 1001} <= {r.doc_id for r in kept.collect()} and 1002 not in {r.doc_id for r in kept.collect()}
 
 
+def test_long_documents_do_not_end_the_sample(spark):
+    rows, labels = _corpus()
+    long = [(k, "w1 w2 " * 12_000) for k in range(5000, 5040)]
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(k, 1, 0) for k, _ in long], "doc_id long, quality int, toxic int")
+    model = t.fit(docs, marks, chars=60_000)
+    assert model.constant is None and {"vile", "filth", "scumbag"} <= set(model.words)
+    got = t.score(docs.filter("doc_id < 400"), model).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in got) / len(got) > 0.97
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     rows, labels = _corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")

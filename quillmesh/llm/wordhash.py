@@ -28,14 +28,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS = np.cumprod(np.full(64, BASE, dtype=np.uint64))
+KEPT_POWERS = 1 << 20
 
 
 def powers(n: int) -> np.ndarray:
-    """BASE ** 1 .. BASE ** n; the table grows by doubling."""
+    """BASE ** 1 .. BASE ** n; the table grows by doubling and is kept up to ``KEPT_POWERS``."""
     global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * _POWERS[-1]])
-    return _POWERS[:n]
+    table = _POWERS
+    while len(table) < n:
+        table = np.concatenate([table, table * table[-1]])
+    _POWERS = table[:KEPT_POWERS]
+    return table[:n]
 
 
 def words(data: bytes, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -207,8 +207,9 @@ def with_features(docs: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op7_png(spark, sf_dir: str) -> DataFrame:
-    """Every document as a PNG, read back."""
-    from quillmesh.llm.common import table
+    """Every document as a PNG in a table of the shared folder, read back from there."""
+    from quillmesh.llm.common import table, written
 
-    stored = with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return with_features(stored.select("doc_id", "n_bytes", "media")).drop("media")
+    media = with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = written(media.select("doc_id", "n_bytes", "media"), "media")
+    return with_features(stored).drop("media")

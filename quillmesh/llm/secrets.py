@@ -8,7 +8,8 @@ and joins the findings back to every path and version with that content.
 Defined cases: a null text is the empty text; an empty text has no findings and
 still enters the ledger; equal rows each get their own result row; a null path or
 version is kept; an empty table gives an empty result; only the named columns are
-read, so further columns with any name are harmless.
+read, so further columns with any name are harmless; texts are scanned whole, however
+long; a ledger that holds a pair twice gives its findings once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import written
+
+SALTS = 16  # tasks that the copies of one blob are dealt over
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -83,33 +88,50 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return placed.groupBy("blob", "rule", "rule_version").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scan versions (path, version, text) against a ledger.
+def _hashed(versions: DataFrame) -> DataFrame:
+    return versions.select("path", "version", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
 
-    Returns (findings, fresh): a row (path, version, blob, found: array<struct<rule, start, end>>
-    by start) for every input row, and the ledger rows to append.
-    """
-    hashed = versions.select("path", "version", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+def _key() -> Column:
+    return F.concat_ws("@", "rule", F.col("rule_version").cast("string"))
+
+
+def scan_unseen(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """The ledger rows to append: each blob of versions (path, version, text) by each rule that the ledger lacks for it."""
     wanted = F.array(*(F.lit(r.key) for r in rules))
-    blobs = hashed.select("blob", "text").dropDuplicates(["blob"])  # combined before the shuffle: copies travel once a task
-    key = F.concat_ws("@", "rule", F.col("rule_version").cast("string"))
+    blobs = _hashed(versions).select("blob", "text").dropDuplicates(["blob"])  # combined before the shuffle: copies travel once a task
     if ledger is None:
         blobs = blobs.withColumn("todo", wanted)
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(key).alias("seen"))
+        seen = ledger.groupBy("blob").agg(F.collect_set(_key()).alias("seen"))
         blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
-    fresh = scan_blobs(blobs.select("blob", "text", "todo"), rules)
-    known = fresh if ledger is None else fresh.unionByName(ledger.filter(key.isin([r.key for r in rules])).select(*fresh.columns))
+    return scan_blobs(blobs.select("blob", "text", "todo"), rules)
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """A row (path, version, blob, found: array<struct<start, ord, rule, end>> by start and rule) for every row of versions.
+
+    A pair that a ledger holds twice counts once. Copies of one blob are dealt over `SALTS` tasks.
+    """
     order = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("rule")).cast("int")
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order.alias("ord"), F.col("rule").alias("rule"), s["end"].alias("end")))
     by_blob = (
-        known.filter(F.size("spans") > 0)
+        ledger.filter(_key().isin([r.key for r in rules]) & (F.size("spans") > 0))
+        .dropDuplicates(["blob", "rule", "rule_version"])
         .groupBy("blob")
-        .agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order.alias("ord"), F.col("rule").alias("rule"), s["end"].alias("end"))))).alias("found"))
-        .select("blob", F.array_sort("found").alias("found"))
+        .agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("found"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
+    salted = _hashed(versions).select("path", "version", "blob", F.pmod(F.xxhash64("path", "version"), F.lit(SALTS)).cast("int").alias("salt"))
     none = F.array().cast("array<struct<start:int,ord:int,rule:string,end:int>>")
-    findings = hashed.select("path", "version", "blob").join(by_blob, "blob", "left").select("path", "version", "blob", F.coalesce("found", none).alias("found"))
-    return findings, fresh
+    return salted.join(by_blob, ["blob", "salt"], "left").select("path", "version", "blob", F.coalesce("found", none).alias("found"))
+
+
+def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scans versions against a ledger -> (their findings, the fresh ledger rows), which are written first."""
+    fresh = written(scan_unseen(versions, rules, ledger), "ledger")
+    known = fresh if ledger is None else fresh.unionByName(ledger.select(*fresh.columns))
+    return findings(versions, known, rules), fresh
 
 
 def joined(found: Column) -> Column:
@@ -122,15 +144,21 @@ def _equals(value: str):
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
-    """Every document as one version of one path, against an empty ledger."""
+    """Every document as one version of one path, that arrive in two runs over one ledger.
+
+    The first run scans half of the paths, by hash, and writes its ledger; the second scans those blobs of
+    the others that the ledger lacks; the findings of both are joined back to all paths.
+    """
     from quillmesh.llm.common import table
 
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
-    findings, _ = scan_versions(versions)
+    early = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    ledger = written(scan_unseen(versions.filter(early)), "ledger")
+    ledger = ledger.unionByName(written(scan_unseen(versions.filter(~early), ledger=ledger), "ledger"))
     kinds = [r.kind for r in BASE_RULES]
     base = F.filter("found", lambda x: x["rule"].isin(kinds))
     counts = [F.size(F.filter(F.transform("found", lambda x: x["rule"]), _equals(k))).cast("long").alias(f"n_{k}") for k in kinds]
-    return findings.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return findings(versions, ledger).select(F.col("path").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
 def _oracle() -> str:

@@ -25,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.llm import common
+
 SEQUENCE = 256  # ids in a sequence
 ROWS = 2048  # sequences in a record batch
 END_ID = 2
-CACHE = 1_000_000  # chunks that a worker keeps with their ids; above it, it starts anew
+CACHE = 96 << 20  # bytes, at about ENTRY each, of the chunks that a worker keeps with their ids; above it, it starts anew
+ENTRY = 200
+PART_BYTES = 64 << 20  # of the table's estimated size for each file
 
 SCHEMA = pa.schema(
     [
@@ -47,19 +51,21 @@ class Encoder:
     A byte-level vocabulary's pre-tokenizer breaks before every single space and around
     one or two line ends that stand between other characters, so where these are a text's
     only white space, what lies between the breaks can be encoded apart, and so can
-    a comma or full stop behind a letter. Any other text is encoded as a whole.
+    a comma or full stop behind a letter. Any other text is encoded as a whole, and so is
+    one that holds the string of a special token, which the library makes one id.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.newline = self._ids("\n")
         self.fixed = {c: self._bytes(c) for c in ("", "\n", ",", ".")}
         self.known: dict[str, bytes] = dict(self.fixed)
+        self.held = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,9 +73,10 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype=np.uint16).tobytes()
 
-    @staticmethod
-    def plain(text: str) -> bool:
+    def plain(self, text: str) -> bool:
         """Whether the text can be cut before its spaces and around its line ends."""
+        if any(s in text for s in self.special):
+            return False
         if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\0" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
             return False
         return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")  # no other white space
@@ -102,12 +109,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
         cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.plain(t) else None for t in texts]
-        if len(self.known) > CACHE:
-            self.known = dict(self.fixed)
+        before = len(self.known)
         self.learn({c for x in cut if x is not None for c in x})
+        self.held += ENTRY * (len(self.known) - before)
         whole = iter(self.tokenizer.encode_batch([t for t, x in zip(texts, cut, strict=True) if x is None], add_special_tokens=False))
         get = self.known.__getitem__
-        return [np.array(next(whole).ids, dtype=np.uint16).tobytes() if x is None else b"".join(map(get, x)) for x in cut]
+        out = [np.array(next(whole).ids, dtype=np.uint16).tobytes() if x is None else b"".join(map(get, x)) for x in cut]
+        if self.held > CACHE:
+            self.known, self.held = dict(self.fixed), 0
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -156,7 +166,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, partitions: int |
     Returns the manifest, a row for each file in id order: file, path, n_docs, n_tokens.
     Its rows are as many as the files.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or common.partitions(docs, PART_BYTES)
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +198,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, partitions: int |
             path = f"{folder.rstrip('/')}/part-{number:05d}.arrow"
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([docs_n]), pa.array([tokens_n])], names=["file", "path", "n_docs", "n_tokens"])
 
-    return ordered.mapInArrow(write, MANIFEST)
+    return ordered.mapInArrow(common.freeing(write), MANIFEST)
 
 
 def sequences(path: str, rows: slice | None = None) -> pa.Table:
@@ -243,7 +253,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([found.column(0), start, found.column(2), found.column(3)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = placed.repartitionByRange(max(1, manifest.count()), "file").select("path", "before")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(common.freeing(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:

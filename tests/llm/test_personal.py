@@ -3,6 +3,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from quillmesh.llm import personal as p
 
 PLAIN = {
@@ -34,7 +36,7 @@ def _tables():
         rows.append((k, fill(rng.randrange(3, 30))))
     for k in range(60, 66):
         rows.append((k, f"{fill(12)} Zorblax, wrote to jo@mail.org {fill(k % 7 + 5)} codename77"))
-    rows += [(70, "seen once: Quux 10.0.0.1"), (71, None), (72, ""), (None, "call +1 234 567 8901 now"), (66, rows[61][1]), (66, rows[61][1]), (73, fill(4000) + " jo@mail.org Zorblax " + fill(4000))]
+    rows += [(70, "seen once: Quux 10.0.0.1"), (71, None), (72, ""), (None, "call +1 234 567 8901 now"), (66, rows[61][1]), (66, rows[61][1]), (73, fill(4000) + " jo@mail.org Zorblax " + fill(4000)), (74, "of Zorblax alone")]
     return rows
 
 
@@ -44,40 +46,55 @@ def _brute(rows):
     for k, t in enumerate(texts):
         for w in {p.term_of(x) for x in t.split()}:
             held[w] += 1
+        for a, kind, b in p.base_spans(t):
+            entity[f"{p.KINDS[kind]}:{t[a:b].lower()}"].add(k)
         for e, w, *_ in p.contexts(t, p.base_spans(t)):
             joint[e, w].add(k)
             kinds[e, w].add(t)
-            entity[e].add(k)
     n = len(rows)
     tell = set()
     for (e, w), at in joint.items():
         info = math.log2(n / len(entity[e]))
         if len(kinds[e, w]) >= p.SUPPORT and info > 0 and math.log2(n * len(at) / (len(entity[e]) * held[w])) >= p.DISCLOSURE * info:
             tell.add((e, w))
-    return [sorted({(a, b) for e, w, a, b in p.contexts(t, p.base_spans(t)) if (e, w) in tell}) for t in texts], tell
+    words = {w for _, w in tell}
+    apart = lambda m, spans: all(m.end() <= a or m.start() >= b for a, _, b in spans)
+    return [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if p.term_of(m[0]) in words and apart(m, p.base_spans(t))] for t in texts], tell
 
 
-def test_terms(spark):
+@pytest.mark.parametrize("at_once", [p.TERMS_AT_ONCE, 0])
+def test_terms(spark, at_once):
     rows = _tables()
     want, tell = _brute(rows)
     assert ("email:jo@mail.org", "zorblax") in tell and not any(w in ("the", "alpha") for _, w in tell)
-    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, part string, terms string")
-    got = [(r.doc if r.doc != -(1 << 63) else None, r.base, [tuple(x) for x in r.terms]) for r in p.find_personal(docs).collect()]
-    base = [",".join(f"{p.KINDS[k]}:{a}:{b}" for a, k, b in _plain(t or "")) for _, t in rows]
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
-    assert sorted(got, key=key) == sorted(((d, b, w) for (d, _), b, w in zip(rows, base, want)), key=key)
+    assert want[-1], "a term in a text without entities"
+    docs = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], "doc_id long, text string, part string, terms string, row int")
+    got = [(r.row.doc_id, r.base, [tuple(x) for x in r.terms], r.spans, r.n_email, r.n_ip) for r in p.find_personal(docs, at_once=at_once).collect()]
+    spans = [_plain(t or "") for _, t in rows]
+    base = [",".join(f"{p.KINDS[k]}:{a}:{b}" for a, k, b in s) for s in spans]
+    every = [",".join(f"{k}:{a}:{b}" for a, b, k in p.all_spans(s, w)) for s, w in zip(spans, want)]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(((d, b, w, e, sum(x[1] == 0 for x in s), sum(x[1] == 1 for x in s)) for (d, _), b, w, e, s in zip(rows, base, want, every, spans)), key=key)
+
+
+def test_long_runs_of_digits():
+    for text in ("0" * 5000 + "1.1.1.1 x", "9" * 5000 + ".1.1.1", "1.2.3." + "0" * 6000 + "255", "+" + "1" * 9000):
+        found = [text[a:b] for a, k, b in p.base_spans(text) if k == 1]
+        assert len(found) == (text[0] in "01")
 
 
 def test_redaction(spark):
     rows = _tables()
-    docs = spark.createDataFrame([(d, t, 0, "y") for d, t in rows], "doc_id long, text string, n_chars long, part string")
+    docs = spark.createDataFrame([(d, t, 0, "y", 1) for d, t in rows], "doc_id long, text string, n_chars long, part string, row int")
     got = p.redact(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
     by = {r.doc_id: r for r in got.collect()}
-    for d, t in rows:
-        if not p.base_spans(t or ""):
+    want, _ = _brute(rows)
+    for (d, t), w in zip(rows, want):
+        if not p.base_spans(t or "") and not w:
             assert by[d].text == t
-    assert "jo@mail.org" not in by[61].text and "Zorblax" not in by[61].text and "[EMAIL]" in by[61].text and "[NAME]" in by[61].text
+    assert "jo@mail.org" not in by[61].text and "[EMAIL]" in by[61].text and "[NAME]" in by[61].text
+    assert not any("Zorblax" in (r.text or "") for r in by.values())
     assert by[61].n_chars == len(by[61].text)
     assert p.redacted("a 1.2.3.4 b", [(2, 9, "ip"), (2, 5, "term")]) == "a [IP] b"
     assert p.redact(docs.limit(0)).count() == 0

@@ -36,7 +36,7 @@ from quillmesh.llm import wordhash
 from quillmesh.llm.common import freeing, written
 
 CONTEXT = 8
-DISCLOSURE = 0.8
+DISCLOSURE = 0.9
 SUPPORT = 3
 TERMS_AT_ONCE = 1_000_000  # hashes of disclosing terms that every task may hold, 8 MB; more are joined
 
@@ -134,9 +134,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, ident in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             value = text.as_py()
             if spans := base_spans(value):
-                rows += [(_hash(f"{KINDS[k]}:{value[a:b].lower()}"), None, ident) for k, a, b in {(k, a, b) for a, k, b in spans}]
+                rows += [(_hash(e), None, ident) for e in {f"{KINDS[k]}:{value[a:b].lower()}" for a, k, b in spans}]
                 rows += [(_hash(e), _hash(t), ident) for e, t in {(e, t) for e, t, *_ in contexts(value, spans)}]
-        rows = list(dict.fromkeys(rows))  # an entity may come again
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["entity", "term", "text"])
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index of each training shard.
 
-A task gathers documents into shards of about `SHARD_WORDS` words. A shard's text is
+A task gathers documents into shards of about `SHARD_WORDS` words, counted as `WORD_BYTES` each. A shard's text is
 its words as symbols: a benchmark word is its number, and a run of other words, like
 the end of a document, is one shared symbol, which no test phrase has. The shard's
 suffixes are sorted, its Burrows-Wheeler transform goes into a wavelet matrix whose
@@ -8,9 +8,10 @@ ranks answer backward search for all test phrases at once, and occurrences are l
 by walking back to sampled suffix positions. Their word ranges merge into removal spans.
 
 Test phrases are all windows of `WINDOW` consecutive words of each item; an item with
-fewer words, but not none, is one phrase. The benchmark is read in blocks of about
-`BLOCK_BYTES` of text; each block is broadcast and searched in all shards, so what a
-task holds is bounded however large the benchmark is. There is no shuffle.
+fewer words, but not none, is one phrase. A benchmark of at most `BLOCK_BYTES` of text is
+broadcast. A larger one is written to the shared folder in blocks of about that size, and
+each shard is indexed for and searched with one block after the other, so what a task holds is
+a shard and a block, however large the benchmark is. There is no shuffle of documents.
 
 Defined cases: null and empty texts have no words and no hits; items with null or empty
 texts have no phrases; items that share an id count once; a null item id is the text
@@ -27,13 +28,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.llm.common import freeing, shared_path
+
 WINDOW = 10
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 750_000
 BLOCK_BYTES = 2 << 20
+WORD_BYTES = 6  # of a word and its space, about
 SAMPLE = 32  # every so many text positions are stored
 END, OTHER = 0, 1  # symbols below the words' numbers
 
@@ -64,11 +69,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     for i in range(depth):
         key <<= bits
         key[: n - i] |= s[i:] if i else s
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)
     head = np.empty(n, dtype=bool)
-    head[0], head[1:] = True, np.diff(key[sa]) != 0
-    rank = np.empty(n, dtype=np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    key = key[sa]
+    head[0], head[1:] = True, key[1:] != key[:-1]
+    del key
+    rank = np.empty(n, dtype=np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
     while True:
         alone = head & np.append(head[1:], True)
         slots = np.flatnonzero(~alone)
@@ -77,7 +84,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         at = sa[slots]
         later = at + depth
         second = np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)
-        key = rank[at] * (n + 1) + second
+        key = rank[at].astype(np.int64) * (n + 1) + second
         order = np.argsort(key)
         at, key = at[order], key[order]
         sa[slots] = at
@@ -140,7 +147,7 @@ class FMIndex:
     """Backward search and location over a sequence of symbols that has no END of its own."""
 
     def __init__(self, symbols: np.ndarray) -> None:
-        s = np.append(symbols, END).astype(np.int64)
+        s = np.append(symbols, END).astype(np.int32)
         sa = suffix_array(s)
         bwt = s[sa - 1]
         self.size = len(s)
@@ -231,8 +238,10 @@ def search_shard(phrases: Phrases, docs: list[np.ndarray]) -> tuple[list[list[tu
     doc = np.searchsorted(begin, edge[0::2], side="right") - 1
     for d, a, b in zip(doc.tolist(), (edge[0::2] - begin[doc]).tolist(), (edge[1::2] - begin[doc]).tolist(), strict=True):
         hits[d].append((a, b))
+    met = np.unique((np.searchsorted(begin, start, side="right") - 1) * len(phrases.sizes) + phrase)  # a phrase counts once in a document
+    owner, phrase = met // len(phrases.sizes), met % len(phrases.sizes)
     slots, which = _expand(phrases.owner_at[phrase], np.diff(phrases.owner_at)[phrase])
-    pairs = np.unique((np.searchsorted(begin, start, side="right") - 1)[which] * len(phrases.names) + phrases.owner[slots])
+    pairs = np.unique(owner[which] * len(phrases.names) + phrases.owner[slots])
     for p in pairs.tolist():
         items[p // len(phrases.names)].append(phrases.names[p % len(phrases.names)])
     return hits, items
@@ -248,6 +257,22 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+def _block_file(folder: str, block: int) -> str:
+    return f"{folder}/block={block}"
+
+
+def _blocks(folder: str, n: int) -> Iterator[list[tuple[object, str | None]]]:
+    """The items of each block of a benchmark in the shared folder, one block after the other."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for block in range(n):
+        path = _block_file(folder, block)
+        store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        if store.get_file_info(at).type == fs.FileType.Directory:  # a block may be empty
+            yield [tuple(r.values()) for r in pq.read_table(at, filesystem=store, columns=["item_id", "text"]).to_pylist()]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, hits (ranges of hit words, end exclusive) and items (ids as strings, sorted) to docs (text, ...)."""
     spark = docs.sparkSession
@@ -255,54 +280,62 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
     kept = [c for c in docs.columns if c not in RESULT.names]
-    out = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.array().cast(RESULT["hits"].dataType).alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *RESULT.fields])
-    for block in range(n_blocks):
-        mine = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in mine.collect()], window))  # about block_bytes
-        out = out.mapInArrow(_search(phrases, shard_words), schema)
-    return out
+    if n_blocks == 1:
+        held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in items.collect()], window))  # of at most block_bytes
+        each = lambda: iter([held.value])
+    else:
+        folder = shared_path(spark, "benchmark")
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int")
+        items.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(folder)
+        each = lambda: (Phrases(x, window) for x in _blocks(folder, n_blocks))
+    return docs.select(*kept).mapInArrow(freeing(_search(each, shard_words)), schema)
+
 
+def _search(each, shard_words: int):
+    """each: gives the blocks of phrases, one after the other."""
 
-def _search(phrases, shard_words: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Phrases = phrases.value
-        get = known.numbers.get
         held: list[pa.RecordBatch] = []
-        symbols: list[np.ndarray] = []
-        size = 0
+        words = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            hits, items = search_shard(known, symbols)
+            n = sum(b.num_rows for b in held)
+            sizes, hits, items = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
+            for phrases in each():
+                get, symbols = phrases.numbers.get, []
+                for batch in held:
+                    for text in batch.column(batch.schema.names.index("text")).to_pylist():
+                        w = words_of(text)
+                        symbols.append(np.fromiter(map(get, w, repeat(OTHER)), dtype=np.int32, count=len(w)))
+                sizes = list(map(len, symbols))
+                for k, (spans, names) in enumerate(zip(*search_shard(phrases, symbols), strict=True)):
+                    if spans:
+                        hits[k] = _merged(hits[k], spans)
+                        items[k].update(names)
             at = 0
             for batch in held:
                 high = at + batch.num_rows
-                old = batch.column(batch.num_columns - 2).to_pylist()
-                spans = [_merged([(x["start"], x["end"]) for x in o], h) if o else h for o, h in zip(old, hits[at:high], strict=True)]
-                names = [sorted({*o, *x}) for o, x in zip(batch.column(batch.num_columns - 1).to_pylist(), items[at:high], strict=True)]
                 new = [
-                    pa.array([len(x) for x in symbols[at:high]], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(names, pa.list_(pa.string())),
+                    pa.array(sizes[at:high], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in hits[at:high]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([sorted(x) for x in items[at:high]], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *RESULT.names])
                 at = high
 
         for whole in batches:
-            place = whole.schema.names.index("text")
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
                 held.append(batch)
-                for text in batch.column(place).to_pylist():
-                    w = words_of(text)
-                    symbols.append(np.fromiter(map(get, w, repeat(OTHER)), dtype=np.int32, count=len(w)))
-                    size += len(w)
-                if size >= shard_words:
+                text = batch.column(batch.schema.names.index("text"))
+                words += pa.compute.sum(pa.compute.binary_length(text)).as_py() or 0
+                if words >= WORD_BYTES * shard_words:
                     yield from flush()
                     held.clear()
-                    symbols.clear()
-                    size = 0
-        yield from flush()
+                    words = 0
+        if held:
+            yield from flush()
 
     return search
 

@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.llm.common import freeing
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_PENALTY = 10.0
-CACHE = 200_000  # chunks that a worker keeps with their ids; above it, it starts anew
+CACHE = 32 << 20  # bytes, ENTRY and its text for each, of the chunks that a worker keeps with their ids; above it, it starts anew
+ENTRY = 200
 CELLS = 1_000_000  # of a padded group of chunks
 PART = 256  # texts that are encoded together
 
@@ -146,6 +149,7 @@ class Codec:
         surface = lambda p, k: bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
         self.surface = [surface(p, k) for p, k in zip(vocab.pieces, vocab.kinds, strict=True)]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def segment(self, chunks: list[bytes]) -> list[list[int]]:
         """The best segmentation of each chunk."""
@@ -217,13 +221,15 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
         cut = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         new = [c for c in {c for x in cut for c in x} if c not in self.known]
         for c, ids in zip(new, self.segment([c.encode() for c in new]), strict=True):
             self.known[c] = np.array(ids, dtype="<u2").tobytes()
+            self.held += ENTRY + len(c)
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        out = [b"".join(map(get, x)) for x in cut]
+        if self.held > CACHE:
+            self.known, self.held = {}, 0
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids."""
@@ -260,7 +266,7 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 decoded = pa.array([codec.decode(np.frombuffer(x, "<u2").tolist()) for x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), decoded], names=schema.names)
 
-    return docs.select(*kept, F.col(text).alias("_coded")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("_coded")).mapInArrow(freeing(run), schema)
 
 
 DIGEST = "n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, lossless boolean"

@@ -1,8 +1,8 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact checks.
 
 The elements of a text are its distinct runs of `SHINGLE` words (white space apart, A-Z
-lower-cased; all words where there are fewer), each with a weight: 1, or with
-``weighted`` its number of occurrences. An element's region is its weight by all ranks;
+lower-cased; all words where there are fewer), each with a weight: its number of
+occurrences, or 1 without ``weighted``. An element's region is its weight by all ranks;
 darts fall on it as a Poisson process seeded by the element's hash alone, so texts that
 share an element share its darts. A dart names one of `COORDINATES` coordinates, and each
 coordinate keeps its earliest dart. The throw goes up to the rank where a text of its weight
@@ -24,7 +24,8 @@ a band and whose exact similarity is `THRESHOLD` or more:
 
 Defined cases: null is the empty text; texts without words are equal to each other only
 where they are the same text; equal rows are in one class; a null doc_id is a document
-like any other and names a class only where all its ids are null; an empty table gives an
+like any other and names a class only where all its ids are null; classes that share a
+least id, as rows of one id but unlike texts do, differ in class_node; an empty table gives an
 empty result; further columns are not read. Equality of texts is that of 64-bit hashes.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import wordhash
-from quillmesh.llm.common import written
+from quillmesh.llm.common import freeing, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -140,39 +141,31 @@ def _sign(weighted: bool):
     return sign
 
 
-def _element_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> node, elements, times"""
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for low, high in wordhash.blocks(texts):
-            owner, element, times = elements(texts[low:high])
-            at = pa.array(np.searchsorted(owner, np.arange(high - low + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(at, pa.array(element.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))], names=["node", "elements", "times"]
-            )
+def _element_lists(weighted: bool):
+    """(node, text) -> node, elements: each once, or with ``weighted`` a number for each of its occurrences, so that sizes are weights."""
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for low, high in wordhash.blocks(texts):
+                owner, element, times = elements(texts[low:high])
+                if weighted:
+                    which = np.repeat(np.arange(len(times)), times)
+                    turn = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                    owner, element = owner[which], element[which]
+                    element = np.where(turn == 0, element, wordhash.mix(element + turn.astype(np.uint64) * wordhash.MIX_A))
+                at = pa.array(np.searchsorted(owner, np.arange(high - low + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(at, pa.array(element.view(np.int64)))], names=["node", "elements"])
 
-def _similar(pairs: DataFrame, lists: DataFrame, weighted: bool, threshold: float) -> DataFrame:
-    """pairs (a, b) whose exact similarity reaches the threshold."""
-    one = lists.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("times").alias("ta"))
-    two = lists.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("times").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b")
-    if not weighted:
-        common = F.size(F.array_intersect("ea", "eb"))
-        return both.filter(common >= threshold * (F.size("ea") + F.size("eb") - common)).select("a", "b")
-
-    @F.pandas_udf("boolean")
-    def enough(ea, ta, eb, tb):
-        import pandas as pd
-
-        def one(x, i, y, j):
-            _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            low = np.minimum(np.asarray(i)[p], np.asarray(j)[q]).sum()
-            return low >= threshold * (np.sum(i) + np.sum(j) - low)
+    return listed
 
-        return pd.Series([bool(one(*r)) for r in zip(ea, ta, eb, tb, strict=True)])
 
-    return both.filter(enough("ea", "ta", "eb", "tb")).select("a", "b")
+def _similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a, b) whose exact similarity reaches the threshold."""
+    one = lists.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
+    two = lists.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    common = F.size(F.array_intersect("ea", "eb"))
+    return pairs.join(one, "a").join(two, "b").filter(common >= threshold * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,11 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> its rows (node, doc_id, text), and node, doc_id (its least), label (of its component) for every node."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    signed = rows.mapInArrow(_sign(weighted), "node long, doc_id long, sig array<long>, bands array<long>")
+    signed = rows.mapInArrow(freeing(_sign(weighted)), "node long, doc_id long, sig array<long>, bands array<long>")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
 
     each = nodes.select("node", F.explode("bands").alias("key"))
@@ -205,24 +198,24 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fa
     met = members.groupBy("node").agg(F.sum("times").alias("met"))
     pivots = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     texts = rows.select("node", "text").dropDuplicates(["node"]).join(met, "node", "left_semi")
-    lists = written(texts.mapInArrow(_element_lists, "node long, elements array<long>, times array<int>"), "elements")
+    lists = written(texts.mapInArrow(freeing(_element_lists(weighted)), "node long, elements array<long>"), "elements")
 
     signs = nodes.select("node", "sig")
     star = members.join(pivots, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     first = written(star, "pairs")
-    links = written(_similar(_agreeing(first, signs, threshold), lists, weighted, threshold), "links")
+    links = written(_similar(_agreeing(first, signs, threshold), lists, threshold), "links")
     labels = components(links)
     # buckets that still hold several components
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     apart = written(named.join(split, "key"), "apart")
-    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node"), weighted), "node").join(signs, "node")
+    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node")), "node").join(signs, "node")
     one, two = (sized.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "total", "shared", "least", "sig"))) for k in "xy")
     # what two texts have in common is at most what either shares with any other
     possible = F.least("shared_x", "shared_y") * (1 + threshold) >= threshold * (F.col("total_x") + F.col("total_y"))
-    across = one.join(two, "key").filter((F.col("label_x") < F.col("label_y")) & possible & _agree("sig_x", "sig_y", threshold) & (F.lit(True) if weighted else _close("least_x", "least_y", threshold))).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    across = one.join(two, "key").filter((F.col("label_x") < F.col("label_y")) & possible & _agree("sig_x", "sig_y", threshold) & _close("least_x", "least_y", threshold)).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     across = across.join(first, ["a", "b"], "left_anti")
-    more = written(_similar(across, lists, weighted, threshold), "links")
+    more = written(_similar(across, lists, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -230,20 +223,18 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fa
 
 
 def near_classes(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, node (of its text), class_id (the least doc_id of its class) for every row."""
+    """docs (doc_id, text) -> doc_id, node (of its text), class_id (the least doc_id of its class), class_node (the class, whatever its ids) for every row."""
     rows, labelled = _labelled(docs, **options)
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    classes = labelled.join(least, "label").select("node", "class_id")
-    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id")
+    classes = labelled.join(least, "label").select("node", "class_id", F.col("label").alias("class_node"))
+    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id", "class_node")
 
 
-def _shared_weight(lists: DataFrame, weighted: bool) -> DataFrame:
+def _shared_weight(lists: DataFrame) -> DataFrame:
     """node, total (its weight), shared (the weight of its elements that another of these nodes has too), least (its least elements)."""
-    weight = F.col("e.times") if weighted else F.lit(1)
-    each = lists.select("node", F.explode(F.arrays_zip("elements", "times")).alias("e")).select("node", F.col("e.elements").alias("element"), weight.cast("long").alias("w"))
-    own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.min("w").alias("w")).filter("nodes = 1").groupBy("node").agg(F.sum("w").alias("own"))
-    total = F.aggregate("times", F.lit(0).cast("long"), lambda n, x: n + x) if weighted else F.size("elements").cast("long")
-    least = F.slice(F.array_sort("elements"), 1, LEAST)
+    each = lists.select("node", F.explode("elements").alias("element"))
+    own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    total, least = F.size("elements").cast("long"), F.slice(F.array_sort("elements"), 1, LEAST)
     return lists.select("node", total.alias("total"), least.alias("least")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"), "least")
 
 
@@ -299,4 +290,4 @@ def op5_dart_minhash(spark, sf_dir: str) -> DataFrame:
     """Every document with the class of its near copies."""
     from quillmesh.llm.common import table
 
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_node")

@@ -45,7 +45,7 @@ def freeing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
 
 def partitions(df: DataFrame, size: int) -> int:
     """How many partitions of about ``size`` bytes ``df`` makes by Spark's estimate of it, the session's number at least."""
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(-(-estimate // size), 1_000_000))
 

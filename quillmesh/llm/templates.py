@@ -21,15 +21,15 @@ article or main element stays in spite of its words where its text is most of th
 all of it where no marked element stays otherwise, and else, only for words that
 layouts use as well (`LAYOUT_NAMES`), of the text in marked elements.
 
-Hosts with over a hundredth of all pages, of which there are at most a hundred, are salted, so
-one host's pages go to many tasks, about `GROUP` or more together; a group never leaves its
-task. The last pages of a host are halved, so hosts of more than `GROUP` pages have groups of
-`GROUP` / 2 pages or more.
+Hosts with over a hundredth of all pages, of which there are at most a hundred, are dealt out by the
+hash of page_id into groups of about `GROUP`, so they go to many tasks. Other hosts' pages are
+cut by page_id in groups of `GROUP`, the last pages halved, so no group of a host of more than `GROUP`
+pages has under `GROUP` / 2. The groups depend on the pages alone, not on the cluster's settings.
 
 Defined cases: null or empty html has no text; a null url or one without a host is host "";
 a group of fewer than `LEAST` different pages has no template, and its pages are judged
 by their elements alone; unclosed and stray tags are tolerated, a page that ends
-early gives what it has; equal rows each give their row; an empty table gives an empty
+early gives what it has; after a tag with an unclosed quote tags end at their first ">"; equal rows each give their row; an empty table gives an empty
 result; only page_id, url and html are read.
 """
 
@@ -45,11 +45,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm import common
+
 GROUP = 48
+PART_BYTES = 16 << 20  # of the table's estimated size for each partition
 LEAST = 3
 SHARE = 0.6
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+DEPTH = 512  # open elements; as in browsers, what nests deeper stands beside the last
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[^a-z]+")
@@ -108,18 +114,78 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, Named | None]:
     return (f"{tag}.{found['class'].split()[0]}" if found.get("class", "").split() else tag), main, tag in OUT_TAGS, named
 
 
+class _Tags:
+    """Iterates over (end of the text before, its start, closing, tag, attributes) of a page; the last has no tag. Each character is looked at a few times at most."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at = source, 0
+        self.quoted = True  # until a tag's quotes are not closed
+        self.last = source.rfind(">")
+
+    def skip(self, tag: str) -> None:
+        """Past the closing tag of an element without markup."""
+        found = re.compile(rf"</{re.escape(tag)}\b", re.I).search(self.source, self.at)
+        end = self.source.find(">", found.end()) if found else -1
+        self.at = end + 1 if end >= 0 else len(self.source)
+
+    def _after(self, end: int, size: int) -> int:
+        return end + size if end >= 0 else len(self.source)
+
+    def _element(self, at: int) -> tuple[int, int, str, str] | None:
+        """(end, closing, tag, attributes) of the tag at a place."""
+        m = _OPEN.match(self.source, at) if at < self.last else None
+        if not m:
+            return None
+        rest = _REST.match(self.source, m.end()) if self.quoted else None
+        if rest:
+            return rest.end(), bool(m[1]), m[2].lower(), rest[1]
+        self.quoted = False
+        end = self.source.find(">", m.end())
+        return (end + 1, bool(m[1]), m[2].lower(), self.source[m.end() : end]) if end >= 0 else None
+
+    def __iter__(self):
+        source, look = self.source, 0
+        while self.at < len(source):
+            low = self.at
+            upto = source.find("<", max(low, look))
+            if upto < 0:
+                self.at = len(source)
+                yield len(source), low, False, "", ""
+                return
+            head = source[upto : upto + 9]
+            if head.startswith("<!--"):
+                self.at = self._after(source.find("-->", upto + 4), 3)
+            elif head == "<![CDATA[":
+                self.at = self._after(source.find("]]>", upto + 9), 3)
+            elif head[1:2] in ("!", "?"):
+                self.at = self._after(source.find(">", upto), 1)
+            elif found := self._element(upto):
+                self.at, *element = found
+                yield upto, low, *element
+                continue
+            else:
+                look = upto + 1  # no tag: text
+                continue
+            yield upto, low, False, "", ""
+
+
 def parse(html: str | None) -> Page:
     """The blocks and elements of a page, in order."""
     page, text, source = Page(), [], html or ""
     stack: list[tuple[str, str, bool, bool, Named | None]] = []  # tag, name, main, out, out by names
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal ones are one object
+
+    def path() -> tuple[str, ...]:
+        own = tuple(s[1] for s in stack if s[0] in BLOCKS)
+        return paths.setdefault(own, own)
 
     def flush() -> None:
         words = _SPACE.sub(" ", "".join(text)).strip()
         text.clear()
         if words:
-            path = tuple(s[1] for s in stack if s[0] in BLOCKS)
-            page.blocks.append(Block(path, words, any(s[2] for s in stack), any(s[3] for s in stack), [s[4] for s in stack if s[4]]))
-            page.tokens += [(w, *path) for w in words.split()]
+            at = path()
+            page.blocks.append(Block(at, words, any(s[2] for s in stack), any(s[3] for s in stack), [s[4] for s in stack if s[4]]))
+            page.tokens += [(w, at) for w in words.split()]
 
     def close(tag: str, stop: tuple[str, ...] = ()) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -129,18 +195,9 @@ def parse(html: str | None) -> Page:
                 del stack[k:]
                 return
 
-    at = 0
-    while at < len(source):
-        m = _TAG.search(source, at)
-        upto = m.start() if m else len(source)
+    for upto, at, closing, tag, attrs in (tags := _Tags(source)):
         if upto > at:
             text.append(entities.unescape(source[at:upto]))
-        if not m:
-            break
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            continue
-        tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag == "br":
@@ -148,20 +205,20 @@ def parse(html: str | None) -> Page:
             continue
         if tag in BLOCKS:
             flush()
-        if m[1]:
+        if closing:
             close(tag)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            tags.skip(tag)
             continue
         if tag in ENDS_P:
             close("p", ("td", "th", "div", "section", "article", "main", "body", "button"))
         for other in CLOSES.get(tag, ()):
             close(other, KEEPS[tag])
-        name, main, out, named = _marks(tag, m[3])
-        page.tokens.append(("<", *(s[1] for s in stack if s[0] in BLOCKS), name))
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        name, main, out, named = _marks(tag, attrs)
+        page.tokens.append(("<", path(), name))
+        if tag not in VOID and not attrs.rstrip().endswith("/"):
+            del stack[DEPTH:]
             if main and not any(s[2] for s in stack):
                 for x in [*(s[4] for s in stack), named]:
                     if x:
@@ -250,12 +307,12 @@ def main_texts(htmls: list[str | None]) -> list[str]:
         return set(), []
 
     def slots(blocks: list[Block], tokens: set[tuple]) -> list[Block]:
-        return [b for b in blocks if not (tokens and all((w, *b.path) in tokens for w in b.text.split()))]
+        return [b for b in blocks if not (tokens and all((w, b.path) in tokens for w in b.text.split()))]
 
     if marked:
         everywhere, nested = deduced(marked)
         mine = {k: [b for b in pages[k].blocks if b.main and not b.out] for k in marked}
-        words = {k: {(w, *b.path) for b in mine[k] for w in b.text.split()} for k in marked}
+        words = {k: {(w, b.path) for b in mine[k] for w in b.text.split()} for k in marked}
         if 2 * sum(len(x & everywhere) for x in words.values()) > sum(map(len, words.values())):
             everywhere = set()
         inner = set().union(*nested)
@@ -265,7 +322,7 @@ def main_texts(htmls: list[str | None]) -> list[str]:
             for c in nested:
                 if not copied and not c.isdisjoint(words[k]):
                     rest = slots(data, everywhere | c)
-                    if all(c.isdisjoint((w, *b.path) for w in b.text.split()) for b in [*rest, *(b for b in data if b.path[-1:] and b.path[-1].split(".")[0] == "h1")]):
+                    if all(c.isdisjoint((w, b.path) for w in b.text.split()) for b in [*rest, *(b for b in data if b.path[-1:] and b.path[-1].split(".")[0] == "h1")]):
                         data = rest
             out[k] = "\n\n".join(b.text for b in data or mine[k])
     if not bare:
@@ -289,7 +346,7 @@ def main_texts(htmls: list[str | None]) -> list[str]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, page_id, url, html) by host -> page_id, url, text"""
+    """Rows (group, page_id, url, html) by group -> page_id, url, text"""
     held: list[tuple] = []
 
     def emit(n: int) -> pa.RecordBatch:
@@ -318,15 +375,15 @@ def host_of(url):
 
 def main_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text"""
-    n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or common.partitions(pages, PART_BYTES)
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
     hot = counts.filter(F.col("n") * 100 > total).collect()  # a hundred at most
-    salts = F.create_map(*(F.lit(x) for r in hot for x in (r["host"], max(1, min(2 * n, r["n"] // GROUP))))) if hot else None
+    salts = F.create_map(*(F.lit(x) for r in hot for x in (r["host"], max(1, r["n"] // GROUP)))) if hot else None
     salt = F.pmod(F.xxhash64("page_id"), F.coalesce(F.try_element_at(salts, F.col("host")), F.lit(1))) if hot else F.lit(0)
-    spread = rows.withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "page_id")
-    return spread.select("host", "page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string")
+    spread = rows.withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "page_id")
+    return spread.select(F.struct("host", "salt").alias("group"), "page_id", "url", "html").mapInArrow(common.freeing(_extract), "page_id long, url string, text string")
 
 
 def op3_main_text(spark, sf_dir: str) -> DataFrame:

@@ -130,3 +130,24 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "text"] and got.count() == 152
     assert sorted(r.text for r in got.collect()) == sorted([f"p{k}" for k in range(150)] + ["", ""])
     assert t.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html", ["<a " * 100_000, "<div>" * 50_000 + "x", "<a \"" * 50_001 + ">", "</script " * 50_000, "<script>" + "</scrip" * 50_000, "< <! <? <" * 30_000, "<!--" * 60_000, "<p>w " * 50_000, "<a title='\">" * 30_000])
+def test_time_is_linear_in_the_page(html):
+    import time
+
+    began = time.perf_counter()
+    t.main_texts([html])
+    assert time.perf_counter() - began < 5
+
+
+def test_tags_with_quotes():
+    page = t.parse("<article><p title=\"a > b\" class='x'>one</p><p>1 < 2 <3 <b title=\"open>bold</b> end</p><!-- no --><![CDATA[no]]><script>if (a</b) {}</script></article>")
+    assert [b.text for b in page.blocks] == ["one", "1 < 2 <3 bold end"]
+    assert t.parse("a <b").blocks[0].text == "a <b"
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    one, two = (sorted((r.page_id, r.text) for r in t.main_text(pages, n).collect()) for n in (1, 7))
+    assert one == two

@@ -28,17 +28,22 @@ import re
 import sys
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import freeing
+
 ROWS = 1500
 CHARS = 16_000_000
 PARTS = 32
 SPAN = 0.5
-SEGMENT = 64  # tokens in a training chain
+SEGMENT = 64  # tokens of a training chain that count
+MARGIN = 8  # tokens on either side of them that only give context
 EPOCHS = 60
 RATE = 0.3
 DECAY = 1e-4
@@ -163,7 +168,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _add_gradients(grads, params, own, before, after, gold, on, last) -> None:
+def _add_gradients(grads, params, own, before, after, gold, on, pair, last) -> None:
     """Adds the gradient of the log-likelihood of some chains, but for the pairs' true counts."""
     w0, w1, w2, b, pairs = params
     scores = b[0] + w0[own] + w1[before] * (before > 0) + w2[after] * (after > 0)
@@ -176,7 +181,7 @@ def _add_gradients(grads, params, own, before, after, gold, on, last) -> None:
     x, t = np.exp(np.clip(scores[1:], -40, 40)) * backward[1:], np.exp(pairs)
     cells = [t[0, 0] + 0 * x, t[0, 1] * x, t[1, 0] * forward[:-1], t[1, 1] * forward[:-1] * x]
     total = sum(cells)
-    grads[4] -= np.array([(c / total * on[1:]).sum() for c in cells]).reshape(2, 2)
+    grads[4] -= np.array([(c / total * pair[:-1]).sum() for c in cells]).reshape(2, 2)
 
 
 def train(texts: list[str | None], toxic: list[int]) -> Model:
@@ -194,23 +199,28 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     get = model.words.get
     ids = [np.array([get(w, 0) for w in d], dtype=np.int32) for d in documents]
     labels = [np.array([y and w in bad for w in d], dtype=np.float32) for d, y in zip(documents, toxic, strict=True)]
-    # chains of equal length, the last of a document padded
+    # stretches of a document with their context on both sides: each token, and each pair with the next one, counts in one of them
     cut = [(d, low) for d in range(len(ids)) for low in range(0, len(ids[d]), SEGMENT)]
-    shape = (SEGMENT, len(cut))
+    shape = (SEGMENT + 2 * MARGIN, len(cut))
     own, before, after = (np.zeros(shape, np.int32) for _ in range(3))
-    gold, on = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+    gold, on, real, pair = (np.zeros(shape, np.float32) for _ in range(4))
     for c, (d, low) in enumerate(cut):
-        n = min(SEGMENT, len(ids[d]) - low)
-        own[:n, c], gold[:n, c], on[:n, c] = ids[d][low : low + n], labels[d][low : low + n], 1
-        before[1:n, c], after[: n - 1, c] = ids[d][low : low + n - 1], ids[d][low + 1 : low + n]
-    last = on.sum(axis=0).astype(int) - 1
+        first, end = max(0, low - MARGIN), min(len(ids[d]), low + SEGMENT + MARGIN)
+        n, at, stop = end - first, low - first, min(len(ids[d]), low + SEGMENT) - first
+        own[:n, c], gold[:n, c], real[:n, c] = ids[d][first:end], labels[d][first:end], 1
+        on[at:stop, c] = 1
+        pair[at : min(stop, n - 1), c] = 1
+        before[0 if first else 1 : n, c] = ids[d][max(first - 1, 0) : end - 1]
+        following = ids[d][first + 1 : end + 1]
+        after[: len(following), c] = following
+    last = real.sum(axis=0).astype(int) - 1
     size = len(model.words) + 1
-    model.weights, model.bias = np.zeros((3, size)), float(np.log((gold.sum(dtype=np.float64) + 0.5) / (on.sum(dtype=np.float64) + 0.5)))
-    both, first, second = on[1:], gold[:-1], gold[1:]
+    model.weights, model.bias = np.zeros((3, size)), float(np.log(((gold * on).sum(dtype=np.float64) + 0.5) / (on.sum(dtype=np.float64) + 0.5)))
+    both, first, second = pair[:-1], gold[:-1], gold[1:]
     count = lambda x: float((x * both).sum(dtype=np.float64))
     true_pairs = np.array([[count((1 - first) * (1 - second)), count((1 - first) * second)], [count(first * (1 - second)), count(first * second)]])
     # steps by Adam on the mean gradient over the positive tokens
-    scale = 1 / max(float(gold.sum(dtype=np.float64)), 1)
+    scale = 1 / max(float((gold * on).sum(dtype=np.float64)), 1)
     params = [model.weights[0], model.weights[1], model.weights[2], np.array([model.bias]), model.pairs]
     m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, EPOCHS + 1) if len(cut) else ():
@@ -218,7 +228,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         grads[4] += true_pairs
         for low in range(0, len(cut), CHAINS):
             part = slice(low, low + CHAINS)
-            _add_gradients(grads, params, own[:, part], before[:, part], after[:, part], gold[:, part], on[:, part], last[part])
+            _add_gradients(grads, params, own[:, part], before[:, part], after[:, part], gold[:, part], on[:, part], pair[:, part], last[part])
         for g in grads[:3]:
             g[0] = 0  # other words have no weight
         for k, g in enumerate(grads):
@@ -270,9 +280,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its words are of the bounded sample
 
     @F.pandas_udf(SCORED)
-    def scored(texts):
-        import pandas as pd
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from freeing(lambda some: map(scored_batch, some))(batches)
 
+    def scored_batch(texts):
         own: Model = shared.value
         get = own.words.get
         out_score, out_spans = [], []

@@ -40,7 +40,7 @@ def project_key(c) -> Column:
 
 def compared(c) -> Column:
     """As answers and locators are compared: case folded, white space collapsed, accents kept."""
-    return F.replace(F.lower(collapsed(c)), F.lit("ß"), F.lit("ss"))
+    return F.lower(F.translate(F.upper(collapsed(c)), "Σ", "σ"))  # upper case unfolds what has several small forms; sigma would be lowered by its place
 
 
 def without_accents(text: str, fold: bool) -> str:
@@ -73,10 +73,60 @@ PUBLIC_KEYS = ("client_id", "note_type")
 
 
 def public_metadata(c) -> Column:
-    return F.map_filter(c, lambda k, v: k.isin(*PUBLIC_KEYS) & v.isNotNull())
+    """The metadata of a JSON object that may be shown: whitelisted keys with string values."""
+    kept = [F.when(F.get_json_object(c, f"$.metadata.{k}").isNotNull() & _is_string(c, k), F.struct(F.lit(k).alias("key"), F.get_json_object(c, f"$.metadata.{k}").alias("value"))) for k in PUBLIC_KEYS]
+    return F.map_from_entries(F.filter(F.array(*kept), lambda x: x.isNotNull()))
+
+
+def _is_string(c, key: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), f"$.metadata.{key}", "variant")) == "STRING"
+
+
+#: What marks a message that may hold a credential, and what is shown in its place.
+CREDENTIAL_MARKS = ("Bearer ", "api_key=", "password=", "token=")
+REDACTED = "[redacted]"
 
 
 def redacted_error(c, most: int = 1000) -> Column:
-    """One line; what may hold a credential is not shown."""
-    line = F.regexp_replace(c, r"[\r\n]+", " ")
-    return F.left(F.when(F.lower(line).rlike("api[_ -]?key|authorization|password|secret|token"), F.lit("redacted")).otherwise(line), F.lit(most))
+    """A message in one line of at most ``most`` characters; one that may hold a credential is not shown."""
+    line = F.replace(c, F.lit("\n"), F.lit(" "))
+    marked = F.exists(F.array(*map(F.lit, CREDENTIAL_MARKS)), lambda m: F.contains(line, m))
+    return F.when(marked, F.lit(REDACTED)).otherwise(F.left(line, F.lit(most)))
+
+
+def optional_int(c) -> Column:
+    """A whole number from text, or null."""
+    return F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("long"))
+
+
+def optional_str(c) -> Column:
+    """Text without outer white space; blank is null."""
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+#: Lines of a page layout that are no text.
+PAGE_COUNTER = r"(?U)^\s*\d+\s*/\s*\d+\s*$"
+GENERATOR_FOOTER = r"(?i)^\s*powered\s+by\s+tcpdf(?:\s*\([^)]*\))?\s*$"
+
+
+def normalized_pages(c) -> Column:
+    """Text of a page layout: hyphenated words joined, lines of a paragraph by a space, counters and footers dropped."""
+    plain = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), "\u00a0", " ")
+    whole = F.regexp_replace(plain, r"(?U)(?<=\w)-\n(?=\w)", "")
+
+    def paragraph(p: Column) -> Column:
+        lines = F.filter(F.split(p, "\n"), lambda x: ~x.rlike(PAGE_COUNTER) & ~x.rlike(GENERATOR_FOOTER))
+        return F.array_join(F.filter(F.transform(lines, collapsed), lambda x: x != ""), " ")
+
+    return F.array_join(F.filter(F.transform(F.split(whole, r"\n{2,}"), paragraph), lambda x: x != ""), "\n\n")
+
+
+def plain_terms(c) -> Column:
+    """The set of a text's ASCII letter-and-digit runs, accents off and lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(unaccented(c), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+@F.pandas_udf(StringType())
+def unaccented(values):
+    """Lower case without combining marks; white space as it is."""
+    return values.map(lambda x: None if x is None else "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k)).lower())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import compared
+from quillmesh.functions.text import compared, tokens
 
 #: What marks an answer as a refusal.
 REFUSALS = ("nao encontrei essa informacao", "nao encontrei esta informacao", "nao tenho informacao", "nao tenho essa informacao", "nao disponho de informacao", "i don't know", "cannot find", "not enough information")
@@ -17,16 +17,36 @@ def case_results(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return hit.groupBy("case").agg((F.count("rank") / F.count("id")).alias("recall_at_k"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
-def rounded_percentile(values, percent: int = 95) -> Column:
-    """The value at round(p * n + 0.5), half to even, of the sorted ones."""
-    ordered = F.array_sort(F.collect_list(values))
-    n = F.size(ordered)
-    place = F.greatest(F.lit(1), F.least(n, F.bround(F.lit(percent / 100) * n + 0.5).cast("int")))
-    return F.try_element_at(ordered, place)
+WHOLE = 100_000  # values of a group that are ranked without narrowing first
+NARROW = 2e-4  # on either side of the asked share; the sketch is within 1e-4
 
 
-def nearest_rank(values, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {values})")
+def rounded_place(n, percent: int = 95) -> Column:
+    """round(p * n + 0.5), half to even, within 1..n."""
+    return F.greatest(F.lit(1), F.least(n, F.bround(F.lit(percent / 100) * n + 0.5).cast("long")))
+
+
+def nearest_place(n, p: float) -> Column:
+    """ceil(p * n), 1 at least."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(p) * n).cast("long"))
+
+
+def ranked_value(rows: DataFrame, group: str, value: str, p: float, place, name: str) -> DataFrame:
+    """rows (group, value) -> group, name: each group's value at place(n) of the sorted ones, exactly.
+
+    A sketch brackets the place; the values below are counted, and only those inside are ranked.
+    """
+    rows = rows.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL")
+    about = rows.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", [max(p - NARROW, 0.0), min(p + NARROW, 1.0)], 10_000).alias("b"))
+    few = F.col("n") <= WHOLE
+    about = about.select("g", place(F.col("n")).alias("place"), F.when(few, F.col("least")).otherwise(F.col("b")[0]).alias("low"), F.when(few, F.col("most")).otherwise(F.col("b")[1]).alias("high"))
+    met = rows.join(about, "g")
+    below = met.groupBy("g").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+    inside = met.filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).groupBy("g", "v", "place").agg(F.count(F.lit(1)).alias("times"))
+    upto = Window.partitionBy("g").orderBy("v")
+    placed = inside.withColumn("upto", F.sum("times").over(upto)).join(below, "g")
+    hit = (F.col("below") + F.col("upto") >= F.col("place")) & (F.col("below") + F.col("upto") - F.col("times") < F.col("place"))
+    return placed.filter(hit).select(F.col("g").alias(group), F.col("v").alias(name))
 
 
 def is_refusal(answer) -> Column:
@@ -41,6 +61,116 @@ def gate(metrics: DataFrame, bounds: list[tuple[str, str, float]]) -> DataFrame:
     return metrics.select("metric", "value", each).filter((F.col("x.m") == F.col("metric")) & failed).select("metric", "value", "x.mode", "x.bound")
 
 
+def holds(text, part) -> Column:
+    """Whether a compared text holds another one."""
+    return F.contains(text, compared(part))
+
+
+def grade_answers(cases: DataFrame) -> DataFrame:
+    """cases (case, answer, points, sources: array<struct<id, title, content, expected>> by rank, wants_sources) with its grades.
+
+    missing: the points the answer lacks; answer_correct: none is missing; citations: the sources whose id or title
+    the answer holds, by rank; citations_correct: some are cited, all of them expected; mismatches: the cited that are not;
+    supported: all points stand in what was retrieved. Where nothing is expected a grade is null.
+    """
+    said = compared(F.coalesce("answer", F.lit("")))
+    asks = F.size("points") > 0
+    missing = F.filter("points", lambda p: ~holds(said, p))
+    cited = F.array_distinct(F.transform(F.filter("sources", lambda s: holds(said, s["id"]) | holds(said, s["title"])), lambda s: s["id"]))
+    expected = F.transform(F.filter("sources", lambda s: s["expected"]), lambda s: s["id"])
+    context = compared(F.array_join(F.transform("sources", lambda s: s["content"]), " "))
+    graded = cases.withColumns({"missing": missing, "citations": cited, "mismatches": F.array_except(cited, expected)})
+    correct = F.when(F.size("citations") == 0, F.lit(False)).otherwise((F.size("mismatches") == 0) & (F.size(expected) > 0))
+    return graded.withColumns(
+        {
+            "answer_correct": F.when(asks, F.size("missing") == 0),
+            "citations_correct": F.when(F.col("wants_sources"), correct),
+            "mismatches": F.when(F.col("wants_sources"), F.col("mismatches")).otherwise(F.array().cast("array<string>")),
+            "supported": F.when(asks, F.forall("points", lambda p: holds(context, p))),
+        }
+    )
+
+
+#: The metrics of a report, by how a column of the case results makes them.
+AVERAGES = {"recall_at_k": "recall_at_k", "mrr": "reciprocal_rank"}
+RATES = {"answer_correct_rate": "answer_correct", "refusal_correct_rate": "refusal_correct", "citation_correct_rate": "citations_correct"}
+LATENCIES = {"embedding_latency_p95_ms": "embedding_ms", "search_latency_p95_ms": "search_ms", "answer_latency_p95_ms": "answer_ms", "total_latency_p95_ms": "total_ms"}
+
+
+def metric_bundle(results: DataFrame) -> DataFrame:
+    """Case results -> metric, value: means and rates over what is known, 95th percentiles, and the number of cases with errors."""
+    means = {m: F.avg(F.col(c).cast("double")) for m, c in (AVERAGES | RATES).items()}
+    one = results.agg(*(v.alias(m) for m, v in means.items()), F.sum((F.size("errors") > 0).cast("double")).alias("runtime_error_count"))
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in one.columns))).alias("x")).select("x.*")
+    times = results.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("v")) for m, c in LATENCIES.items()))).alias("x")).select("x.*")
+    found = ranked_value(times, "metric", "v", 0.95, rounded_place, "value")
+    names = results.sparkSession.createDataFrame([(m,) for m in LATENCIES], "metric string")
+    return rows.unionByName(names.join(found, "metric", "left"))
+
+
+def metric_deltas(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """metric, delta of the metrics that both reports have; null where a value is."""
+    return candidate.join(baseline.select("metric", F.col("value").alias("old")), "metric").select("metric", F.round(F.col("value") - F.col("old"), 6).alias("delta"))
+
+
+FLAGS = ("answer_correct", "refusal_correct", "citations_correct")
+
+
 def regressed(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """case, before, after of the cases whose recall fell; cases that only one report has are skipped."""
-    return baseline.select("case", F.col("recall_at_k").alias("before")).join(candidate.select("case", F.col("recall_at_k").alias("after")), "case").filter(F.coalesce("before", F.lit(0.0)) > F.coalesce("after", F.lit(0.0)))
+    """The cases of both reports whose recall fell, or that have a flag which was true and is false, with why: the first of these."""
+    old = baseline.select("case", *(F.col(c).alias(f"old_{c}") for c in ("recall_at_k", *FLAGS)))
+    fell = F.when(F.coalesce("old_recall_at_k", F.lit(0.0)) > F.coalesce("recall_at_k", F.lit(0.0)), "recall_at_k")
+    lost = [F.when(F.col(f"old_{c}") & ~F.col(c), c) for c in FLAGS]
+    return candidate.join(old, "case").select("case", F.coalesce(fell, *lost).alias("why")).filter("why IS NOT NULL").distinct()
+
+
+def report_summary(results: DataFrame, metrics: DataFrame, bounds: list[tuple[str, str, float]]) -> DataFrame:
+    """One row: case_count, error_count, failures (violated bounds), decision: failed where a bound is violated or a case had an error."""
+    counts = results.agg(F.count(F.lit(1)).alias("case_count"), F.count_if(F.size("errors") > 0).alias("error_count"))
+    failed = gate(metrics, bounds).agg(F.count(F.lit(1)).alias("failures"))
+    decision = F.when((F.col("failures") > 0) | (F.col("error_count") > 0), "failed").otherwise("passed")
+    return counts.crossJoin(failed).select("*", decision.alias("decision"))  # a row each
+
+
+#: The locators of an expected chunk, and whether they are compared as texts.
+LOCATORS = {"source_id": False, "source_title": True, "chunk_index": False, "page": False, "section": True, "content_hash": False}
+
+
+def expected_match(retrieved: str = "r", expected: str = "e") -> Column:
+    """Whether a retrieved chunk fits every locator that an expected one gives, a snippet included; structs."""
+    fits = F.lit(True)
+    for name, as_text in LOCATORS.items():
+        want, got = F.col(f"{expected}.{name}"), F.col(f"{retrieved}.{name}")
+        same = compared(want) == compared(F.coalesce(got, F.lit(""))) if as_text else want == got
+        fits = fits & F.when(want.isNull(), True).otherwise(F.coalesce(same, F.lit(False)))
+    snippet = F.col(f"{expected}.snippet")
+    return fits & F.when(snippet.isNull(), True).otherwise(holds(compared(F.col(f"{retrieved}.content")), snippet))
+
+
+def graded_retrieval(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """expected (case, number, e), retrieved (case, rank, r) -> case, recall_at_k, reciprocal_rank, over the expected rows that each case states."""
+    pairs = expected.join(retrieved, "case", "left").withColumn("hit", F.coalesce(expected_match(), F.lit(False)) & F.col("rank").isNotNull())
+    each = pairs.groupBy("case", "number").agg(F.max("hit").alias("hit"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
+    return each.groupBy("case").agg(F.avg(F.col("hit").cast("double")).alias("recall_at_k"), F.coalesce(1 / F.min("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+SEED = 6  # words of the run by which chunks and snippets meet
+
+
+def holding(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
+    """chunks (chunk_id, content), snippets (item_id, t: words) -> item_id, chunk_id where the chunk's words hold the snippet's in one run.
+
+    They meet on the hash of a snippet's first words, `SEED` or one where it is shorter, and are then compared whole.
+    """
+    held = chunks.select("chunk_id", tokens("content").alias("c"))
+    wanted = snippets.filter(F.size("t") > 0).select("item_id", "t", F.when(F.size("t") >= SEED, SEED).otherwise(1).alias("n")).withColumn("run", F.xxhash64("n", F.array_join(F.slice("t", F.lit(1), F.col("n")), " ")))
+
+    def runs(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("c") - (n - 1))
+        hashed = F.transform(at, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("c", i, F.lit(n)), " ")))
+        return F.when(F.size("c") >= n, hashed).otherwise(F.array().cast("array<long>"))
+
+    seeds = held.select("chunk_id", F.explode(F.array_distinct(F.concat(runs(SEED), runs(1)))).alias("run"))
+    met = seeds.join(wanted, "run").select("chunk_id", "item_id", "t").join(held, "chunk_id")
+    spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    return met.filter(F.contains(spaced("c"), spaced("t"))).select("item_id", "chunk_id").distinct()

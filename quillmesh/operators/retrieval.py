@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
@@ -51,7 +55,11 @@ def matching(chunks: DataFrame, query_terms: list[str]) -> DataFrame:
 
 def cover_density(matched: DataFrame, query_terms: list[str], ident: str = "chunk_id") -> DataFrame:
     """ident, text_rank: the sum over minimal covers of 0.1 / (1 + words in them that are no terms)."""
-    each = matched.select(ident, F.posexplode("tokens").alias("pos", "term")).filter(F.col("term").isin(query_terms))
+    return _covers(matched.select(ident, F.posexplode("tokens").alias("pos", "term")).filter(F.col("term").isin(query_terms)), query_terms, ident)
+
+
+def _covers(each: DataFrame, query_terms: list[str], ident: str) -> DataFrame:
+    """(ident, pos, term) of the query's terms -> ident, text_rank."""
     order = Window.partitionBy(ident).orderBy("pos")  # the term occurrences of one chunk
     each = each.withColumn("n", F.row_number().over(order))
     last = [F.max(F.when(F.col("term") == t, F.struct("pos", "n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)) for t in query_terms]
@@ -98,20 +106,136 @@ def top_by_query(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+QUERIES_AT_ONCE = 1024  # vectors that every task holds; more are searched block by block
+
+
+def _scored(blocks, k: int, probes=None):
+    """Batches (id, embedding[, list_id]) -> the k best ids of each query in the batch. One matrix product a batch and block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            scale = np.sqrt((rows * rows).sum(axis=1))
+            for names, vectors in blocks.value:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round(vectors @ rows.T / (np.sqrt((vectors * vectors).sum(axis=1))[:, None] * scale), 6)
+                if probes is not None:
+                    lists = batch.column(2).to_numpy()
+                    score[~np.array([np.isin(lists, probes.value[q]) for q in names])] = np.nan
+                out: list[list] = [[], [], []]
+                for q, s in zip(names, score, strict=True):
+                    some = np.flatnonzero(~np.isnan(s))
+                    best = some[np.lexsort((ids[some], -s[some]))[:k]]
+                    out[0] += [q] * len(best)
+                    out[1] += ids[best].tolist()
+                    out[2] += s[best].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "id", "score"])
+
+    return run
+
+
+def _blocks(queries: list[tuple[int, list[float]]]) -> list[tuple[list[int], np.ndarray]]:
+    return [([q for q, _ in part], np.array([v for _, v in part], dtype=np.float64)) for part in (queries[k : k + QUERIES_AT_ONCE] for k in range(0, len(queries), QUERIES_AT_ONCE))]
+
+
 def exact_top(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """rows (id, embedding) against a stated set of queries, each scored in the scan."""
-    each = F.explode(F.array(*(F.struct(F.lit(q).alias("query"), F.round(cosine(F.col("embedding"), literal(v)), 6).alias("score")) for q, v in queries)))
-    return top_by_query(rows.select("id", each.alias("x")).select("x.query", "id", "x.score"), k)
+    """rows (id, embedding: no nulls) against a stated set of queries -> query, id, score, rank; zero vectors match nothing."""
+    shared = rows.sparkSession.sparkContext.broadcast(_blocks(queries))
+    return top_by_query(rows.select("id", "embedding").mapInArrow(_scored(shared, k), "query long, id long, score double"), k)
+
+
+def _nearest_centroid(rows: np.ndarray, centroids: list[tuple[int, list[float]]]) -> np.ndarray:
+    """The centroid of the greatest cosine for each row, the least id of equals."""
+    names, at = np.array([c for c, _ in centroids]), np.array([v for _, v in centroids], dtype=np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        score = np.nan_to_num(np.round(rows @ at.T / (np.sqrt((rows * rows).sum(axis=1))[:, None] * np.sqrt((at * at).sum(axis=1))), 6), nan=-2.0)
+    order = np.argsort(names)
+    return names[order][np.argmax(score[:, order], axis=1)]
+
+
+def similarities(vector: list[float], centroids: list[tuple[int, list[float]]]) -> list[tuple[int, float]]:
+    """(centroid, its cosine with a vector)."""
+    v = np.array(vector, dtype=np.float64)
+    return [(c, float(np.round(v @ np.array(x) / np.sqrt((v @ v) * (np.array(x) @ np.array(x))), 6))) for c, x in centroids]
+
+
+def trained(sample: list[list[float]], seeds: list[tuple[int, list[float]]]) -> list[tuple[int, list[float]]]:
+    """Centroids: each seed moves to the mean of the sample's rows that are nearest to it, to six digits."""
+    rows = np.array(sample, dtype=np.float64)
+    near = _nearest_centroid(rows, seeds)
+    return [(c, np.round(rows[near == c].mean(axis=0), 6).tolist()) for c, _ in seeds if (near == c).any()]
 
 
 def clustered(rows: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
     """rows (id, embedding) with list_id, the nearest centroid: the index's inverted lists."""
-    scored = F.array(*(F.struct(F.round(cosine(F.col("embedding"), literal(v)), 6).alias("score"), F.lit(-c).alias("c")) for c, v in centroids))
-    return rows.withColumn("list_id", -F.array_max(scored)["c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _nearest_centroid(np.array(batch.column(1).to_pylist(), dtype=np.float64), centroids) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], names=["id", "embedding", "list_id"])
+
+    return rows.select("id", "embedding").mapInArrow(run, "id long, embedding array<float>, list_id long")
 
 
 def probed_top(indexed: DataFrame, probes: dict[int, list[int]], queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """As exact_top, but a row is scored only for the queries that probe its list."""
-    vectors = dict(queries)
-    each = F.array(*(F.when(F.col("list_id").isin(lists), F.struct(F.lit(q).alias("query"), F.round(cosine(F.col("embedding"), literal(vectors[q])), 6).alias("score"))) for q, lists in probes.items()))
-    return top_by_query(indexed.select("id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.query", "id", "x.score"), k)
+    """As exact_top, but a row counts only for the queries that probe its list; lists that no query probes are not read."""
+    sc = indexed.sparkSession.sparkContext
+    wanted = sorted({x for p in probes.values() for x in p})
+    rows = indexed.filter(F.col("list_id").isin(wanted)).select("id", "embedding", "list_id")
+    return top_by_query(rows.mapInArrow(_scored(sc.broadcast(_blocks(queries)), k, sc.broadcast(probes)), "query long, id long, score double"), k)
+
+
+LEAST_INDEXED = 10_000
+
+
+def index_allowed(n: int, least: int = LEAST_INDEXED, force: bool = False) -> bool:
+    """Whether a corpus is large enough for an approximate index."""
+    return force or n >= least
+
+
+def checked(vector: Column, dimension: int) -> Column:
+    """The vector; one of another size, or with an element that is not finite, raises."""
+    fine = (F.size(vector) == dimension) & F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(fine, vector).otherwise(F.raise_error(F.lit("a vector has another size or elements that are not finite")))
+
+
+def decided(recall, threshold: float, baseline_p95, index_p95) -> Column:
+    """inconclusive without data, rejected under the recall or without a gain in latency, else accepted."""
+    return F.when(recall.isNull() | baseline_p95.isNull(), "inconclusive").when((recall < threshold) | (index_p95 >= baseline_p95), "rejected").otherwise("accepted")
+
+
+def posting_lists(chunks: DataFrame) -> DataFrame:
+    """chunks (chunk_id, content) -> term, chunk_id, positions: what full-text search reads."""
+    each = chunks.select("chunk_id", F.posexplode(text.tokens("content")).alias("pos", "term"))
+    return each.groupBy("term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def posted_top(postings: DataFrame, query: list[str], k: int) -> DataFrame:
+    """As text_top, from the posting lists of the query's terms alone."""
+    terms = sorted(set(query))
+    if not terms:
+        return postings.select("chunk_id", F.lit(0.0).alias("text_rank")).limit(0)
+    held = postings.filter(F.col("term").isin(terms))
+    every = held.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(terms)).select("chunk_id")
+    places = held.join(every, "chunk_id", "left_semi").select("chunk_id", F.explode("positions").alias("pos"), "term")
+    found = _covers(places, terms, "chunk_id").select("chunk_id", F.round("text_rank", 6).alias("text_rank"))
+    return found.orderBy(F.desc("text_rank"), "chunk_id").limit(k)
+
+
+def chunk_rows(chunks: DataFrame, sources: DataFrame, batches: DataFrame) -> DataFrame:
+    """What a search shows of chunks (chunk_id, doc_id, chunk_index, content, embedding_status, batch_id): title, safe uri, the state and batch of the
+    embedding, and the line for the answer model. sources: doc_id, title, uri, kind."""
+    met = chunks.join(sources, "doc_id").join(batches, "batch_id", "left")
+    state = F.coalesce("embedding_status", F.lit("unversioned"))
+    return met.select("chunk_id", "doc_id", "title", text.safe_uri("uri", "kind", "title").alias("uri"), "content", state.alias("embedding_state"), "config_hash", context_line().alias("line"))
+
+
+def context_line(page: Column | None = None, section: Column | None = None) -> Column:
+    """A chunk as the answer model reads it; page and section only where they are known."""
+    none = F.lit(None).cast("string")
+    more = [F.concat(F.lit(f", {name} "), value.cast("string")) for name, value in (("pagina", none if page is None else page), ("secao", none if section is None else section))]
+    where = F.concat(F.lit("chunk "), F.col("chunk_index").cast("string"), *(F.coalesce(x, F.lit("")) for x in more))
+    return F.concat(F.lit("[source_id="), F.col("doc_id").cast("string"), F.lit("; chunk_id="), F.col("chunk_id").cast("string"), F.lit("; titulo="), F.col("title"), F.lit("; localizacao="), where, F.lit("]\n"), F.col("content"))

@@ -6,24 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text, vector
-from quillmesh.operators import evaluation, lifecycle, retrieval
-from quillmesh.plans import oracle
+from quillmesh.operators import evaluation, lifecycle, mutations, retrieval
+from quillmesh.plans import oracle, workflows
 from quillmesh.sources import knowledge as model
 
 LIMIT = 10
 TERMS = ["the", "that"]
-QUERIES, CENTROIDS, PROBES = 20, 16, 6  # a stated query set and the lists of the approximate index
+EVERY = 100  # the query set: every row whose id is divisible by it
+CENTROIDS, PROBES = 24, 14  # lists of the approximate index, and how many of them a query reads
+SAMPLE = 50_000  # rows, of the least ids, that the lists are trained on
 SENSITIVE = ["sensitive"]
 
 
-def _vectors(spark: SparkSession, sf_dir: str, below: int) -> list[tuple[int, list[float]]]:
-    """The vectors of the ids under ``below``."""
-    rows = model.table(spark, sf_dir, "embeddings").filter((F.col("vec_id") >= 0) & (F.col("vec_id") < below)).select("vec_id", "embedding").orderBy("vec_id").collect()
+def _query_set(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
+    """The vectors of the stated query set, a hundredth of the table's ids."""
+    rows = model.table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding").orderBy("vec_id").collect()
     return [(r[0], list(r[1])) for r in rows]
 
 
+def _query(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of id 0."""
+    return list(model.table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
+
+
 def vector_topk(spark, sf_dir):
-    found = retrieval.nearest(model.table(spark, sf_dir, "embeddings"), _vectors(spark, sf_dir, 1)[0][1], LIMIT, "vec_id")
+    found = retrieval.nearest(model.table(spark, sf_dir, "embeddings"), _query(spark, sf_dir), LIMIT, "vec_id")
     return found.filter(vector.reaches("score", retrieval.MIN_SCORE))
 
 
@@ -34,7 +41,7 @@ def _compatible(spark, sf_dir):
 def vector_topk_filtered(spark, sf_dir):
     rows = retrieval.any_of(_compatible(spark, sf_dir), model.source_categories(spark, sf_dir), "category", ["en", "curated"])
     rows = retrieval.any_of(rows, model.source_projects(spark, sf_dir), "project_id", [0, 1, 4])
-    return retrieval.nearest(rows, _vectors(spark, sf_dir, 1)[0][1], LIMIT)
+    return retrieval.nearest(rows, _query(spark, sf_dir), LIMIT)
 
 
 def normalize_documents(spark, sf_dir):
@@ -83,18 +90,25 @@ def library_all_filter(spark, sf_dir):
 
 def library_title_search(spark, sf_dir):
     """Titles that hold a string, without regard to case and accents."""
-    return model.sources(spark, sf_dir).filter(F.contains(F.translate(F.lower("title"), "áéíóúç", "aeiouc"), F.lit("doc-1"))).select("doc_id", "title")
+    titled = model.sources(spark, sf_dir).select("doc_id", F.concat("title", F.lit(" "), F.substring("content_text", 1, 20)).alias("title"))
+    return titled.filter(F.contains(text.unaccented("title"), F.lit(text.without_accents("É", False)))).select("doc_id", "title")
+
+
+PREFIX = " SRÇ1"
+ASKED_PROJECTS, ASKED_CATEGORIES = [4, 9, 2, 7], ["en", "unused", "curated"]
 
 
 def tag_autocomplete(spark, sf_dir):
+    """Tags whose key begins with the key of what was typed."""
     names = model.table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
-    return names.filter(text.category_key("name").like("s%")).orderBy("name").limit(LIMIT)
+    prefix = text.without_accents(PREFIX, False)
+    return names.filter(text.tag_key("name").like(f"{prefix}%") if prefix else F.lit(False)).orderBy("name").limit(LIMIT)
 
 
 def missing_filter_ids(spark, sf_dir):
     """Of the asked projects those that do not exist, in the order of the request."""
-    asked = spark.range(1).select(F.posexplode(F.array(*map(F.lit, [4, 9, 2, 7]))).alias("pos", "project_id"))
-    return asked.join(model.projects(spark), "project_id", "left_anti").select("pos", F.col("project_id").cast("long").alias("project_id"))
+    asked = spark.createDataFrame(list(enumerate(ASKED_PROJECTS)), "pos int, project_id long")
+    return mutations.missing_ids(asked, model.projects(spark), "project_id")
 
 
 def project_sources(spark, sf_dir):
@@ -103,7 +117,7 @@ def project_sources(spark, sf_dir):
 
 def deletable_categories(spark, sf_dir):
     """Catalog names that no source uses."""
-    asked = spark.createDataFrame([("en",), ("unused",), ("curated",)], "name string")
+    asked = spark.createDataFrame([(x,) for x in ASKED_CATEGORIES], "name string")
     return asked.join(model.source_categories(spark, sf_dir).select(F.col("category").alias("name")), "name", "left_anti")
 
 
@@ -129,19 +143,19 @@ def text_match(spark, sf_dir):
 
 
 def text_rank_topk(spark, sf_dir):
-    return retrieval.text_top(model.chunks(spark, sf_dir), TERMS, 40)
+    return retrieval.posted_top(model.postings(spark, sf_dir), TERMS, 40)
 
 
 def hybrid_search(spark, sf_dir):
     """The flagship: vector and full-text candidates, fused by reciprocal rank."""
     k = retrieval.candidate_limit(LIMIT)
-    near = retrieval.nearest(_compatible(spark, sf_dir), _vectors(spark, sf_dir, 1)[0][1], k)
-    return retrieval.fused(near, retrieval.text_top(model.chunks(spark, sf_dir), TERMS, k), LIMIT)
+    near = retrieval.nearest(_compatible(spark, sf_dir), _query(spark, sf_dir), k)
+    return retrieval.fused(near, retrieval.posted_top(model.postings(spark, sf_dir), TERMS, k), LIMIT)
 
 
 def _retrieved(spark, sf_dir, k=LIMIT):
     rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.exact_top(rows, _vectors(spark, sf_dir, QUERIES), k)
+    return retrieval.exact_top(rows, _query_set(spark, sf_dir), k)
 
 
 def exact_knn(spark, sf_dir):
@@ -151,7 +165,7 @@ def exact_knn(spark, sf_dir):
 def _expected(spark, sf_dir):
     """For each query the five vectors of its label with the least ids above it."""
     e = model.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    pairs = e.filter(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("id > query")
+    pairs = e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("id > query")
     return retrieval.top_by_query(pairs.select("query", "id", (-F.col("id")).alias("score")), 5).select(F.col("query").alias("case"), "id")
 
 
@@ -165,12 +179,17 @@ def recall_mrr(spark, sf_dir):
 
 def compare_reports(spark, sf_dir):
     """Cases that fall when five results are shown instead of fifty."""
-    return evaluation.regressed(_cases(spark, sf_dir, 50), _cases(spark, sf_dir, 5))
+    flags = {c: F.lit(None).cast("boolean") for c in evaluation.FLAGS}
+    before, after = _cases(spark, sf_dir, 50), _cases(spark, sf_dir, 5)
+    return evaluation.regressed(before.withColumns(flags), after.withColumns(flags))
 
 
 def latency_percentiles(spark, sf_dir):
-    rows = model.table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    return rows.groupBy(F.col("event_type").alias("stage")).agg(evaluation.rounded_percentile("value").alias("p95_rounded"), evaluation.nearest_rank("value", 0.5).alias("p50"), evaluation.nearest_rank("value", 0.95).alias("p95"))
+    rows = model.table(spark, sf_dir, "events")
+    found = evaluation.ranked_value(rows, "event_type", "value", 0.95, evaluation.rounded_place, "p95_rounded")
+    for p, name in ((0.5, "p50"), (0.95, "p95")):
+        found = found.join(evaluation.ranked_value(rows, "event_type", "value", p, lambda n, p=p: evaluation.nearest_place(n, p), name), "event_type")
+    return found.withColumnRenamed("event_type", "stage")
 
 
 def threshold_gate(spark, sf_dir):
@@ -184,15 +203,20 @@ def refusal_grading(spark, sf_dir):
     return talk.select("conv_id", "turn", evaluation.is_refusal(F.col("text")).alias("refused"))
 
 
+def _index(spark, sf_dir):
+    """The lists' centroids and the rows by list: seeds are the first rows that are no queries, moved to the mean of their part of the sample."""
+    rows = model.table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding")
+    seeds = [(r["id"], list(r["embedding"])) for r in rows.filter(F.col("id") % EVERY != 0).orderBy("id").limit(CENTROIDS).collect()]
+    sample = [list(r["embedding"]) for r in rows.orderBy("id").limit(SAMPLE).select("embedding").collect()]
+    centroids = retrieval.trained(sample, seeds)
+    return centroids, model.stored(spark, sf_dir, "vector-lists", lambda *_: retrieval.clustered(rows, centroids).repartition("list_id").sortWithinPartitions("list_id"))
+
+
 def ann_search(spark, sf_dir):
     """Top k of each query from the inverted lists that it probes."""
-    rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    centroids, queries = _vectors(spark, sf_dir, CENTROIDS), _vectors(spark, sf_dir, QUERIES)
-    lists = spark.createDataFrame(centroids, "id long, embedding array<float>")
-    probes: dict[int, list[int]] = {}
-    for r in retrieval.exact_top(lists, queries, PROBES).collect():  # PROBES rows a query
-        probes.setdefault(r["query"], []).append(r["id"])
-    return retrieval.probed_top(retrieval.clustered(rows, centroids), probes, queries, LIMIT)
+    (centroids, indexed), queries = _index(spark, sf_dir), _query_set(spark, sf_dir)
+    near = {q: sorted(((-s, c) for c, s in retrieval.similarities(v, centroids)))[:PROBES] for q, v in queries}
+    return retrieval.probed_top(indexed, {q: [c for _, c in x] for q, x in near.items()}, queries, LIMIT)
 
 
 def ann_recall(spark, sf_dir):
@@ -209,20 +233,22 @@ def rag_context(spark, sf_dir):
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "\n\n"), 256).alias("context_hash"), F.count(F.lit(1)).alias("n_parts"))
 
 
-def privacy_gate(spark, sf_dir):
-    """Whether a source may be sent to an external provider."""
+def privacy_gate(spark, sf_dir, provider: str = " API ", allow: bool = False):
+    """Whether a source must not be sent to a provider: an external one, without leave, and a sensitive category."""
     cats = model.source_categories(spark, sf_dir)
     keyed = cats.select("category").distinct().withColumn("key", text.privacy_key("category"))
     bad = cats.join(keyed.filter(F.col("key").isin([text.without_accents(s, True) for s in SENSITIVE])), "category", "left_semi").select("doc_id", F.lit(True).alias("sensitive")).distinct()
+    gated = provider.strip().lower() == "api" and not allow
     docs = model.table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(bad, "doc_id", "left").select("doc_id", F.coalesce("sensitive", F.lit(False)).alias("blocked"))
+    return docs.join(bad, "doc_id", "left").select("doc_id", (F.lit(gated) & F.coalesce("sensitive", F.lit(False))).alias("blocked"))
 
 
 def category_inventory_match(spark, sf_dir):
-    """User turns that share a word with a category's name."""
-    names = ["en", "de", "fr", "curated", "sensitive"]
+    """User turns that share a word with a category of the catalog."""
+    words = model.source_categories(spark, sf_dir).select("category").distinct().select(F.explode(text.plain_terms("category")).alias("term")).distinct()
     talk = model.table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return talk.select("conv_id", "turn", F.arrays_overlap(text.tokens("text"), F.array(*map(F.lit, names))).alias("matches"))
+    each = talk.select("conv_id", "turn", F.explode(text.plain_terms("text")).alias("term")).join(words, "term", "left_semi").select("conv_id", "turn", F.lit(True).alias("hit")).distinct()
+    return talk.select("conv_id", "turn").join(each, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("hit", F.lit(False)).alias("matches"))
 
 
 def backfill_content(spark, sf_dir):
@@ -238,12 +264,8 @@ def safe_json(spark, sf_dir):
 
 
 def expected_chunks(spark, sf_dir):
-    """Which chunks hold the first words of a benchmark passage: a join on their own word runs, then an exact test."""
-    n = 6
-    runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, n), " "))
-    wanted = model.table(spark, sf_dir, "benchmark").select("item_id", text.tokens("text").alias("t")).filter(F.size("t") >= n).select("item_id", F.array_join(F.slice("t", 1, n), " ").alias("run"))
-    held = model.chunks(spark, sf_dir).select("chunk_id", text.tokens("content").alias("t")).filter(F.size("t") >= n).select("chunk_id", F.explode(F.array_distinct(runs(F.col("t")))).alias("run"))
-    return held.join(wanted, "run").select("item_id", "chunk_id").distinct()
+    """Which chunks hold the opening of a benchmark passage, its first twelve words or all of fewer."""
+    return evaluation.holding(model.chunks(spark, sf_dir), model.table(spark, sf_dir, "benchmark").select("item_id", F.slice(text.tokens("text"), 1, 12).alias("t")))
 
 
 _ALL = (
@@ -256,8 +278,8 @@ _ALL = (
 
 
 def queries():
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | {name: query for name, (query, _) in workflows.WORKFLOWS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return oracle.oracle_sql() | {name: sql for name, (_, sql) in workflows.WORKFLOWS.items()}

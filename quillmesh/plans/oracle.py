@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import textwrap
+from quillmesh.operators.evaluation import REFUSALS
 
 NL = "chr(10)"
 SRC = f"""src AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || {NL}, {NL}), chr(13), {NL}), {NL}),
@@ -49,7 +49,7 @@ fused AS (SELECT chunk_id, round(coalesce(1::DOUBLE / (60 + vr), 0) + coalesce(1
   array_to_string(list_filter([CASE WHEN vr IS NOT NULL THEN 'vector' END, CASE WHEN tr IS NOT NULL THEN 'text' END], lambda x: x IS NOT NULL), ',') AS reasons
   FROM one FULL JOIN two USING (chunk_id) WHERE vr IS NULL OR score >= 0.35),
 top AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY rrf DESC, in_both DESC, score DESC NULLS LAST, text_rank DESC NULLS LAST, chunk_id) AS INTEGER) AS place, rrf, score, text_rank, reasons FROM fused QUALIFY place <= 10)"""
-QUERY_SET = """qs AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < 20),
+QUERY_SET = """qs AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id % 100 = 0),
 scored AS (SELECT query, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, qs),
 knn AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM scored)"""
 CASES = f"""{QUERY_SET},
@@ -61,14 +61,17 @@ def _graded(k: int) -> str:
 
 
 ANN = f"""{QUERY_SET},
-cent AS (SELECT vec_id AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 16),
+seed AS (SELECT vec_id AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 <> 0 ORDER BY vec_id LIMIT 24),
+near AS (SELECT c, e FROM (SELECT CAST(embedding AS DOUBLE[]) AS e, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) DESC, c) AS r FROM embeddings, seed) WHERE r = 1),
+cent AS (SELECT c, list(x ORDER BY d) AS v FROM (SELECT c, d, round(avg(e[d]), 6) AS x FROM near, unnest(range(1, 65)) AS u(d) GROUP BY c, d) GROUP BY c),
 list AS (SELECT id, c FROM (SELECT vec_id AS id, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) DESC, c) AS r FROM embeddings, cent) WHERE r = 1),
-probe AS (SELECT query, c FROM (SELECT query, c, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(cent.v, qs.v), 6) DESC, c) AS r FROM cent, qs) WHERE r <= 6),
+probe AS (SELECT query, c FROM (SELECT query, c, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(cent.v, qs.v), 6) DESC, c) AS r FROM cent, qs) WHERE r <= 14),
 ann AS (SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored JOIN list USING (id) JOIN probe USING (query, c) QUALIFY rank <= 10)"""
 REASON = """CASE WHEN config_hash IS NULL THEN CASE WHEN embedding IS NULL THEN 'missing_batch' ELSE 'unversioned' END WHEN embedding_status = 'failed' THEN 'failed' WHEN embedding_status <> 'embedded' THEN embedding_status
   WHEN batch_status <> 'completed' THEN 'batch_not_completed' WHEN config_hash <> 'active' THEN 'config_changed' ELSE 'pending' END"""
 STALE = f"{EMBEDDED}, stale AS (SELECT chunk_id, doc_id, {REASON} AS reason FROM emb LEFT JOIN batches USING (batch_id) WHERE content <> '' AND (embedding IS NULL OR embedding_status <> 'embedded' OR config_hash IS NULL OR config_hash <> 'active' OR batch_status <> 'completed'))"
-REFUSALS = ("nao encontrei essa informacao", "nao encontrei esta informacao", "nao tenho informacao", "nao tenho essa informacao", "nao disponho de informacao", "i don''t know", "cannot find", "not enough information")
+SAID = "replace(lower(trim(regexp_replace(%s, '[\\s\\x0B\\x{A0}]+', ' ', 'g'))), 'ß', 'ss')"  # as compared()
+REFUSED = "(" + " OR ".join("contains({said}, '" + p.replace("'", "''") + "')" for p in REFUSALS) + ")"
 
 
 def _with(tables: str, select: str) -> str:
@@ -76,8 +79,7 @@ def _with(tables: str, select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    said = "replace(lower(trim(regexp_replace(text, '[\\s\\x0B\\x{A0}]+', ' ', 'g'))), 'ß', 'ss')"
-    refused = " OR ".join(f"contains({said}, '{p}')" for p in REFUSALS)
+    refused = REFUSED.replace("{said}", SAID % "text")
     words = "regexp_extract_all(lower(%s), '[\\p{L}\\p{N}]+')"
     return {
         "vector_topk": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0) SELECT * FROM (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10) WHERE score >= 0.35",
@@ -90,8 +92,8 @@ def oracle_sql() -> dict[str, str]:
         "dashboard_metrics": _with(NAMES, "SELECT (SELECT count(doc_id) FROM documents) AS n_sources, (SELECT count(DISTINCT source) FROM documents) AS n_tags, count(*) FILTER (WHERE status = 'active') AS n_active, count(*) FILTER (WHERE status = 'archived') AS n_archived FROM names"),
         "recent_sources": "SELECT doc_id, 'doc-' || doc_id AS title, 1704067200 + doc_id * 60 AS created_s FROM documents ORDER BY created_s DESC, title, doc_id LIMIT 5",
         "library_all_filter": _with(CATS, "SELECT doc_id FROM cats WHERE category IN ('en', 'curated') GROUP BY doc_id HAVING count(DISTINCT category) = 2"),
-        "library_title_search": "SELECT doc_id, 'doc-' || doc_id AS title FROM documents WHERE contains(strip_accents(lower('doc-' || doc_id)), 'doc-1')",
-        "tag_autocomplete": "SELECT DISTINCT source AS name FROM documents WHERE lower(trim(source)) LIKE 's%' ORDER BY name LIMIT 10",
+        "library_title_search": _with(SRC, "SELECT doc_id, title FROM (SELECT doc_id, 'doc-' || doc_id || ' ' || substr(content_text, 1, 20) AS title FROM src) WHERE contains(lower(strip_accents(title)), 'e')"),
+        "tag_autocomplete": "SELECT DISTINCT source AS name FROM documents WHERE lower(strip_accents(trim(source))) LIKE 'src1%' ORDER BY name LIMIT 10",
         "missing_filter_ids": _with(NAMES, "SELECT pos, id AS project_id FROM (VALUES (0::INTEGER, 4::BIGINT), (1, 9), (2, 2), (3, 7)) AS v(pos, id) WHERE id NOT IN (SELECT project_id FROM names)"),
         "project_sources": _with(PROJ, "SELECT project_id, doc_id, 'doc-' || doc_id AS title FROM proj WHERE project_id = 4"),
         "deletable_categories": _with(CATS, "SELECT name FROM (VALUES ('en'), ('unused'), ('curated')) AS v(name) WHERE name NOT IN (SELECT category FROM cats WHERE category IS NOT NULL)"),
@@ -104,7 +106,7 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_search": _with(HYBRID, "SELECT * FROM top"),
         "exact_knn": _with(QUERY_SET, "SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank <= 10"),
         "recall_mrr": _with(CASES, f'SELECT "case", round(recall_at_k, 6) AS recall_at_k, round(reciprocal_rank, 6) AS reciprocal_rank FROM ({_graded(10)})'),
-        "compare_reports": _with(CASES, f'SELECT "case", b.recall_at_k AS before, a.recall_at_k AS after FROM ({_graded(50)}) b JOIN ({_graded(5)}) a USING ("case") WHERE b.recall_at_k > a.recall_at_k'),
+        "compare_reports": _with(CASES, f'SELECT "case", \'recall_at_k\' AS why FROM ({_graded(50)}) b JOIN ({_graded(5)}) a USING ("case") WHERE b.recall_at_k > a.recall_at_k'),
         "latency_percentiles": "SELECT event_type AS stage, list_sort(list(value))[greatest(1, least(count(*), CAST(round_even(0.95::DOUBLE * count(*) + 0.5, 0) AS BIGINT)))] AS p95_rounded, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
         "threshold_gate": _with(CASES, f"SELECT metric, value, 'minimum' AS mode, bound FROM (SELECT 'recall_at_k' AS metric, round(avg(recall_at_k), 6) AS value, 0.8::DOUBLE AS bound FROM ({_graded(10)}) UNION ALL SELECT 'mrr', round(avg(reciprocal_rank), 6), 0.7::DOUBLE FROM ({_graded(10)})) WHERE value < bound"),
         "refusal_grading": f"SELECT conv_id, turn, ({refused}) AS refused FROM conversations WHERE role = 'assistant'",
@@ -112,9 +114,8 @@ def oracle_sql() -> dict[str, str]:
         "ann_recall": _with(ANN, "SELECT k.query, round(count(ann.id)::DOUBLE / count(*), 4) AS recall FROM (SELECT * FROM knn WHERE rank <= 10) k LEFT JOIN ann USING (query, id) GROUP BY k.query"),
         "rag_context": _with(HYBRID, f"SELECT sha256(string_agg('[source_id=' || doc_id || '; chunk_id=' || chunk_id || '; titulo=doc-' || doc_id || '; localizacao=chunk ' || chunk_index || ']' || {NL} || content, {NL} || {NL} ORDER BY place)) AS context_hash, count(*) AS n_parts FROM top JOIN chunks USING (chunk_id)"),
         "privacy_gate": _with(CATS, "SELECT doc_id, doc_id IN (SELECT doc_id FROM cats WHERE category = 'sensitive') AS blocked FROM documents"),
-        "category_inventory_match": f"SELECT conv_id, turn, list_has_any({words % 'text'}, ['en', 'de', 'fr', 'curated', 'sensitive']) AS matches FROM conversations WHERE role = 'user'",
+        "category_inventory_match": _with(CATS, "SELECT conv_id, turn, list_has_any(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+'), (SELECT list(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(category)), '[a-z0-9]+')) AS w FROM cats))) AS matches FROM conversations WHERE role = 'user'"),
         "backfill_content": _with(CHUNKS, f"SELECT doc_id, sha256(string_agg(content, {NL} || {NL} ORDER BY chunk_id)) AS content_hash FROM chunks GROUP BY doc_id"),
         "safe_json": "SELECT event_type, CAST(sum(coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS BIGINT), 0)) AS BIGINT) AS sum_k, count(*) AS n FROM events GROUP BY event_type",
-        "expected_chunks": _with(f"{CHUNKS}, want AS (SELECT item_id, array_to_string(t[1:6], ' ') AS run FROM (SELECT item_id, {words % 'text'} AS t FROM benchmark) WHERE len(t) >= 6)", textwrap.dedent(f"""
-            SELECT DISTINCT item_id, chunk_id FROM (SELECT chunk_id, array_to_string(t[k : k + 5], ' ') AS run FROM (SELECT chunk_id, {words % 'content'} AS t FROM chunks), unnest(range(1, len(t) - 4)) AS u(k)) JOIN want USING (run)""")),
+        "expected_chunks": _with(f"{CHUNKS}, want AS (SELECT item_id, ' ' || array_to_string(t[1:12], ' ') || ' ' AS s FROM (SELECT item_id, {words % 'text'} AS t FROM benchmark) WHERE len(t) > 0)", f"SELECT item_id, chunk_id FROM (SELECT chunk_id, ' ' || array_to_string({words % 'content'}, ' ') || ' ' AS c FROM chunks) JOIN want ON contains(c, s)"),
     }

@@ -6,6 +6,8 @@ Ids are computed from a row's own keys, so no step numbers rows globally.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
+from quillmesh.operators import retrieval
 
 SIZE, OVERLAP = 1000, 150
 CHUNKS_A_SOURCE = 1_000_000  # above the number of chunks of any source
@@ -93,8 +96,42 @@ def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
     return docs.select("doc_id", "content_text").mapInArrow(cut, "doc_id long, chunk_index long, start_char long, end_char long, content string")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that ingestion makes once for a session and searches read: in the shared folder, written at its first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """From ``spark.checkpoint.dir``, which a cluster must name; a local session without it has a temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of all sources with chunk_id."""
+    """The chunk table: the chunks of all sources with chunk_id."""
+    return stored(spark, sf_dir, "chunks", _cut)
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posting lists of the chunk table, sorted by term within their files, so a search skips what it does not ask for."""
+    return stored(spark, sf_dir, "postings", lambda *a: retrieval.posting_lists(chunks(*a)).repartition("term").sortWithinPartitions("term", "chunk_id"))
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(sources(spark, sf_dir)).select((F.col("doc_id") * CHUNKS_A_SOURCE + F.col("chunk_index")).alias("chunk_id"), "*")
 
 

@@ -6,8 +6,11 @@ decontamination     cuts benchmark passages out of the texts
 personal_data       redacts entities and the terms that disclose them
 pieces              encodes the texts, and decodes them again
 
-All stages but the last return the columns of ``documents``; n_chars follows a changed text.
-Empty tables pass through all stages.
+All stages but the last return the columns of their input, whatever else it has and however it is named; n_chars
+follows a changed text. A null text is an empty one and stays null; a null doc_id is a document like any other; of
+repeated rows and equal texts the second stage keeps one, of the least doc_id (null last); texts are taken whole,
+however long; empty tables pass through all stages. Each stage's table is in the shared folder, so a lost executor costs
+its own tasks; a run that is cut off starts anew.
 """
 
 from __future__ import annotations

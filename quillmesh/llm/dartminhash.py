@@ -17,10 +17,11 @@ a band and whose exact similarity is `THRESHOLD` or more:
 2. Each band's bucket is compared with one member of it, the one that meets the most others,
    so a large bucket costs its size.
 3. Buckets whose members are still in several components are compared across these only,
-   and only where two nodes can be similar: what they have in common is at most what either
-   shares with any other node. Agreement in enough coordinates, and in the least element
-   hashes, is tested before the exact check; each would lose a pair at the threshold with
-   probability 2e-5, and the second none of at most `LEAST` elements.
+   by classes of weight, and only where two nodes can be similar: what they have in common is
+   at most what either shares with any other node. None of this loses a pair.
+
+Before the exact check of a pair, its signatures must agree in `AGREE` coordinates; this
+would lose a pair at the threshold with probability 2e-5.
 
 Defined cases: null is the empty text; texts without words are equal to each other only
 where they are the same text; equal rows are in one class; a null doc_id is a document
@@ -46,8 +47,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 AGREE = 62  # of 96 four-bit coordinates, of which 78 agree on the average at a similarity of 0.8
-LEAST = 256  # elements of a text that are compared first
-MARGIN = 0.11  # over four standard deviations of the similarity of these
 
 _THROW = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 _TWO = np.float64(2.0**-53)
@@ -209,12 +208,15 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Tr
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     apart = written(named.join(split, "key"), "apart")
-    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node")), "node").join(signs, "node")
-    one, two = (sized.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "label", "total", "shared", "least", "sig"))) for k in "xy")
-    # what two texts have in common is at most what either shares with any other
+    # what two texts have in common is at most what either shares with any other, and neither's weight is far from the other's
+    size = F.floor(F.log("total") / F.log(F.lit(1.01 / threshold)))
+    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node")).filter(F.col("shared") >= threshold * F.col("total")).withColumn("size", size), "node")
+    one = sized.select("key", "size", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "total", "shared", "size")))
+    two = sized.select("key", F.explode(F.array("size", F.col("size") - 1)).alias("size"), *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "total", "shared", "size")))
+    once = F.when(F.col("size_x") < F.col("size_y"), F.col("label_x") != F.col("label_y")).otherwise(F.col("label_x") < F.col("label_y"))
     possible = F.least("shared_x", "shared_y") * (1 + threshold) >= threshold * (F.col("total_x") + F.col("total_y"))
-    across = one.join(two, "key").filter((F.col("label_x") < F.col("label_y")) & possible & _agree("sig_x", "sig_y", threshold) & _close("least_x", "least_y", threshold)).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    across = across.join(first, ["a", "b"], "left_anti")
+    across = one.join(two, ["key", "size"]).filter(once & possible).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    across = _agreeing(written(across.join(first, ["a", "b"], "left_anti"), "pairs"), signs, threshold)
     more = written(_similar(across, lists, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -231,11 +233,11 @@ def near_classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def _shared_weight(lists: DataFrame) -> DataFrame:
-    """node, total (its weight), shared (the weight of its elements that another of these nodes has too), least (its least elements)."""
+    """node, total (its weight), shared (the weight of its elements that another of these nodes has too)."""
     each = lists.select("node", F.explode("elements").alias("element"))
     own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    total, least = F.size("elements").cast("long"), F.slice(F.array_sort("elements"), 1, LEAST)
-    return lists.select("node", total.alias("total"), least.alias("least")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"), "least")
+    total = F.size("elements").cast("long")
+    return lists.select("node", total.alias("total")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def _agree(a: str, b: str, threshold: float):
@@ -250,16 +252,6 @@ def _agree(a: str, b: str, threshold: float):
     return (F.lit(COORDINATES) - differ) >= least
 
 
-def _close(a: str, b: str, threshold: float):
-    """Whether two texts' least elements, up to where both lists reach, are about as similar as asked; texts of at most LEAST elements are compared exactly."""
-    x, y = F.col(a), F.col(b)
-    ends = [F.when(F.size(v) == LEAST, v[LEAST - 1]) for v in (x, y)]
-    common = F.size(F.array_intersect(x, y))
-    either = sum((F.size(F.filter(v, lambda e: e <= F.least(*ends))) for v in (x, y)), -common)
-    whole = F.size(x) + F.size(y) - common
-    return F.when(F.coalesce(*ends).isNull(), common >= threshold * whole).otherwise(common >= (threshold - MARGIN) * either)
-
-
 def _agreeing(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) that agree in enough coordinates to be worth an exact check."""
     one, two = signs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), signs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))

@@ -18,7 +18,8 @@ a band and whose exact similarity is `THRESHOLD` or more:
    so a large bucket costs its size.
 3. Buckets whose members are still in several components are compared across these only,
    by classes of weight, and only where two nodes can be similar: what they have in common is
-   at most what either shares with any other node. None of this loses a pair.
+   at most what either shares with any other node, and at most what their `LEAST` least
+   elements share and leave open. None of this loses a pair.
 
 Before the exact check of a pair, its signatures must agree in `AGREE` coordinates; this
 would lose a pair at the threshold with probability 2e-5.
@@ -46,6 +47,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
+SLACK = 1e-6  # of the bounds, so that no pair at the very threshold is lost to rounding
+LEAST = 256  # elements of a text that are compared before the exact check
 AGREE = 62  # of 96 four-bit coordinates, of which 78 agree on the average at a similarity of 0.8
 
 _THROW = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
@@ -162,7 +165,8 @@ def _element_lists(weighted: bool):
 def _similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) whose exact similarity reaches the threshold."""
     one = lists.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    two = lists.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    wanted = lists.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    two = wanted.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     common = F.size(F.array_intersect("ea", "eb"))
     return pairs.join(one, "a").join(two, "b").filter(common >= threshold * (F.size("ea") + F.size("eb") - common)).select("a", "b")
 
@@ -202,7 +206,8 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Tr
     signs = nodes.select("node", "sig")
     star = members.join(pivots, "key").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     first = written(star, "pairs")
-    links = written(_similar(_agreeing(first, signs, threshold), lists, threshold), "links")
+    agreed = written(_agreeing(first, signs, threshold), "pairs")
+    links = written(_similar(agreed, lists, threshold), "links")
     labels = components(links)
     # buckets that still hold several components
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -210,13 +215,16 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Tr
     apart = written(named.join(split, "key"), "apart")
     # what two texts have in common is at most what either shares with any other, and neither's weight is far from the other's
     size = F.floor(F.log("total") / F.log(F.lit(1.01 / threshold)))
-    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node")).filter(F.col("shared") >= threshold * F.col("total")).withColumn("size", size), "node")
-    one = sized.select("key", "size", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "total", "shared", "size")))
-    two = sized.select("key", F.explode(F.array("size", F.col("size") - 1)).alias("size"), *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "total", "shared", "size")))
+    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node")).filter(F.col("shared") >= threshold * F.col("total")).withColumn("size", size), "node").join(signs, "node")
+    carried = ("node", "label", "total", "shared", "size", "sig", "least")
+    one = sized.select("key", "size", *(F.col(c).alias(f"{c}_x") for c in carried))
+    two = sized.select("key", F.explode(F.array("size", F.col("size") - 1)).alias("size"), *(F.col(c).alias(f"{c}_y") for c in carried))
     once = F.when(F.col("size_x") < F.col("size_y"), F.col("label_x") != F.col("label_y")).otherwise(F.col("label_x") < F.col("label_y"))
-    possible = F.least("shared_x", "shared_y") * (1 + threshold) >= threshold * (F.col("total_x") + F.col("total_y"))
-    across = one.join(two, ["key", "size"]).filter(once & possible).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    across = _agreeing(written(across.join(first, ["a", "b"], "left_anti"), "pairs"), signs, threshold)
+    possible = F.least("shared_x", "shared_y") * (1 + threshold) >= threshold * (F.col("total_x") + F.col("total_y")) - SLACK
+    # signatures and least elements are compared within the join, so only pairs worth an exact check leave it
+    across = one.join(two, ["key", "size"]).filter(once & possible & _agree("sig_x", "sig_y", threshold) & _may("x", "y", threshold))
+    across = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    across = written(across, "pairs")
     more = written(_similar(across, lists, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -233,11 +241,22 @@ def near_classes(docs: DataFrame, **options) -> DataFrame:
 
 
 def _shared_weight(lists: DataFrame) -> DataFrame:
-    """node, total (its weight), shared (the weight of its elements that another of these nodes has too)."""
+    """node, total (its weight), shared (the weight of its elements that another of these nodes has too), least (its least elements)."""
     each = lists.select("node", F.explode("elements").alias("element"))
     own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     total = F.size("elements").cast("long")
-    return lists.select("node", total.alias("total")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"))
+    least = F.slice(F.array_sort("elements"), 1, LEAST)
+    return lists.select("node", total.alias("total"), least.alias("least")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"), "least")
+
+
+def _may(a: str, b: str, threshold: float):
+    """Whether two texts may be similar by their least elements: up to where both lists reach they are compared, and of the rest all that fits may be common. This loses no pair."""
+    x, y = F.col(f"least_{a}"), F.col(f"least_{b}")
+    whole = F.col(f"total_{a}") + F.col(f"total_{b}")
+    common = F.size(F.array_intersect(x, y))
+    end = F.least(*(F.when(F.col(f"total_{k}") > LEAST, v[LEAST - 1]) for k, v in ((a, x), (b, y))))
+    rest = F.least(*(F.col(f"total_{k}") - F.size(F.filter(v, lambda e: e <= end)) for k, v in ((a, x), (b, y))))
+    return (common + F.when(end.isNull(), 0).otherwise(rest)) * (1 + threshold) >= threshold * whole - SLACK
 
 
 def _agree(a: str, b: str, threshold: float):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillmesh.llm import dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
+from quillmesh.llm import contentsort, dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_secrets": secrets.op8_secrets,
         "op9_token_files": tokenfiles.op9_token_files,
         "op10_pieces": pieces.op10_pieces,
+        "op11_content_sort": contentsort.op11_content_sort,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op4_substrings": substrings.OP4_ORACLE,
         "op6_fm_index": fmindex.OP6_ORACLE,
         "op8_secrets": secrets.OP8_ORACLE,
+        "op11_content_sort": contentsort.OP11_ORACLE,
     }

@@ -75,12 +75,10 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when this session's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def remove() -> None:
         try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            dropped(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already
             pass
 
@@ -88,6 +86,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession

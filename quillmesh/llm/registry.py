@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillmesh.llm import contentsort, dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
+from quillmesh.llm import boundedmeans, contentsort, dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_token_files": tokenfiles.op9_token_files,
         "op10_pieces": pieces.op10_pieces,
         "op11_content_sort": contentsort.op11_content_sort,
+        "op12_bounded_means": boundedmeans.op12_bounded_means,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql():
         "op6_fm_index": fmindex.OP6_ORACLE,
         "op8_secrets": secrets.OP8_ORACLE,
         "op11_content_sort": contentsort.OP11_ORACLE,
+        "op12_bounded_means": boundedmeans.OP12_ORACLE,
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillmesh.llm import boundedmeans, contentsort, dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, toxicity
+from quillmesh.llm import boundedmeans, contentsort, dartminhash, fmindex, personal, pieces, png, secrets, substrings, templates, tokenfiles, tokenlinks, toxicity
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op10_pieces": pieces.op10_pieces,
         "op11_content_sort": contentsort.op11_content_sort,
         "op12_bounded_means": boundedmeans.op12_bounded_means,
+        "op13_token_links": tokenlinks.op13_token_links,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -24,7 +24,7 @@ def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
 
-def reaches(score, least: float) -> Column:
+def reaches(score, least) -> Column:
     """A finite score of at least ``least``; null and NaN do not reach it."""
     s = F.col(score) if isinstance(score, str) else score
     return F.coalesce(~F.isnan(s) & (F.abs(s) < float("inf")) & (s >= least), F.lit(False))

@@ -73,7 +73,9 @@ def _covers(each: DataFrame, query_terms: list[str], ident: str) -> DataFrame:
 
 
 def text_top(chunks: DataFrame, query: list[str], k: int, ident: str = "chunk_id") -> DataFrame:
-    """The k best chunks by text rank, then id."""
+    """The k best chunks by text rank, then id; no terms match nothing."""
+    if not query:
+        return chunks.select(ident, F.lit(0.0).alias("text_rank")).limit(0)
     found = cover_density(matching(chunks, query), query, ident).select(ident, F.round("text_rank", 6).alias("text_rank"))
     return found.orderBy(F.desc("text_rank"), ident).limit(k)
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text, vector
-from quillmesh.operators import evaluation, lifecycle, mutations, retrieval
-from quillmesh.plans import oracle, workflows
+from quillmesh.operators import evaluation, lifecycle, mutations, retrieval, vector_index
+from quillmesh.plans import oracle, searches, workflows
 from quillmesh.sources import knowledge as model
 
 LIMIT = 10
@@ -155,7 +155,7 @@ def hybrid_search(spark, sf_dir):
 
 def _retrieved(spark, sf_dir, k=LIMIT):
     rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.exact_top(rows, _query_set(spark, sf_dir), k)
+    return vector_index.exact(rows, rows.filter(F.col("id") % EVERY == 0).withColumnRenamed("id", "query"), k)
 
 
 def exact_knn(spark, sf_dir):
@@ -277,9 +277,12 @@ _ALL = (
 )
 
 
+_MORE = workflows.WORKFLOWS | searches.SEARCHES
+
+
 def queries():
-    return {f.__name__: f for f in _ALL} | {name: query for name, (query, _) in workflows.WORKFLOWS.items()}
+    return {f.__name__: f for f in _ALL} | {name: query for name, (query, _) in _MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql() | {name: sql for name, (_, sql) in workflows.WORKFLOWS.items()}
+    return oracle.oracle_sql() | {name: sql for name, (_, sql) in _MORE.items() if sql}

@@ -103,12 +103,17 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table that ingestion makes once for a session and searches read: in the shared folder, written at its first use."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        path = f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = fresh_folder(spark, name)
         build(spark, sf_dir).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _shared_dir(spark: SparkSession) -> str:
     """From ``spark.checkpoint.dir``, which a cluster must name; a local session without it has a temporary folder."""
     if found := spark.conf.get("spark.checkpoint.dir", None):

@@ -12,9 +12,10 @@ tokens one is a suffix of the other, so there are no more id pairs than the voca
 tokens (`possible_pairs`: fewer than a million for two of about 50,000), however large the corpus; only their counts
 are broadcast.
 
-Both tokenizers break before every single space, so where spaces and line ends are a text's only white
-space (`tokenfiles.Encoder.plain`), it is aligned by chunks that begin with a space, each distinct one of
-a worker once; any other text is aligned whole, block by block of about `BLOCK` bytes between two cuts.
+Both tokenizers break before every single space and on both sides of a line end, and before a comma or full stop that
+ends a word. So where spaces and line ends are a text's only white space (`tokenfiles.Encoder.plain`), it is
+aligned by chunks that begin with one, each distinct one of a worker once; any other text is aligned whole, block
+by block of about `BLOCK` bytes between two cuts.
 
 Defined cases: null and empty texts have no tokens, nor have texts whose bytes a tokenizer does not give
 back (such as ones that hold U+2581); strings of special tokens are plain text; equal rows have equal results; a
@@ -37,8 +38,8 @@ from quillmesh.llm.common import freeing, written
 
 MARK = "▁"
 BLOCK = 1 << 20  # bytes that are multiplied at once
-CACHE = 48 << 20  # bytes, at about ENTRY each, of the chunks that a worker keeps with their links
-ENTRY = 700
+CACHE = 128 << 20  # bytes, at about ENTRY each, of the chunks that a worker keeps with their links
+ENTRY = 450
 PART = 128  # texts that are encoded together
 _FIELD = 40  # bits of a count in a chunk's packed counts
 _MASK = (1 << _FIELD) - 1
@@ -127,13 +128,15 @@ class _Spaced(tokenfiles.Encoder):
         self.tokenizer.encode_special_tokens = True
         self.special = ()
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks of plain texts, each with the space before it."""
-        cut = [c.replace("\n", "\0\n\0").split("\0") for c in chunks]
-        self.learn({p for x in cut for p in x})
-        out = [b"".join(map(self.known.__getitem__, x)) for x in cut]
-        self.known = dict(self.fixed)
-        return out
+    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without line ends, each with the space before it if it has one: flat, and how many each has."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else np.zeros(0, int)
+        if len(cuts) == len(lines) - 1:
+            ends = np.append(cuts, len(ids))
+            return np.delete(ids, cuts), np.diff(ends - np.arange(len(ends)), prepend=0)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found])
 
 
 class Aligner:
@@ -147,7 +150,13 @@ class Aligner:
         self.bytes_a, self.bytes_b = a_bytes(self.a.tokenizer), b_bytes(self.b)
         self.size_a, self.size_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.known: dict[str, tuple[str, bytes, int] | None] = {}
+        #: whether no piece goes on from a letter to a comma or full stop, and none holds a line end
+        self.apart = not any(p[k - 1].isalpha() and p[k] in ",." for p in map(self.b.id_to_piece, range(len(self.bytes_b))) for k in range(1, len(p)))
+        if any(b"\n" in x and len(x) > 1 for x in self.bytes_b):
+            raise ValueError("a piece holds a line end and more")
+        one, two = (np.array([self.a._ids(c)[0] for c in "\n,."]), np.array([self.b.encode("\n" + c)[-1] for c in ("", ",", ".")]))
+        self.fixed: dict[str, tuple[str, bytes, int] | None] = dict(zip("\n,.", self._digests(one, two, np.arange(1, 4)), strict=True))
+        self.known = dict(self.fixed)
 
     def _same(self, data: bytes, a: list[int], b: list[int]) -> bool:
         return b"".join(map(self.bytes_a.__getitem__, a)) == data == b"".join(map(self.bytes_b.__getitem__, b))
@@ -163,30 +172,26 @@ class Aligner:
         together = np.repeat(end_a, np.diff(ptr)) == end_b[col]
         return cuts, np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts), np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), (ptr, col, n), together
 
-    def _digests(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, bytes, int]]:
-        """(groups, links, packed counts) of token sequences (a, b), all in one product."""
-        a, b = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
+    def _digests(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray) -> list[tuple[str, bytes, int]]:
+        """(groups, links, packed counts) of the token sequences (a, b) whose last A tokens are before ``end_a``, all in one product."""
         cuts, last_a, last_b, in_a, in_b, (ptr, col, _), together = self.matrices(a, b)
         # groups by tokens, and how many A and B tokens share one
-        p, q = np.arange(len(a) + 1), np.searchsorted(in_b, np.arange(len(cuts) + 1))
-        shares = np.concatenate([[0], np.cumsum(row_sizes(p, in_a, q))])
+        shares = np.concatenate([[0], np.cumsum(row_sizes(np.arange(len(a) + 1), in_a, np.searchsorted(in_b, np.arange(len(cuts) + 1))))])
         row = np.repeat(np.arange(len(a)), np.diff(ptr))[together]
-        keys = (b[col[together]].astype(np.uint32) << np.uint32(16)) | a[row].astype(np.uint32)
+        links = ((b[col[together]].astype(np.uint32) << np.uint32(16)) | a[row].astype(np.uint32)).astype("<u4").tobytes()
         names = self.names
         text_a, text_b = [names[i] for i in a.tolist()], [names[i] for i in b.tolist()]
         groups, i, j = [], 0, 0
         for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
             groups.append(f"{text_a[i]}|{text_b[j]}" if x - i == 1 == y - j else ",".join(text_a[i:x]) + "|" + ",".join(text_b[j:y]))
             i, j = x, y
-        out, i, j, g, k = [], 0, 0, 0, 0
-        link_at = np.searchsorted(row, np.arange(len(a) + 1)).tolist()
-        ends = np.cumsum([len(x) for x, _ in pairs]).tolist()
-        group_at = (np.searchsorted(last_a, np.array(ends) - 1) + 1).tolist()
-        for (x, y), end, last in zip(pairs, ends, group_at, strict=True):
-            counts = (len(x), len(y), last - g, int(ptr[end] - ptr[i]), int(shares[end] - shares[i]))
-            out.append((";".join(groups[g:last]), keys[link_at[i] : link_at[end]].astype("<u4").tobytes(), sum(c << (_FIELD * f) for f, c in enumerate(counts))))
-            i, g = end, last
-        return out
+        group = np.searchsorted(last_a, end_a - 1) + 1
+        end_b = last_b[group - 1] + 1
+        bounds = [np.concatenate([[0], x]) for x in (end_a, end_b, group, ptr[end_a], shares[end_a], 4 * np.searchsorted(row, end_a))]
+        counts = [np.diff(x).tolist() for x in bounds[:5]]
+        at, cut = bounds[2].tolist(), bounds[5].tolist()
+        packed = [n | m << _FIELD | g << 2 * _FIELD | o << 3 * _FIELD | h << 4 * _FIELD for n, m, g, o, h in zip(*counts, strict=True)]
+        return [(";".join(groups[at[k] : at[k + 1]]), links[cut[k] : cut[k + 1]], c) for k, c in enumerate(packed)]
 
     def _blocks(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The tokens in blocks of about BLOCK bytes, each up to a cut."""
@@ -207,39 +212,64 @@ class Aligner:
         fits = (self._same(b" " + t.encode(), a, b) if t else False for t, a, b in zip(texts, one, two, strict=True))
         return [(np.array(a, np.int64), np.array(b, np.int64)) if ok else None for ok, a, b in zip(fits, one, two, strict=True)]
 
+    def _lines(self, lines: list[str], begin: str) -> list[tuple[str, bytes, int] | None]:
+        """What `digests` has for words without line ends; for ``begin`` a line end they stand behind one, and it is not counted."""
+        found: list[tuple[str, bytes, int] | None] = []
+        for low in range(0, len(lines), 4096):
+            part = lines[low : low + 4096]
+            a, n = self.a.lines(part)
+            skip = 2 if begin == "\n" else 0  # the marker that is put in front, and the line end
+            two = self.b.encode([begin + c if skip else c[1:] for c in part], num_threads=1)
+            b = np.array([i for x in two for i in x[skip:]], np.int64)
+            m = np.array([len(x) - skip for x in two])
+            data = [c.encode() for c in part]
+            size = np.array([len(d) for d in data])
+            ends = [np.concatenate([[0], np.cumsum(x)])[np.cumsum(k)] for x, k in ((self.size_a[a], n), (self.size_b[b], m))]
+            if (ends[0] == np.cumsum(size)).all() and (ends[1] == ends[0]).all() and self._same(b"".join(data), a.tolist(), b.tolist()):
+                found += self._digests(a, b, np.cumsum(n))
+                continue
+            i = j = 0
+            for d, x, y in zip(data, n.tolist(), m.tolist(), strict=True):
+                one, other = a[i : i + x], b[j : j + y]
+                found.append(self._digests(one, other, np.array([x]))[0] if self._same(d, one.tolist(), other.tolist()) else None)
+                i, j = i + x, j + y
+        return found
+
     def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        for low in range(0, len(new), 8192):
-            part = new[low : low + 8192]
-            one = [np.frombuffer(x, "<u2").astype(np.int64) for x in self.a.chunks(part)]
-            two = self.b.encode([c[1:] for c in part], num_threads=1)
-            good = [self._same(c.encode(), a.tolist(), b) for c, a, b in zip(part, one, two, strict=True)]
-            self.known |= {c: None for c, ok in zip(part, good, strict=True) if not ok}
-            at = [k for k, ok in enumerate(good) if ok]
-            if at:
-                found = self._digests([(one[k], np.array(two[k], np.int64)) for k in at])
-                self.known |= {part[k]: x for k, x in zip(at, found, strict=True)}
+        """Aligns the chunks that are not known: words behind a space or a line end, a last comma or full stop apart."""
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        stem = lambda c: c[:-1] if self.apart and c[-1] in ",." and c[-2:-1].isalpha() else c
+        todo = {c for c in map(stem, new) if c not in known}
+        for begin in (" ", "\n"):
+            mine = [c for c in todo if c[0] == begin]
+            found = self._lines(mine if begin == " " else [c[1:] for c in mine], begin)
+            known.update(zip(mine, found if begin == " " else [self._joined([known["\n"], x]) for x in found], strict=True))
+        for c in new:
+            if c not in known:
+                known[c] = self._joined([known[c[:-1]], known[c[-1]]])
+
+    @staticmethod
+    def _joined(parts: list[tuple[str, bytes, int] | None]) -> tuple[str, bytes, int] | None:
+        if None in parts:
+            return None
+        groups, links, counts = zip(*parts, strict=True)
+        return ";".join(groups), b"".join(links), sum(counts)
 
     def digests(self, texts: list[str | None]) -> list[tuple[str, bytes, int]]:
         """(sha256 of the groups or '', links as little-endian 32-bit b << 16 | a, packed counts) of each text."""
-        cut = [(" " + t).replace(" ", "\0 ").split("\0")[1:] if t and self.a.plain(t) else None for t in texts]
+        cut = [(" " + t).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:] if t and self.a.plain(t) else None for t in texts]
         self._learn({c for x in cut if x is not None for c in x})
         out: list[tuple[str, bytes, int]] = [("", b"", 0)] * len(texts)
-        whole = []
+        get = self.known.__getitem__
         for k, (t, x) in enumerate(zip(texts, cut, strict=True)):
-            found = [self.known[c] for c in x] if x is not None else [None]
-            if None not in found:
-                groups, links, counts = zip(*found, strict=True)
-                out[k] = (hashlib.sha256(";".join(groups).encode()).hexdigest(), b"".join(links), sum(counts))
-            elif t:
-                whole.append(k)
-        for k in whole:
-            if (ids := self.tokens([texts[k]])[0]) is not None:
-                found = [self._digests([x])[0] for x in self._blocks(*ids)]
-                groups, links, counts = zip(*found, strict=True)
-                out[k] = (hashlib.sha256(";".join(groups).encode()).hexdigest(), b"".join(links), sum(counts))
+            found = self._joined(list(map(get, x))) if x is not None else None
+            if found is None and t and (ids := self.tokens([t])[0]) is not None:
+                found = self._joined([self._digests(a, b, np.array([len(a)]))[0] for a, b in self._blocks(*ids)])
+            if found is not None:
+                out[k] = (hashlib.sha256(found[0].encode()).hexdigest(), *found[1:])
         if len(self.known) * ENTRY > CACHE:
-            self.known = {}
+            self.known = dict(self.fixed)
         return out
 
 

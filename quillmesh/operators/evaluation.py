@@ -66,11 +66,15 @@ def holds(text, part) -> Column:
     return F.contains(text, compared(part))
 
 
+#: Fixed value: what an answer without citations is told.
+UNCITED = "answer does not cite a retrieved expected source"
+
+
 def grade_answers(cases: DataFrame) -> DataFrame:
     """cases (case, answer, points, sources: array<struct<id, title, content, expected>> by rank, wants_sources) with its grades.
 
     missing: the points the answer lacks; answer_correct: none is missing; citations: the sources whose id or title
-    the answer holds, by rank; citations_correct: some are cited, all of them expected; mismatches: the cited that are not;
+    the answer holds, by rank; citations_correct: some are cited, all of them expected; mismatches: the cited that are not, or `UNCITED`;
     supported: all points stand in what was retrieved. Where nothing is expected a grade is null.
     """
     said = compared(F.coalesce("answer", F.lit("")))
@@ -85,7 +89,7 @@ def grade_answers(cases: DataFrame) -> DataFrame:
         {
             "answer_correct": F.when(asks, F.size("missing") == 0),
             "citations_correct": F.when(F.col("wants_sources"), correct),
-            "mismatches": F.when(F.col("wants_sources"), F.col("mismatches")).otherwise(F.array().cast("array<string>")),
+            "mismatches": F.when(F.col("wants_sources"), F.when(F.size("citations") == 0, F.array(F.lit(UNCITED))).otherwise(F.col("mismatches"))).otherwise(F.array().cast("array<string>")),
             "supported": F.when(asks, F.forall("points", lambda p: holds(context, p))),
         }
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
-from quillmesh.operators import batched, retrieval, vector_index
-from quillmesh.plans.oracle import CATS, EMBEDDED, PROJ
+from quillmesh.operators import batched, evaluation, evaluation_run, retrieval, vector_index
+from quillmesh.plans.oracle import CATS, EMBEDDED, PROJ, REFUSED, SAID
 from quillmesh.sources import knowledge as model
 
 EVERY = 100  # the query set: every row whose id is divisible by it
@@ -43,10 +43,11 @@ def batched_hybrid(spark, sf_dir):
     return batched.hybrid(asked(spark, sf_dir), usable_chunks(spark, sf_dir), model.chunks(spark, sf_dir), model.postings(spark, sf_dir), bridge(spark, sf_dir))
 
 
-BATCHED = f"""{EMBEDDED}, {CATS}, {PROJ},
-items AS (SELECT item_id, regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+') AS t, CAST(e.embedding AS DOUBLE[]) AS vec FROM benchmark b JOIN embeddings e ON vec_id = item_id WHERE item_id % 100 = 0),
-qs AS (SELECT item_id * 4 + v AS query, v, list_distinct(CASE WHEN v % 2 = 0 THEN t ELSE t[1:2] END) AS w, 5 + item_id % 7 + v AS lim, greatest(4 * (5 + item_id % 7 + v), 20) AS most, vec FROM items, unnest(range(0, 4)) AS u(v)),
-ok AS (SELECT query, doc_id FROM qs, documents WHERE (v NOT IN (1, 2) OR doc_id IN (SELECT doc_id FROM cats WHERE category IN ('en', 'curated'))) AND (v <> 2 OR doc_id IN (SELECT doc_id FROM proj WHERE project_id IN (0, 1, 4)))),
+def hybrid_sql(queries: str, allowed: str) -> str:
+    """The tables up to ``top``, from qs (query, w: distinct terms, lim, most, least, vec) and the condition by which a query may see a source."""
+    return f"""{EMBEDDED}, {CATS}, {PROJ},
+{queries},
+ok AS (SELECT query, doc_id FROM qs, documents WHERE {allowed}),
 near AS (SELECT query, chunk_id, score, vr FROM (SELECT query, chunk_id, most, round(list_cosine_similarity(embedding, vec), 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(embedding, vec), 6) DESC, chunk_id) AS vr FROM usable JOIN ok USING (doc_id) JOIN qs USING (query)) WHERE vr <= most),
 tok AS (SELECT chunk_id, doc_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS t FROM chunks),
 hits AS (SELECT query, chunk_id, t, w FROM tok JOIN ok USING (doc_id) JOIN qs USING (query) WHERE len(w) > 0 AND list_has_all(t, w)),
@@ -57,10 +58,98 @@ rk AS (SELECT c.query, c.chunk_id, round(sum(0.1::DOUBLE / (1 + (c.e - c.s) - (y
 texts AS (SELECT query, chunk_id, text_rank, tr FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY text_rank DESC, chunk_id) AS tr FROM rk) JOIN qs USING (query) WHERE tr <= most),
 fused AS (SELECT query, chunk_id, round(coalesce(1::DOUBLE / (60 + vr), 0) + coalesce(1::DOUBLE / (60 + tr), 0), 9) AS rrf, vr IS NOT NULL AND tr IS NOT NULL AS in_both, score, text_rank,
   array_to_string(list_filter([CASE WHEN vr IS NOT NULL THEN 'vector' END, CASE WHEN tr IS NOT NULL THEN 'text' END], lambda x: x IS NOT NULL), ',') AS reasons
-  FROM near FULL JOIN texts USING (query, chunk_id) WHERE vr IS NULL OR score >= 0.2),
+  FROM near FULL JOIN texts USING (query, chunk_id) JOIN (SELECT query, least FROM qs) USING (query) WHERE vr IS NULL OR score >= least),
 top AS (SELECT query, chunk_id, CAST(place AS INTEGER) AS place, rrf, score, text_rank, reasons FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, in_both DESC, score DESC NULLS LAST, text_rank DESC NULLS LAST, chunk_id) AS place FROM fused) JOIN qs USING (query) WHERE place <= lim)"""
 
 
+BATCHED = hybrid_sql(
+    """items AS (SELECT item_id, regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+') AS t, CAST(e.embedding AS DOUBLE[]) AS vec FROM benchmark b JOIN embeddings e ON vec_id = item_id WHERE item_id % 100 = 0),
+qs AS (SELECT item_id * 4 + v AS query, v, list_distinct(CASE WHEN v % 2 = 0 THEN t ELSE t[1:2] END) AS w, 5 + item_id % 7 + v AS lim, greatest(4 * (5 + item_id % 7 + v), 20) AS most, 0.2::DOUBLE AS least, vec FROM items, unnest(range(0, 4)) AS u(v))""",
+    "(v NOT IN (1, 2) OR doc_id IN (SELECT doc_id FROM cats WHERE category IN ('en', 'curated'))) AND (v <> 2 OR doc_id IN (SELECT doc_id FROM proj WHERE project_id IN (0, 1, 4)))",
+)
+
+
+def _cases(spark, sf_dir):
+    """A case for each benchmark item: its text is asked and expected. Every fifth expects a refusal, some have vectors of another size."""
+    k = F.col("case")
+    items = model.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case"), F.col("text").alias("question"))
+    vectors = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case"), F.col("embedding").cast("array<double>").alias("embedding"))
+    met = items.join(vectors, "case", "left")
+    snippet = F.from_json(F.to_json(F.array(F.struct(F.col("question").alias("snippet")))), evaluation_run.EXPECTED)
+    refused = k % 5 == 0
+    return met.select(
+        "case", "question", text.tokens("question").alias("terms"), F.when(k % 7 == 3, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"),
+        F.when(k % 13 == 6, "TimeoutError: no vector in time").alias("embedding_error"), F.lit(5).alias("limit"), F.lit(0.2).alias("min_score"), F.lit(None).cast(batched.FILTERS).alias("filters"),
+        F.when(refused, F.array().cast(evaluation_run.EXPECTED)).otherwise(snippet).alias("expected"), F.when(refused, F.array().cast("array<string>")).otherwise(F.slice(text.tokens("question"), 1, 3)).alias("points"), F.when(k % 2 == 0, refused).alias("expected_refusal"),
+    )
+
+
+def _answers(contexts):
+    """What a model says, by rule: a refusal for every fifth case, the two best sources for even ones, and the best one else; some fail."""
+    k = F.col("case")
+    line = lambda i: F.coalesce(F.concat(F.lit(" "), F.try_element_at("sources", F.lit(i))["title"], F.lit(": "), F.try_element_at("sources", F.lit(i))["content"]), F.lit(""))
+    said = F.when(k % 5 == 0, "Sorry, not enough information.").when(k % 2 == 0, F.concat(line(1), line(2))).otherwise(line(1))
+    failed = k % 11 == 4
+    return contexts.select("case", F.when(~failed, said).alias("answer"), F.when(failed, "RuntimeError: the model is away").alias("answer_error"))
+
+
+def _run_results(spark, sf_dir):
+    src = model.chunks(spark, sf_dir).select("chunk_id", F.concat(F.lit("src-"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_title"), "chunk_index", F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("section"), "content")
+    search = evaluation_run.hybrid_search(usable_chunks(spark, sf_dir), model.chunks(spark, sf_dir), model.postings(spark, sf_dir), bridge(spark, sf_dir))
+    return evaluation_run.run(_cases(spark, sf_dir), search, src, _answers, 64)
+
+
+def evaluation_cases(spark, sf_dir):
+    """A run over the benchmark: every case with its grades or its error."""
+    return _run_results(spark, sf_dir).select("case", "recall_at_k", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "answer_correct", "refusal_correct", "citations_correct", "supported", F.size("missing").cast("long").alias("n_missing"), F.array_join("citations", ",").alias("citations"), F.size("mismatches").cast("long").alias("n_mismatches"), F.try_element_at("errors", F.lit(1)).alias("error"))
+
+
+BOUNDS = [("recall_at_k", "minimum", 0.8), ("mrr", "minimum", 0.7), ("runtime_error_count", "maximum", 0.0)]
+
+
+def evaluation_failures(spark, sf_dir):
+    """The metrics of that run, and what failed."""
+    results = evaluation_run.with_latencies(_run_results(spark, sf_dir))
+    metrics = evaluation.metric_bundle(results)
+    one = metrics.select(F.lit("metric").alias("kind"), F.col("metric").alias("what"), F.round("value", 6).alias("value"), F.lit(None).cast("string").alias("detail"))
+    two = evaluation_run.failures(results, metrics, BOUNDS).select(F.lit("failure").alias("kind"), "what", F.lit(None).cast("double").alias("value"), "detail")
+    return one.unionByName(two)
+
+
+_EVALUATED = (
+    hybrid_sql(
+        """every AS (SELECT item_id AS k, b.text AS question, list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')) AS w, regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')[1:3] AS points, CAST(e.embedding AS DOUBLE[]) AS vec,
+  CASE WHEN item_id % 13 = 6 THEN 'TimeoutError: no vector in time' WHEN trim(coalesce(b.text, '')) = '' THEN 'ValueError: the question must not be empty' WHEN e.embedding IS NULL THEN 'ValueError: the question has no vector' WHEN item_id % 7 = 3 THEN 'ValueError: expected 64 dimensions, got 3' WHEN item_id % 11 = 4 THEN 'RuntimeError: the model is away' END AS error FROM benchmark b LEFT JOIN embeddings e ON vec_id = item_id),
+qs AS (SELECT k AS query, w, 5 AS lim, 20 AS most, 0.2::DOUBLE AS least, vec FROM every WHERE error IS NULL)""",
+        "true",
+    )
+    + f""",
+got AS (SELECT query AS k, place, doc_id, 'doc-' || doc_id AS title, 'src-' || doc_id AS id, content, k % 5 <> 0 AND contains({SAID % "content"}, {SAID % "question"}) AS expected FROM top JOIN chunks USING (chunk_id) JOIN every ON k = query),
+ctx AS (SELECT k, string_agg(content, ' ' ORDER BY place) AS context, max(CASE WHEN place = 1 THEN ' ' || title || ': ' || content END) AS one, max(CASE WHEN place = 2 THEN ' ' || title || ': ' || content END) AS two, bool_or(expected) AS hit, min(place) FILTER (WHERE expected) AS first FROM got GROUP BY k),
+said AS (SELECT every.k, question, points, error, context, hit, first, CASE WHEN every.k % 5 = 0 THEN 'Sorry, not enough information.' WHEN every.k % 2 = 0 THEN coalesce(one, '') || coalesce(two, '') ELSE coalesce(one, '') END AS answer FROM every LEFT JOIN ctx USING (k)),
+low AS (SELECT *, {SAID % "answer"} AS a, {SAID % "coalesce(context, '')"} AS c FROM said),
+cite AS (SELECT k, id, min(place) AS place, bool_or(expected) AS expected FROM got JOIN low USING (k) WHERE contains(a, title) OR contains(a, id) GROUP BY k, id),
+cites AS (SELECT k, string_agg(id, ',' ORDER BY place) AS citations, count(*) FILTER (WHERE NOT coalesce(e.x, false)) AS wrong, count(*) AS n FROM cite LEFT JOIN (SELECT k, id, bool_or(expected) AS x FROM got GROUP BY k, id) e USING (k, id) GROUP BY k),
+cases AS (SELECT low.k AS "case", error,
+  CASE WHEN error IS NULL AND low.k % 5 <> 0 THEN coalesce(hit, false)::INT::DOUBLE END AS recall_at_k, CASE WHEN error IS NULL AND low.k % 5 <> 0 THEN coalesce(1::DOUBLE / first, 0) END AS reciprocal_rank,
+  CASE WHEN error IS NULL AND low.k % 5 <> 0 AND len(points) > 0 THEN len(list_filter(points, lambda p: NOT contains(a, p))) = 0 END AS answer_correct,
+  CASE WHEN error IS NULL AND low.k % 2 = 0 THEN (low.k % 5 = 0) = ({REFUSED.replace("{said}", "a")}) END AS refusal_correct,
+  CASE WHEN error IS NULL AND low.k % 5 <> 0 THEN coalesce(n, 0) > 0 AND wrong = 0 AND coalesce(hit, false) END AS citations_correct,
+  CASE WHEN error IS NULL AND low.k % 5 <> 0 AND len(points) > 0 THEN len(list_filter(points, lambda p: NOT contains(c, p))) = 0 END AS supported,
+  CASE WHEN error IS NULL AND low.k % 5 <> 0 THEN len(list_filter(points, lambda p: NOT contains(a, p))) ELSE 0 END AS n_missing,
+  CASE WHEN error IS NULL THEN coalesce(citations, '') ELSE '' END AS citations,
+  CASE WHEN error IS NULL AND low.k % 5 <> 0 THEN CASE WHEN coalesce(n, 0) = 0 THEN 1 ELSE wrong END ELSE 0 END AS n_mismatches FROM low LEFT JOIN cites USING (k))"""
+)
+
+
+_METRICS = ", m AS (" + " UNION ALL ".join(
+    [f"SELECT '{m}' AS metric, avg({c}) AS value FROM cases" for m, c in evaluation.AVERAGES.items()]
+    + [f"SELECT '{m}', avg(CAST({c} AS DOUBLE)) FROM cases" for m, c in evaluation.RATES.items()]
+    + [f"SELECT '{m}', NULL" for m in evaluation.LATENCIES]
+    + ["SELECT 'runtime_error_count', CAST(count(error) AS DOUBLE) FROM cases"]
+) + ")"
+
+
 def _vectors(spark, sf_dir):
     return model.table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding")
 
@@ -104,6 +193,10 @@ SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY sco
 
 SEARCHES = {
     "batched_hybrid": (batched_hybrid, _with(BATCHED, "SELECT * FROM top")),
+    "evaluation_cases": (evaluation_cases, _with(_EVALUATED, "SELECT * REPLACE (round(reciprocal_rank, 6) AS reciprocal_rank) FROM cases")),
+    "evaluation_failures": (evaluation_failures, _with(_EVALUATED + _METRICS, """SELECT 'metric' AS kind, metric AS what, round(value, 6) AS value, NULL::VARCHAR AS detail FROM m
+UNION ALL SELECT 'failure', metric, NULL, bound FROM (SELECT *, CASE metric WHEN 'recall_at_k' THEN CASE WHEN value < 0.8 THEN 'minimum 0.8' END WHEN 'mrr' THEN CASE WHEN value < 0.7 THEN 'minimum 0.7' END WHEN 'runtime_error_count' THEN CASE WHEN value > 0 THEN 'maximum 0.0' END END AS bound FROM m) WHERE bound IS NOT NULL
+UNION ALL SELECT 'failure', CAST("case" AS VARCHAR), NULL, error FROM cases WHERE error IS NOT NULL""")),
     "gated_search": (gated_search, GATED),
     "indexed_search": (indexed_search, None),
     "index_report": (index_report, None),

@@ -249,7 +249,7 @@ met AS (SELECT k, r, doc_id, text, contains(answer, 'doc-' || doc_id) OR contain
 src AS (SELECT k, list('src-' || doc_id ORDER BY r) FILTER (WHERE cited) AS cited, list('src-' || doc_id) FILTER (WHERE expected) AS expected, {SAID % "string_agg(text, ' ' ORDER BY r)"} AS context FROM met GROUP BY k),
 all_ AS (SELECT low.k, points, answer, raw, coalesce(cited, []) AS cited, coalesce(expected, []) AS expected, coalesce(context, '') AS context FROM low LEFT JOIN src USING (k)),
 graded AS (SELECT *, len(list_filter(points, lambda p: NOT contains(answer, p))) AS n_missing, list_filter(cited, lambda c: NOT list_contains(expected, c)) AS wrong FROM all_),
-cases AS (SELECT k AS "case", raw, n_missing, array_to_string(cited, ',') AS citations, CASE WHEN k % 5 <> 0 THEN len(wrong) ELSE 0 END AS n_mismatches, CASE WHEN len(points) > 0 THEN n_missing = 0 END AS answer_correct,
+cases AS (SELECT k AS "case", raw, n_missing, array_to_string(cited, ',') AS citations, CASE WHEN k % 5 <> 0 THEN CASE WHEN len(cited) = 0 THEN 1 ELSE len(wrong) END ELSE 0 END AS n_mismatches, CASE WHEN len(points) > 0 THEN n_missing = 0 END AS answer_correct,
   CASE WHEN k % 5 <> 0 THEN len(cited) > 0 AND len(wrong) = 0 AND len(expected) > 0 END AS citations_correct, CASE WHEN len(points) > 0 THEN len(list_filter(points, lambda p: NOT contains(context, p))) = 0 END AS supported FROM graded)"""
 
 

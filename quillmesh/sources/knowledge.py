@@ -6,8 +6,6 @@ Ids are computed from a row's own keys, so no step numbers rows globally.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text
 from quillmesh.operators import retrieval
+from quillmesh.sources.shared import fresh_folder
 
 SIZE, OVERLAP = 1000, 150
 CHUNKS_A_SOURCE = 1_000_000  # above the number of chunks of any source
@@ -109,23 +108,6 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_STORED[key])
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder."""
-    return f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _shared_dir(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``, which a cluster must name; a local session without it has a temporary folder."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk table: the chunks of all sources with chunk_id."""
     return stored(spark, sf_dir, "chunks", _cut)

@@ -46,7 +46,7 @@ BLOCK_ROWS = 1_500_000  # stretches or windows that a task settles at once
 
 _NO_ID = -(1 << 63)
 _INVERSE = np.uint64(pow(int(wordhash.BASE), -1, 1 << 64))
-_ROW = "anchor long, key long, doc long, part int, start int, n int, known boolean, also array<int>"
+_ROW = "anchor long, key long, doc long, part long, start int, n int, known boolean, also array<long>"
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -102,11 +102,11 @@ def _settled(rows: list[np.ndarray]) -> pa.RecordBatch:
             join(anchor[firsts].view(np.int64), empty, np.int64),
             join(key[firsts].view(np.int64), empty, np.int64),
             join(doc[firsts], d[cut], np.int64),
-            join(part[firsts], p[cut], np.int32),
+            join(part[firsts], p[cut], np.int64),
             join(start[firsts], s[cut], np.int32),
             join(n[firsts], e[last] - s[cut], np.int32),
             pa.array(flag),
-            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(part_[tied].astype(np.int32))),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(part_[tied].astype(np.int64))),
         ],
         names=["anchor", "key", "doc", "part", "start", "n", "known", "also"],
     )
@@ -172,7 +172,7 @@ def _merged(starts: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text, repeats: the word ranges of maximal repeats, end exclusive, in order."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.hash(text).alias("part"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("part"), text.alias("text"))
     stretches = rows.mapInArrow(_find_stretches(length), _ROW)
     shared = stretches.filter(~F.col("known")).groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     met = stretches.join(shared, "anchor", "left").filter("known OR times IS NOT NULL")

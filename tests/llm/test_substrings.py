@@ -59,3 +59,25 @@ def test_texts_that_share_an_id_and_a_start(spark, tasks):
 
 def test_empty(spark):
     assert substrings.find_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_one_id_whose_short_hashes_collide(spark):
+    """Texts under one id are told apart by 64 bits; these two share their 32-bit hash and differ in length."""
+    from pyspark.sql import functions as F
+
+    base = " ".join(f"w{k}" for k in range(30))
+    made = spark.range(300_000).select(F.concat(F.lit(base + " "), F.repeat(F.lit("more "), (F.col("id") % 40).cast("int")), F.col("id").cast("string")).alias("text")).withColumn("h", F.hash("text"))
+    pair = [r.t for r in made.groupBy("h").agg(F.collect_list("text").alias("t"), F.count_distinct(F.length("text")).alias("n")).filter("n > 1").limit(3).collect()]
+    assert pair
+    rows = [(1, t) for t in pair[0]] + [(None, t) for t in pair[1]] + [(2, pair[0][0])]
+    got = substrings.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    words = {r.doc_id: r.repeats for r in got if r.doc_id == 2}
+    assert [tuple(x) for x in words[2]] == [(0, len(pair[0][0].split()))]
+
+
+def test_very_long_text(spark):
+    words = [f"w{k}" for k in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[50_000:50_030])), (3, "x " * 200_000)]
+    got = {r.doc_id: [tuple(x) for x in r.repeats] for r in substrings.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 30)], 3: [(1, 200_000)]}

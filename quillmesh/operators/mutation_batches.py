@@ -6,6 +6,8 @@ had before. So the batch falls into components of requests that meet; each is fo
 request_id by one task together with the entries it touches, and all components at once. What a component holds is as long as the chain of requests
 that wait for each other, which no plan can shorten; entries that no request names are only joined.
 
+The ids of created entries are given after the fold, so a request can't name an entry that its own batch creates; to it there is none.
+
 Outcomes: created, updated, deleted; conflict, the name is another entry's; invalid, the name is blank or the operation unknown;
 not_found; in_use, the entry has links.
 """
@@ -104,9 +106,9 @@ def outcomes(catalog: DataFrame, requests: DataFrame, used: DataFrame, key: Call
     links = asked.filter(asks_id & (F.col("key") != "")).select(at_id.alias("a"), at_key.alias("b"))
     links = links.unionByName(touched.select(at_id.alias("a"), at_key.alias("b"))).unionByName(asked.select(own.alias("a"), own.alias("b")))
     labels = components(links)
-    rows = asked.withColumn("node", own).join(labels, "node").drop("node")
-    entries = touched.withColumn("node", at_id).join(labels, "node").drop("node")
-    folded = rows.groupBy("label").cogroup(entries.groupBy("label")).applyInPandas(lambda a, b: _fold(a, b), OUTCOME)
+    rows = asked.withColumn("node", own).join(labels, "node").drop("node").withColumnRenamed("label", "component")
+    entries = touched.withColumn("node", at_id).join(labels.select("node", F.col("label").alias("part")), "node").drop("node")
+    folded = rows.groupBy("component").cogroup(entries.groupBy("part")).applyInPandas(_fold, OUTCOME)
     folded = written(folded, "outcomes")
     return _numbered(folded, catalog)
 

@@ -70,7 +70,7 @@ def test_requests_of_a_batch_see_each_other(spark):
 def test_random_batches_equal_the_plain_fold(spark, seed):
     rng = random.Random(seed)
     catalog = [(k, f"N{k}", f"n{k}", None, "active") for k in range(1, 60)]
-    requests = [(k * 7919 % 200_003, rng.choice([*mb.OPERATIONS, "rename", "rename", "odd"]), rng.choice([None, rng.randrange(1, 70)]), rng.choice([None, "", f" n{rng.randrange(1, 80)} "]), rng.choice([None, "", "text"])) for k in range(1, 250)]
+    requests = [(k * 7919 % 200_003, rng.choice([*mb.OPERATIONS, "rename", "rename", "odd"]), rng.choice([None, rng.randrange(1, 60), 1000 + k]), rng.choice([None, "", f" n{rng.randrange(1, 80)} "]), rng.choice([None, "", "text"])) for k in range(1, 250)]
     used = rng.sample(range(1, 60), 10)
     assert _run(spark, catalog, requests, used) == _plain(catalog, requests, used)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text, vector
 from quillmesh.operators import evaluation, lifecycle, mutations, retrieval, vector_index
-from quillmesh.plans import oracle, searches, workflows
+from quillmesh.plans import lifecycles, oracle, searches, workflows
 from quillmesh.sources import knowledge as model
 
 LIMIT = 10
@@ -277,7 +277,7 @@ _ALL = (
 )
 
 
-_MORE = workflows.WORKFLOWS | searches.SEARCHES
+_MORE = workflows.WORKFLOWS | searches.SEARCHES | lifecycles.LIFECYCLES
 
 
 def queries():

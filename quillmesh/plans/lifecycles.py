@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
-from quillmesh.operators import lifecycle, mutation_batches, reindex_store
-from quillmesh.plans.oracle import CHUNKS, STALE
+from quillmesh.operators import lifecycle, mutation_batches, reindex_store, snapshots
+from quillmesh.plans.oracle import CATS, CHUNKS, PROJ, STALE
 from quillmesh.sources import knowledge as model
 from quillmesh.sources.shared import fresh_folder
 from quillmesh.streaming import ingestion
@@ -115,7 +115,21 @@ def streamed_ingestion(spark, sf_dir):
 _STREAMED = f"""{CHUNKS}, first AS (SELECT doc_id, content_text FROM (SELECT *, row_number() OVER (PARTITION BY content_text ORDER BY doc_id % 3, doc_id) AS r FROM src) WHERE r = 1 AND content_text <> '')"""
 
 
+def restore_checks(spark, sf_dir):
+    """What the checks find after a restore of the knowledge tables in which a source is lost, the texts of chunks are changed, and the links come back in another order."""
+    tables = {"sources": model.sources(spark, sf_dir), "chunks": model.chunks(spark, sf_dir), "categories": model.source_categories(spark, sf_dir), "projects": model.source_projects(spark, sf_dir)}
+    folder = fresh_folder(spark, "snapshot")
+    manifest = snapshots.snapshot(spark, tables, folder)
+    back = snapshots.restored(spark, folder)
+    back["sources"] = back["sources"].filter("doc_id <> 1")
+    back["chunks"] = back["chunks"].withColumn("content", F.when(F.col("doc_id") == 2, F.upper("content")).otherwise(F.col("content")))
+    back["categories"] = back["categories"].repartition(3, "category")
+    return snapshots.checks(manifest, back)
+
+
 LIFECYCLES = {
+    "restore_checks": (restore_checks, _with(f"{CHUNKS}, {CATS}, {PROJ}", """SELECT 'sources' AS "table", count(*) AS expected, count(*) FILTER (WHERE doc_id <> 1) AS found, CASE WHEN count(*) FILTER (WHERE doc_id = 1) > 0 THEN 'rows_differ' ELSE 'ok' END AS status FROM src
+UNION ALL SELECT 'chunks', count(*), count(*), CASE WHEN count(*) FILTER (WHERE doc_id = 2 AND upper(content) <> content) > 0 THEN 'content_differs' ELSE 'ok' END FROM chunks UNION ALL SELECT 'categories', count(*), count(*), 'ok' FROM cats UNION ALL SELECT 'projects', count(*), count(*), 'ok' FROM proj""")),
     "streamed_ingestion": (streamed_ingestion, _with(_STREAMED, "SELECT f.doc_id, sha256(content_text) AS content_hash, count(*) AS n_chunks, CAST(sum(len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS n_words FROM first f JOIN chunks USING (doc_id) GROUP BY ALL")),
     "mutation_batch": (mutation_batch, _with(_FOLD, "SELECT request_id, op, out_id AS id, status FROM fold JOIN req USING (i)")),
     "mutated_catalog": (mutated_catalog, _with(_FOLD, "SELECT e.value AS id, e.key AS key FROM (SELECT unnest(map_entries(owner)) AS e FROM fold WHERE i = (SELECT max(i) FROM fold))")),

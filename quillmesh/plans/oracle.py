@@ -65,7 +65,7 @@ seed AS (SELECT vec_id AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WH
 near AS (SELECT c, e FROM (SELECT CAST(embedding AS DOUBLE[]) AS e, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) DESC, c) AS r FROM embeddings, seed) WHERE r = 1),
 cent AS (SELECT c, list(x ORDER BY d) AS v FROM (SELECT c, d, round(avg(e[d]), 6) AS x FROM near, unnest(range(1, 65)) AS u(d) GROUP BY c, d) GROUP BY c),
 list AS (SELECT id, c FROM (SELECT vec_id AS id, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) DESC, c) AS r FROM embeddings, cent) WHERE r = 1),
-probe AS (SELECT query, c FROM (SELECT query, c, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(cent.v, qs.v), 6) DESC, c) AS r FROM cent, qs) WHERE r <= 14),
+probe AS (SELECT query, c FROM (SELECT query, c, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(cent.v, qs.v), 6) DESC, c) AS r FROM cent, qs) WHERE r <= 20),
 ann AS (SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored JOIN list USING (id) JOIN probe USING (query, c) QUALIFY rank <= 10)"""
 REASON = """CASE WHEN config_hash IS NULL THEN CASE WHEN embedding IS NULL THEN 'missing_batch' ELSE 'unversioned' END WHEN embedding_status = 'failed' THEN 'failed' WHEN embedding_status <> 'embedded' THEN embedding_status
   WHEN batch_status <> 'completed' THEN 'batch_not_completed' WHEN config_hash <> 'active' THEN 'config_changed' ELSE 'pending' END"""
@@ -117,5 +117,5 @@ def oracle_sql() -> dict[str, str]:
         "category_inventory_match": _with(CATS, "SELECT conv_id, turn, list_has_any(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+'), (SELECT list(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(category)), '[a-z0-9]+')) AS w FROM cats))) AS matches FROM conversations WHERE role = 'user'"),
         "backfill_content": _with(CHUNKS, f"SELECT doc_id, sha256(string_agg(content, {NL} || {NL} ORDER BY chunk_id)) AS content_hash FROM chunks GROUP BY doc_id"),
         "safe_json": "SELECT event_type, CAST(sum(coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS BIGINT), 0)) AS BIGINT) AS sum_k, count(*) AS n FROM events GROUP BY event_type",
-        "expected_chunks": _with(f"{CHUNKS}, want AS (SELECT item_id, ' ' || array_to_string(t[1:12], ' ') || ' ' AS s FROM (SELECT item_id, {words % 'text'} AS t FROM benchmark) WHERE len(t) > 0)", f"SELECT item_id, chunk_id FROM (SELECT chunk_id, ' ' || array_to_string({words % 'content'}, ' ') || ' ' AS c FROM chunks) JOIN want ON contains(c, s)"),
+        "expected_chunks": _with(f"{CHUNKS}, want AS (SELECT item_id, ' ' || array_to_string(t, ' ') || ' ' AS s FROM (SELECT item_id, {words % 'text'} AS t FROM benchmark) WHERE len(t) > 0)", f"SELECT item_id, chunk_id FROM (SELECT chunk_id, ' ' || array_to_string({words % 'content'}, ' ') || ' ' AS c FROM chunks) JOIN want ON contains(c, s)"),
     }

@@ -31,22 +31,37 @@ def nearest_place(n, p: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(p) * n).cast("long"))
 
 
-def ranked_value(rows: DataFrame, group: str, value: str, p: float, place, name: str) -> DataFrame:
-    """rows (group, value) -> group, name: each group's value at place(n) of the sorted ones, exactly.
+def ranked_values(rows: DataFrame, group: str, value: str, wanted: dict) -> DataFrame:
+    """rows (group, value) -> group and a column for each name of ``wanted`` {name: (p, place)}: the group's value at place(n) of its n sorted ones, exactly.
 
-    A sketch brackets the place; the values below are counted, and only those inside are ranked.
+    One sketch brackets all places; the values below and inside the brackets are counted, and only those inside are ranked. Where a place
+    turns out to lie outside its bracket, what lies on that side of it is the bracket.
     """
     rows = rows.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL")
-    about = rows.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", [max(p - NARROW, 0.0), min(p + NARROW, 1.0)], 10_000).alias("b"))
+    shares = [s for p, _ in wanted.values() for s in (max(p - NARROW, 0.0), min(p + NARROW, 1.0))]
+    about = rows.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", shares, 10_000).alias("b"))
     few = F.col("n") <= WHOLE
-    about = about.select("g", place(F.col("n")).alias("place"), F.when(few, F.col("least")).otherwise(F.col("b")[0]).alias("low"), F.when(few, F.col("most")).otherwise(F.col("b")[1]).alias("high"))
-    met = rows.join(about, "g")
-    below = met.groupBy("g").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
-    inside = met.filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).groupBy("g", "v", "place").agg(F.count(F.lit(1)).alias("times"))
-    upto = Window.partitionBy("g").orderBy("v")
-    placed = inside.withColumn("upto", F.sum("times").over(upto)).join(below, "g")
-    hit = (F.col("below") + F.col("upto") >= F.col("place")) & (F.col("below") + F.col("upto") - F.col("times") < F.col("place"))
-    return placed.filter(hit).select(F.col("g").alias(group), F.col("v").alias(name))
+    about = about.select("g", "least", "most", *(x for i, (_, place) in enumerate(wanted.values()) for x in (place(F.col("n")).alias(f"place{i}"), F.when(few, F.col("least")).otherwise(F.col("b")[2 * i]).alias(f"low{i}"), F.when(few, F.col("most")).otherwise(F.col("b")[2 * i + 1]).alias(f"high{i}"))))
+    below = rows.join(about, "g").groupBy("g").agg(*(x for i in range(len(wanted)) for x in (F.count_if(F.col("v") < F.col(f"low{i}")).alias(f"below{i}"), F.count_if(F.col("v") < F.col(f"high{i}")).alias(f"under{i}"), F.count_if(F.col("v") <= F.col(f"high{i}")).alias(f"upto{i}"))))
+
+    def bracket(i: int, name: str):
+        place, low, high = F.col(f"place{i}"), F.col(f"low{i}"), F.col(f"high{i}")
+        under, over = place <= F.col(f"below{i}"), place > F.col(f"upto{i}")
+        start, end = F.when(under, F.col("least")).when(over, high).otherwise(low), F.when(under, low).when(over, F.col("most")).otherwise(high)
+        base = F.when(under, F.lit(0)).when(over, F.col(f"under{i}")).otherwise(F.col(f"below{i}"))
+        return F.struct(F.lit(name).alias("name"), place.alias("place"), start.alias("start"), end.alias("end"), base.cast("long").alias("base"))
+
+    brackets = about.join(below, "g").select("g", F.array(*(bracket(i, name) for i, name in enumerate(wanted))).alias("k"))
+    each = rows.join(brackets, "g").select("g", "v", F.explode(F.filter("k", lambda x: (x["start"] <= F.col("v")) & (F.col("v") <= x["end"]))).alias("k"))
+    inside = each.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("times"))
+    placed = inside.withColumn("upto", F.col("k.base") + F.sum("times").over(Window.partitionBy("g", "k.name").orderBy("v")))
+    hit = placed.filter((F.col("upto") >= F.col("k.place")) & (F.col("upto") - F.col("times") < F.col("k.place")))
+    return hit.groupBy(F.col("g").alias(group)).agg(*(F.max(F.when(F.col("k.name") == name, F.col("v"))).alias(name) for name in wanted))
+
+
+def ranked_value(rows: DataFrame, group: str, value: str, p: float, place, name: str) -> DataFrame:
+    """``ranked_values`` of one place."""
+    return ranked_values(rows, group, value, {name: (p, place)})
 
 
 def is_refusal(answer) -> Column:

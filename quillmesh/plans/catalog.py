@@ -186,10 +186,8 @@ def compare_reports(spark, sf_dir):
 
 def latency_percentiles(spark, sf_dir):
     rows = model.table(spark, sf_dir, "events")
-    found = evaluation.ranked_value(rows, "event_type", "value", 0.95, evaluation.rounded_place, "p95_rounded")
-    for p, name in ((0.5, "p50"), (0.95, "p95")):
-        found = found.join(evaluation.ranked_value(rows, "event_type", "value", p, lambda n, p=p: evaluation.nearest_place(n, p), name), "event_type")
-    return found.withColumnRenamed("event_type", "stage")
+    places = {"p95_rounded": (0.95, evaluation.rounded_place)} | {name: (p, lambda n, p=p: evaluation.nearest_place(n, p)) for p, name in ((0.5, "p50"), (0.95, "p95"))}
+    return evaluation.ranked_values(rows, "event_type", "value", places).withColumnRenamed("event_type", "stage")
 
 
 def threshold_gate(spark, sf_dir):

@@ -116,21 +116,18 @@ def test_vectors(spark):
     assert [r[0] for r in got] == [c[3] for c in cases]
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("whole, shift", [(100_000, 0.0), (10, 0.0), (10, 0.3), (10, -0.3)])
+def test_percentiles(spark, monkeypatch, whole, shift):
+    """By all values, by brackets, and by brackets that lie beside the place."""
     import random
 
     rng = random.Random(1)
-    values = {"a": [rng.randrange(50) / 2 for _ in range(333)], "b": [7.5], "c": [rng.random() for _ in range(2000)]}
+    values = {"a": [rng.randrange(50) / 2 for _ in range(333)], "b": [7.5], "c": [rng.random() for _ in range(2000)], "d": [1.0] * 500 + [2.0] * 20}
     rows = spark.createDataFrame([(g, v) for g, x in values.items() for v in [*x, None]], "g string, v double")
-    old = evaluation.WHOLE
-    for whole in (old, 10):
-        evaluation.WHOLE = whole
-        try:
-            got = {r.g: r.p for r in evaluation.ranked_value(rows, "g", "v", 0.95, lambda n: evaluation.nearest_place(n, 0.95), "p").collect()}
-        finally:
-            evaluation.WHOLE = old
-        if whole == old:
-            assert got == {g: sorted(x)[max(0, -(-95 * len(x) // 100) - 1)] for g, x in values.items()}
+    monkeypatch.setattr(evaluation, "WHOLE", whole)
+    places = {f"p{p}": (min(1.0, max(0.0, p / 100 + shift)), lambda n, p=p: evaluation.nearest_place(n, p / 100)) for p in (5, 50, 95)}
+    got = {r.g: (r.p5, r.p50, r.p95) for r in evaluation.ranked_values(rows, "g", "v", places).collect()}
+    assert got == {g: tuple(sorted(x)[max(0, -(-p * len(x) // 100) - 1)] for p in (5, 50, 95)) for g, x in values.items()}
 
 
 def test_grading(spark):

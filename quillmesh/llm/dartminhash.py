@@ -48,7 +48,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 SLACK = 1e-6  # of the bounds, so that no pair at the very threshold is lost to rounding
-LEAST = 256  # elements of a text that are compared before the exact check
+LEAST = 160  # elements of a text whose upper 32 bits are compared before the exact check
+SOME = 0.35  # of all element hashes, by which most texts without a similar one are told before all of their elements are counted
+FEW_NODES = 2_000_000  # texts in buckets whose ids (16 MB) are broadcast to the texts; where there are more, texts are shuffled to them
 AGREE = 62  # of 96 four-bit coordinates, of which 78 agree on the average at a similarity of 0.8
 
 _THROW = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
@@ -200,7 +202,11 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Tr
     # a bucket's pivot is its member that meets the most others over all bands, which in a class is the one they vary
     met = members.groupBy("node").agg(F.sum("times").alias("met"))
     pivots = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-    texts = rows.select("node", "text").dropDuplicates(["node"]).join(met, "node", "left_semi")
+    met = written(met, "met")
+    if met.count() <= FEW_NODES:  # only their texts are shuffled then
+        texts = rows.select("node", "text").join(F.broadcast(met.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    else:
+        texts = rows.select("node", "text").dropDuplicates(["node"]).join(met, "node", "left_semi")
     lists = written(texts.mapInArrow(freeing(_element_lists(weighted)), "node long, elements array<long>"), "elements")
 
     signs = nodes.select("node", "sig")
@@ -215,8 +221,9 @@ def _labelled(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Tr
     apart = written(named.join(split, "key"), "apart")
     # what two texts have in common is at most what either shares with any other, and neither's weight is far from the other's
     size = F.floor(F.log("total") / F.log(F.lit(1.01 / threshold)))
-    sized = apart.join(_shared_weight(lists.join(apart.select("node").distinct(), "node")).filter(F.col("shared") >= threshold * F.col("total")).withColumn("size", size), "node").join(signs, "node")
-    carried = ("node", "label", "total", "shared", "size", "sig", "least")
+    near = _not_alone(lists.join(apart.select("node").distinct(), "node", "left_semi"), threshold)
+    sized = apart.join(_shared_weight(near).filter(F.col("shared") >= threshold * F.col("total")).withColumn("size", size), "node").join(signs, "node")
+    carried = ("node", "label", "total", "shared", "size", "sig", "least", "alike")
     one = sized.select("key", "size", *(F.col(c).alias(f"{c}_x") for c in carried))
     two = sized.select("key", F.explode(F.array("size", F.col("size") - 1)).alias("size"), *(F.col(c).alias(f"{c}_y") for c in carried))
     once = F.when(F.col("size_x") < F.col("size_y"), F.col("label_x") != F.col("label_y")).otherwise(F.col("label_x") < F.col("label_y"))
@@ -240,22 +247,35 @@ def near_classes(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id", "class_node")
 
 
+def _not_alone(lists: DataFrame, threshold: float) -> DataFrame:
+    """lists without the texts that have too many elements to themselves for any similar one, by `SOME` of all element hashes: what is not counted may be shared."""
+    least = F.lit(int(((1 << 64) * SOME) - (1 << 63))).cast("long")
+    each = lists.select("node", F.explode(F.filter("elements", lambda e: e < least)).alias("element"))
+    own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    met = lists.join(own, "node", "left")
+    return written(met.filter(F.coalesce("own", F.lit(0)) <= (1 - threshold) * F.size("elements") + SLACK).select("node", "elements"), "elements")
+
+
 def _shared_weight(lists: DataFrame) -> DataFrame:
-    """node, total (its weight), shared (the weight of its elements that another of these nodes has too), least (its least elements)."""
+    """node, total (its weight), shared (the weight of its elements that another of these nodes has too), least (the upper halves of its least elements, in order), alike (how many of these equal another)."""
     each = lists.select("node", F.explode("elements").alias("element"))
     own = each.groupBy("element").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter("nodes = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     total = F.size("elements").cast("long")
-    least = F.slice(F.array_sort("elements"), 1, LEAST)
-    return lists.select("node", total.alias("total"), least.alias("least")).join(own, "node", "left").select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"), "least")
+    least = F.transform(F.slice(F.array_sort("elements"), 1, LEAST), lambda e: F.shiftright(e, 32).cast("int"))
+    found = lists.select("node", total.alias("total"), least.alias("least")).join(own, "node", "left")
+    return found.select("node", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"), "least", (F.size("least") - F.size(F.array_distinct("least"))).cast("int").alias("alike"))
 
 
 def _may(a: str, b: str, threshold: float):
-    """Whether two texts may be similar by their least elements: up to where both lists reach they are compared, and of the rest all that fits may be common. This loses no pair."""
+    """Whether two texts may be similar by their least elements: below where both lists reach they are compared, and of the rest all that fits may be common.
+
+    Of elements only the upper halves are compared: equal ones of one text count as common, and those at the end itself as rest. This loses no pair.
+    """
     x, y = F.col(f"least_{a}"), F.col(f"least_{b}")
     whole = F.col(f"total_{a}") + F.col(f"total_{b}")
-    common = F.size(F.array_intersect(x, y))
+    common = F.size(F.array_intersect(x, y)) + F.col(f"alike_{a}")
     end = F.least(*(F.when(F.col(f"total_{k}") > LEAST, v[LEAST - 1]) for k, v in ((a, x), (b, y))))
-    rest = F.least(*(F.col(f"total_{k}") - F.size(F.filter(v, lambda e: e <= end)) for k, v in ((a, x), (b, y))))
+    rest = F.least(*(F.col(f"total_{k}") - F.size(F.filter(v, lambda e: e < end)) for k, v in ((a, x), (b, y))))
     return (common + F.when(end.isNull(), 0).otherwise(rest)) * (1 + threshold) >= threshold * whole - SLACK
 
 

@@ -95,7 +95,7 @@ def library_title_search(spark, sf_dir):
 
 
 PREFIX = " SRÇ1"
-ASKED_PROJECTS, ASKED_CATEGORIES = [4, 9, 2, 7], ["en", "unused", "curated"]
+ASKED_CATEGORIES = ["en", "unused", "curated"]
 
 
 def tag_autocomplete(spark, sf_dir):
@@ -106,9 +106,9 @@ def tag_autocomplete(spark, sf_dir):
 
 
 def missing_filter_ids(spark, sf_dir):
-    """Of the asked projects those that do not exist, in the order of the request."""
-    asked = spark.createDataFrame(list(enumerate(ASKED_PROJECTS)), "pos int, project_id long")
-    return mutations.missing_ids(asked, model.projects(spark), "project_id")
+    """Every hundredth document asks for a project by its id; those that no source has, in the order of the requests."""
+    asked = model.table(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("pos"), (F.col("doc_id") / 100 % 8).cast("long").alias("project_id"))
+    return mutations.missing_ids(asked, model.source_projects(spark, sf_dir).select("project_id").distinct(), "project_id")
 
 
 def project_sources(spark, sf_dir):
@@ -207,7 +207,7 @@ def _index(spark, sf_dir):
     seeds = [(r["id"], list(r["embedding"])) for r in rows.filter(F.col("id") % EVERY != 0).orderBy("id").limit(CENTROIDS).collect()]
     sample = [list(r["embedding"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()]
     centroids = retrieval.trained(sample, seeds)
-    return centroids, model.stored(spark, sf_dir, "vector-lists", lambda *_: retrieval.clustered(rows, centroids).repartition("list_id").sortWithinPartitions("list_id"))
+    return centroids, model.stored(spark, sf_dir, "vector-lists", lambda *_: retrieval.clustered(rows, centroids).repartitionByRange("list_id", "id").sortWithinPartitions("list_id", "id"))
 
 
 def ann_search(spark, sf_dir):

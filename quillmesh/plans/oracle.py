@@ -94,7 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "library_all_filter": _with(CATS, "SELECT doc_id FROM cats WHERE category IN ('en', 'curated') GROUP BY doc_id HAVING count(DISTINCT category) = 2"),
         "library_title_search": _with(SRC, "SELECT doc_id, title FROM (SELECT doc_id, 'doc-' || doc_id || ' ' || substr(content_text, 1, 20) AS title FROM src) WHERE contains(lower(strip_accents(title)), 'e')"),
         "tag_autocomplete": "SELECT DISTINCT source AS name FROM documents WHERE lower(strip_accents(trim(source))) LIKE 'src1%' ORDER BY name LIMIT 10",
-        "missing_filter_ids": _with(NAMES, "SELECT pos, id AS project_id FROM (VALUES (0::INTEGER, 4::BIGINT), (1, 9), (2, 2), (3, 7)) AS v(pos, id) WHERE id NOT IN (SELECT project_id FROM names)"),
+        "missing_filter_ids": _with(PROJ, "SELECT pos, project_id FROM (SELECT doc_id AS pos, doc_id // 100 % 8 AS project_id FROM documents WHERE doc_id % 100 = 0) WHERE project_id NOT IN (SELECT project_id FROM proj)"),
         "project_sources": _with(PROJ, "SELECT project_id, doc_id, 'doc-' || doc_id AS title FROM proj WHERE project_id = 4"),
         "deletable_categories": _with(CATS, "SELECT name FROM (VALUES ('en'), ('unused'), ('curated')) AS v(name) WHERE name NOT IN (SELECT category FROM cats WHERE category IS NOT NULL)"),
         "compatible_chunk_count": _with(EMBEDDED, "SELECT count(*) AS n_chunks FROM usable"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text
 from quillmesh.operators import evaluation, ingest, lifecycle, mutations, retrieval
-from quillmesh.plans.oracle import BATCHES, CATS, CHUNKS, EMBEDDED, NAMES, NL, PROJ, REFUSED, SAID, SRC, STALE
+from quillmesh.plans.oracle import CATS, CHUNKS, EMBEDDED, NAMES, NL, PROJ, REFUSED, SAID, SRC, STALE
 from quillmesh.sources import knowledge as model
 
 
@@ -365,14 +365,20 @@ def pending_chunks(spark, sf_dir):
 
 
 def batch_lifecycle(spark, sf_dir):
-    """Batches after the running one ends with an error, and the latest completed one of the active configuration."""
-    batches = model.batches(spark)
-    after = lifecycle.finish_batches(batches, spark.createDataFrame([(9, 5, "a\nb"), (3, 1, None)], "batch_id long, n_embedded long, error string"))
-    last = lifecycle.latest_batch(batches.withColumn("completed_at", F.when(F.col("batch_id") < 6, F.col("batch_id") % 4)), model.ACTIVE).select("batch_id", F.lit(True).alias("latest"))
-    return after.join(last, "batch_id", "left").select("batch_id", "batch_status", "n_embedded", "error", F.coalesce("latest", F.lit(False)).alias("latest"))
-
-
-_LIFECYCLE = f"WITH {BATCHES} SELECT batch_id, CASE WHEN batch_id = 9 THEN 'failed' ELSE batch_status END AS batch_status, CASE WHEN batch_id = 9 THEN 5::BIGINT END AS n_embedded, CASE WHEN batch_id = 9 THEN 'a b' END AS error, batch_id = 3 AS latest FROM batches"
+    """Orders as embedding batches, the open ones running: they end by their items, some with an error; and the latest completed one of the active configuration."""
+    orders = model.table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    batches = orders.select(F.col("o_orderkey").alias("batch_id"), F.when(status == "P", "old").otherwise(model.ACTIVE).alias("config_hash"), F.when(status == "O", "running").otherwise("completed").alias("batch_status"), F.when(status != "O", F.col("o_orderdate")).alias("completed_at"))
+    items = model.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_embedded"))
+    ended = items.select("batch_id", "n_embedded", F.when(F.col("batch_id") % 5 == 0, F.lit("a\nb")).when(F.col("batch_id") % 7 == 0, F.lit("x token=1")).alias("error"))
+    last = lifecycle.latest_batch(batches, model.ACTIVE).select("batch_id", F.lit(True).alias("latest"))
+    return lifecycle.finish_batches(batches, ended).join(F.broadcast(last), "batch_id", "left").select("batch_id", "batch_status", "n_embedded", "error", F.coalesce("latest", F.lit(False)).alias("latest"))  # one row
+
+
+_LIFECYCLE = """WITH b AS (SELECT o_orderkey AS batch_id, o_orderstatus, o_orderdate FROM orders), i AS (SELECT l_orderkey AS batch_id, count(*) AS n FROM lineitem GROUP BY l_orderkey),
+last AS (SELECT batch_id FROM b WHERE o_orderstatus NOT IN ('O', 'P') ORDER BY o_orderdate DESC NULLS LAST, batch_id DESC LIMIT 1),
+e AS (SELECT b.*, n, o_orderstatus = 'O' AND n IS NOT NULL AS ends, CASE WHEN batch_id % 5 = 0 THEN 'a b' WHEN batch_id % 7 = 0 THEN '[redacted]' END AS err FROM b LEFT JOIN i USING (batch_id))
+SELECT batch_id, CASE WHEN ends THEN CASE WHEN err IS NULL THEN 'completed' ELSE 'failed' END WHEN o_orderstatus = 'O' THEN 'running' ELSE 'completed' END AS batch_status, CASE WHEN ends THEN n END AS n_embedded, CASE WHEN ends THEN err END AS error, batch_id IN (SELECT batch_id FROM last) AS latest FROM e"""
 
 
 def index_validation(spark, sf_dir):

@@ -130,3 +130,18 @@ def plain_terms(c) -> Column:
 def unaccented(values):
     """Lower case without combining marks; white space as it is."""
     return values.map(lambda x: None if x is None else "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k)).lower())
+
+
+def location(metadata, content) -> Column:
+    """struct<chunk_index, page, section, start_char, end_char> of stored metadata; what is missing or no JSON has defaults."""
+    at = lambda k: F.get_json_object(metadata, f"$.location.{k}")
+    index = F.coalesce(optional_int(at("chunk_index")), optional_int(F.get_json_object(metadata, "$.chunk_index")), F.lit(0))
+    end = optional_int(at("end_char"))
+    size = F.length(content).cast("long")
+    return F.struct(
+        index.cast("long").alias("chunk_index"),
+        optional_int(at("page")).alias("page"),
+        optional_str(at("section")).alias("section"),
+        F.coalesce(optional_int(at("start_char")), F.lit(0)).cast("long").alias("start_char"),
+        F.when(F.coalesce(end, F.lit(0)) == 0, size).otherwise(end).alias("end_char"),
+    )

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmesh.functions import text
+from quillmesh.functions.text import location  # noqa: F401
+from quillmesh.operators import spans
 
 #: What may be uploaded.
 EXTENSIONS = (".txt", ".md", ".pdf")
 MOST_BYTES = 100 * 1024 * 1024
 
-SECTIONS = T.ArrayType(T.StructType([T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("section", T.StringType())]))
-
 
 def extension(name) -> Column:
     """The last suffix of a file name, lower-cased, with its dot."""
@@ -56,33 +55,14 @@ def already_ingested(requests: DataFrame, sources: DataFrame) -> DataFrame:
     return met.withColumn("duplicate", F.col("n").isNotNull() & ~only_excluded).drop("n", "least")
 
 
-@F.pandas_udf(SECTIONS)
-def markdown_sections(contents):
-    """Each heading's title with the range from it to the next heading."""
-    return contents.map(_sections)
-
-
-def _sections(content: str | None) -> list[dict]:
-    heads, at = [], 0
-    for line in (content or "").splitlines(keepends=True):
-        bare = line.strip()
-        if bare.startswith("#") and (title := bare.lstrip("#").strip()):
-            heads.append((at, title))
-        at += len(line)
-    ends = [a for a, _ in heads][1:] + [len(content or "")] * bool(heads)
-    return [{"start_char": a, "end_char": b, "section": t} for (a, t), b in zip(heads, ends, strict=True)]
-
-
-def best_overlap(start, end, spans, field: str) -> Column:
-    """The field of the span that shares most characters with a range; of equals the first, null where none shares any."""
-    shared = F.transform(spans, lambda s, i: F.struct((F.least(s["end_char"], end) - F.greatest(s["start_char"], start)).alias("n"), (-i).alias("first"), s[field].alias("value")))
-    return F.array_max(F.filter(shared, lambda x: x["n"] > 0))["value"]
+def with_sections(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """chunks (doc_id, chunk_index, start_char, end_char) with section, the heading that most of a chunk is under, from documents (doc_id, content_text)."""
+    return spans.best_span(chunks, spans.section_spans(documents), "section")
 
 
-def with_sections(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """chunks (doc_id, start_char, end_char) with section, from documents (doc_id, content_text)."""
-    spans = documents.select("doc_id", markdown_sections("content_text").alias("_spans")).filter(F.size("_spans") > 0)
-    return chunks.join(spans, "doc_id", "left").withColumn("section", best_overlap(F.col("start_char"), F.col("end_char"), F.col("_spans"), "section")).drop("_spans")
+def with_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """chunks with page, the one that most of a chunk is on, from pages (doc_id, page, text) that make the documents' texts."""
+    return spans.best_span(chunks, spans.page_spans(pages), "page")
 
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:
@@ -92,21 +72,6 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("metadata_json", F.to_json(meta))
 
 
-def location(metadata, content) -> Column:
-    """struct<chunk_index, page, section, start_char, end_char> of stored metadata; what is missing or no JSON has defaults."""
-    at = lambda k: F.get_json_object(metadata, f"$.location.{k}")
-    index = F.coalesce(text.optional_int(at("chunk_index")), text.optional_int(F.get_json_object(metadata, "$.chunk_index")), F.lit(0))
-    end = text.optional_int(at("end_char"))
-    size = F.length(content).cast("long")
-    return F.struct(
-        index.cast("long").alias("chunk_index"),
-        text.optional_int(at("page")).alias("page"),
-        text.optional_str(at("section")).alias("section"),
-        F.coalesce(text.optional_int(at("start_char")), F.lit(0)).cast("long").alias("start_char"),
-        F.when(F.coalesce(end, F.lit(0)) == 0, size).otherwise(end).alias("end_char"),
-    )
-
-
 def replaced_chunks(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
     """The chunk table after some sources' chunks are replaced: all of theirs go, the fresh ones come."""
     return chunks.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)

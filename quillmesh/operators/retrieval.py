@@ -235,6 +235,36 @@ def chunk_rows(chunks: DataFrame, sources: DataFrame, batches: DataFrame) -> Dat
     return met.select("chunk_id", "doc_id", "title", text.safe_uri("uri", "kind", "title").alias("uri"), "content", state.alias("embedding_state"), "config_hash", context_line().alias("line"))
 
 
+def embedding_payload(embedding_status: str = "embedding_status") -> Column:
+    """What a reader is told of a chunk's vector, from the columns of its batch; without a batch only the state and when."""
+    known = F.col("batch_known").isNotNull()
+    of = lambda c: F.when(known, F.col(c)).alias(c)
+    return F.struct(F.coalesce(embedding_status, F.lit("unversioned")).alias("status"), of("provider"), of("model"), of("dimension"), of("version"), F.col("embedded_at").alias("embedded_at"))
+
+
+def named_links(links: DataFrame, of: DataFrame, name: str, *fields: str) -> DataFrame:
+    """links (doc_id, *fields) of the sources in ``of`` -> doc_id, name: their links as structs in the order of the first field."""
+    mine = links.join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    return mine.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(*fields))).alias(name))  # the links of one source
+
+
+def read_rows(hits: DataFrame, chunks: DataFrame, sources: DataFrame, links: dict[str, tuple[DataFrame, tuple[str, ...]]], batches: DataFrame) -> DataFrame:
+    """hits (.., chunk_id, score) with all that a search returns of a chunk.
+
+    chunks: chunk_id, doc_id, content, metadata_json, embedding_status, batch_id, embedded_at; sources: doc_id, public_id, title, kind, uri;
+    links: name -> (doc_id and the fields, fields); batches: batch_id, provider, model, dimension, version. Of the tables only the rows of hits are joined on.
+    A score that no vector gave is null.
+    """
+    found = hits.join(chunks, "chunk_id").join(sources, "doc_id").join(batches.withColumn("batch_known", F.lit(True)), "batch_id", "left")
+    for name, (table, fields) in links.items():
+        found = found.join(named_links(table, found, name, *fields), "doc_id", "left")
+    none = {name: F.coalesce(name, F.expr(f"filter(array({name}[0]), x -> false)")) for name in links}
+    return found.select(
+        *hits.columns, F.col("public_id").alias("source_id"), F.col("title").alias("source_title"), F.col("kind").alias("source_type"), text.safe_uri("uri", "kind", "title").alias("uri"),
+        *(v.alias(k) for k, v in none.items()), text.location(F.col("metadata_json"), F.col("content")).alias("location"), "content", text.public_metadata(F.col("metadata_json")).alias("metadata"), embedding_payload().alias("embedding"),
+    )
+
+
 def context_line(page: Column | None = None, section: Column | None = None) -> Column:
     """A chunk as the answer model reads it; page and section only where they are known."""
     none = F.lit(None).cast("string")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
-from quillmesh.operators import batched, evaluation, evaluation_run, retrieval, vector_index
-from quillmesh.plans.oracle import CATS, EMBEDDED, PROJ, REFUSED, SAID
+from quillmesh.operators import batched, evaluation, evaluation_run, ingest, retrieval, vector_index
+from quillmesh.plans.oracle import CATS, EMBEDDED, NAMES, PROJ, REFUSED, SAID
 from quillmesh.sources import knowledge as model
 
 EVERY = 100  # the query set: every row whose id is divisible by it
@@ -69,6 +69,31 @@ qs AS (SELECT item_id * 4 + v AS query, v, list_distinct(CASE WHEN v % 2 = 0 THE
 )
 
 
+def search_rows(spark, sf_dir):
+    """All that the searches of the query set return of their chunks, with the stored metadata of each chunk."""
+    src = model.sources(spark, sf_dir).select("doc_id", F.concat(F.lit("src-"), F.col("doc_id").cast("string")).alias("public_id"), "title", F.lit("text").alias("kind"), "uri")
+    titled = model.embedded_chunks(spark, sf_dir).join(src.select("doc_id", "title"), "doc_id")
+    noted = titled.withColumns({"page": (F.col("chunk_index") + 1).cast("long"), "section": F.when(F.col("doc_id") % 2 == 0, F.col("title")), "note_type": F.lit("memo")})
+    chunks = ingest.chunk_metadata(noted).select("chunk_id", "doc_id", "content", "metadata_json", "embedding_status", "batch_id", F.timestamp_seconds(F.col("doc_id")).alias("embedded_at"))
+    batches = model.batches(spark).select("batch_id", F.lit("local").alias("provider"), F.concat(F.lit("model-"), "config_hash").alias("model"), F.lit(64).alias("dimension"), F.lit("default").alias("version"))
+    tags = model.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"))
+    projects = model.source_projects(spark, sf_dir).join(model.projects(spark), "project_id")
+    links = {"categories": (model.source_categories(spark, sf_dir).withColumnRenamed("category", "name"), ("name",)), "tags": (tags, ("name",)), "projects": (projects, ("name", "status"))}
+    rows = retrieval.read_rows(batched_hybrid(spark, sf_dir).select("query", "chunk_id", "place", "score"), chunks, src, links, batches)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return rows.select(
+        "query", "chunk_id", "place", "score", "source_id", "source_title", "uri", joined("categories", lambda x: x["name"]), joined("tags", lambda x: x["name"]), joined("projects", lambda x: F.concat_ws(":", x["name"], x["status"])),
+        "location.chunk_index", "location.page", "location.section", "location.start_char", "location.end_char", F.element_at("metadata", "note_type").alias("note_type"), "embedding.status", "embedding.provider", "embedding.model", "embedding.dimension", F.unix_timestamp("embedding.embedded_at").alias("embedded_s"),
+    )
+
+
+_ROWS = """SELECT query, chunk_id, place, score, 'src-' || t.doc_id AS source_id, 'doc-' || t.doc_id AS source_title, 'text:doc-' || t.doc_id AS uri, c.x AS categories, d.source AS tags, coalesce(p.x, '') AS projects,
+chunk_index, chunk_index + 1 AS page, CASE WHEN t.doc_id % 2 = 0 THEN 'doc-' || t.doc_id END AS section, start_char, end_char, 'memo' AS note_type, embedding_status AS status, CASE WHEN batch_id IS NOT NULL THEN 'local' END AS provider,
+'model-' || config_hash AS model, CASE WHEN batch_id IS NOT NULL THEN 64 END AS dimension, t.doc_id AS embedded_s
+FROM top JOIN emb t USING (chunk_id) LEFT JOIN batches USING (batch_id) JOIN documents d ON d.doc_id = t.doc_id JOIN (SELECT doc_id, string_agg(category, ',' ORDER BY category) AS x FROM cats GROUP BY doc_id) c ON c.doc_id = t.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(name || ':' || status, ',' ORDER BY name) AS x FROM proj JOIN names USING (project_id) GROUP BY doc_id) p ON p.doc_id = t.doc_id"""
+
+
 def _cases(spark, sf_dir):
     """A case for each benchmark item: its text is asked and expected. Every fifth expects a refusal, some have vectors of another size."""
     k = F.col("case")
@@ -193,6 +218,7 @@ SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY sco
 
 SEARCHES = {
     "batched_hybrid": (batched_hybrid, _with(BATCHED, "SELECT * FROM top")),
+    "search_rows": (search_rows, _with(f"{BATCHED}, {NAMES}", _ROWS)),
     "evaluation_cases": (evaluation_cases, _with(_EVALUATED, "SELECT * REPLACE (round(reciprocal_rank, 6) AS reciprocal_rank) FROM cases")),
     "evaluation_failures": (evaluation_failures, _with(_EVALUATED + _METRICS, """SELECT 'metric' AS kind, metric AS what, round(value, 6) AS value, NULL::VARCHAR AS detail FROM m
 UNION ALL SELECT 'failure', metric, NULL, bound FROM (SELECT *, CASE metric WHEN 'recall_at_k' THEN CASE WHEN value < 0.8 THEN 'minimum 0.8' END WHEN 'mrr' THEN CASE WHEN value < 0.7 THEN 'minimum 0.7' END WHEN 'runtime_error_count' THEN CASE WHEN value > 0 THEN 'maximum 0.0' END END AS bound FROM m) WHERE bound IS NOT NULL

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text
-from quillmesh.operators import evaluation, ingest, lifecycle, mutations, retrieval
+from quillmesh.operators import evaluation, ingest, lifecycle, mutations, retrieval, spans
 from quillmesh.plans.oracle import CATS, CHUNKS, EMBEDDED, NAMES, NL, PROJ, REFUSED, SAID, SRC, STALE
 from quillmesh.sources import knowledge as model
 
@@ -89,6 +89,33 @@ best AS (SELECT doc_id, chunk_index, title FROM common QUALIFY row_number() OVER
 )
 
 
+def _paged(spark, sf_dir):
+    """Sources as pages of three lines."""
+    each = model.sources(spark, sf_dir).filter("content_text <> ''").select("doc_id", F.posexplode(F.split("content_text", "\n")).alias("n", "line"))
+    rows = each.groupBy("doc_id", (F.floor(F.col("n") / 3) + 1).cast("long").alias("page")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))  # three lines
+    return rows.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def chunk_pages(spark, sf_dir):
+    """The chunks of paged sources, each with the page that it shares most characters with."""
+    pages = _paged(spark, sf_dir)
+    return ingest.with_pages(model.chunked(spans.paged_texts(pages)), pages).select("doc_id", "chunk_index", "start_char", "end_char", "page")
+
+
+_PAGED = _with(
+    CHUNKS.replace(
+        SRC,
+        f"""{SRC.replace("src AS", "raw AS")},
+pages AS (SELECT doc_id, p, array_to_string(l[3 * p - 2 : 3 * p], {NL}) AS t FROM (SELECT doc_id, string_split(content_text, {NL}) AS l FROM raw WHERE content_text <> ''), unnest(range(1, (len(l) + 2) // 3 + 1)) AS u(p)),
+src AS (SELECT doc_id, string_agg(t, {NL} || {NL} ORDER BY p) AS content_text FROM pages GROUP BY doc_id),
+places AS (SELECT doc_id, p, CAST(coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, length(t) AS n FROM pages)""",
+    )
+    + """,
+best AS (SELECT c.doc_id, chunk_index, p FROM chunks c JOIN places x ON x.doc_id = c.doc_id AND s < end_char AND s + n > start_char QUALIFY row_number() OVER (PARTITION BY c.doc_id, chunk_index ORDER BY least(s + n, end_char) - greatest(s, start_char) DESC, s) = 1)""",
+    "SELECT doc_id, chunk_index, start_char, end_char, p AS page FROM chunks LEFT JOIN best USING (doc_id, chunk_index)",
+)
+
+
 def chunk_locations(spark, sf_dir):
     """Stored metadata, some of it nested, flat, partial or broken, read back with its defaults; and what of it may be shown."""
     ident, index = F.col("doc_id") % 5, F.col("chunk_index").cast("string")
@@ -433,6 +460,7 @@ WORKFLOWS = {
     "duplicate_guard": (duplicate_guard, _with(SRC, "SELECT doc_id, count(*) OVER (PARTITION BY content_text) > 1 AS duplicate FROM src")),
     "page_texts": (page_texts, _PAGES),
     "chunk_sections": (chunk_sections, _SECTIONS),
+    "chunk_pages": (chunk_pages, _PAGED),
     "chunk_locations": (chunk_locations, _LOCATIONS),
     "chunk_rows": (chunk_rows, _ROWS),
     "tag_mutations": (tag_mutations, _TAGS),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text, vector
-from quillmesh.operators import evaluation, ingest, lifecycle, mutations, retrieval
+from quillmesh.operators import evaluation, ingest, lifecycle, mutations, retrieval, spans
 from quillmesh.sources import knowledge
 
 
@@ -66,15 +66,25 @@ def test_locations(spark):
     assert [tuple(r.l) for r in got] == [w for _, w in rows]
 
 
-def test_sections():
-    assert ingest._sections("intro\n# One\ntext\n##Two\n#\nend") == [{"start_char": 6, "end_char": 17, "section": "One"}, {"start_char": 17, "end_char": 28, "section": "Two"}]
-    assert ingest._sections(None) == ingest._sections("no heading") == []
+def test_sections(spark):
+    rows = spark.createDataFrame([(1, "intro\n# One\ntext\n##Two\n#\nend"), (2, "no heading"), (3, None), (4, "")], "doc_id long, content_text string")
+    got = sorted((r.doc_id, r.start_char, r.end_char, r.value) for r in spans.section_spans(rows).collect())
+    assert got == [(1, 6, 17, "One"), (1, 17, 28, "Two")]
 
 
-def test_overlaps(spark):
-    spans = [(0, 10, 1), (10, 20, 2), (20, 21, 3)]
-    rows = spark.createDataFrame([(a, b, [dict(start_char=x, end_char=y, page=p) for x, y, p in spans]) for a, b in ((5, 15), (8, 15), (30, 40))], "s long, e long, p array<struct<start_char:long,end_char:long,page:long>>")
-    assert [r[0] for r in rows.select(ingest.best_overlap(F.col("s"), F.col("e"), F.col("p"), "page")).collect()] == [1, 2, None]
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_overlaps(spark, monkeypatch, width):
+    monkeypatch.setattr(spans, "BIN", width)
+    rows = spark.createDataFrame([(1, 0, 10, 1), (1, 10, 20, 2), (1, 20, 21, 3), (2, 0, 3000, 1), (2, 3000, 3100, 2)], "doc_id long, start_char long, end_char long, value long")
+    chunks = spark.createDataFrame([(1, 0, 5, 15), (1, 1, 8, 15), (1, 2, 30, 40), (2, 0, 2900, 3100), (2, 1, 100, 900), (3, 0, 0, 5)], "doc_id long, chunk_index long, start_char long, end_char long")
+    got = {(r.doc_id, r.chunk_index): r.page for r in spans.best_span(chunks, rows, "page").collect()}
+    assert got == {(1, 0): 1, (1, 1): 2, (1, 2): None, (2, 0): 1, (2, 1): 1, (3, 0): None}
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "one"), (1, 2, " "), (1, 3, "three"), (1, 4, None), (1, 5, "x")], "doc_id long, page int, text string")
+    assert spans.paged_texts(pages).first().content_text == "one\n\nthree\n\nx"
+    assert sorted((r.start_char, r.end_char, r.value) for r in spans.page_spans(pages).collect()) == [(0, 3, 1), (5, 10, 3), (12, 13, 5)]
 
 
 def test_files(spark, tmp_path):

@@ -27,13 +27,19 @@ def create_named(catalog: DataFrame, requests: DataFrame, key: Column) -> DataFr
 
 
 def rename_named(catalog: DataFrame, requests: DataFrame, key: Column) -> DataFrame:
-    """requests (request_id, id, name), one for an id -> request_id, id, name, key, status: updated, conflict, invalid or not_found."""
-    asked = requests.withColumn("key", key)
+    """requests (request_id, id, name), one for an id -> request_id, id, name, key, status: updated, conflict, invalid or not_found.
+
+    Of several requests for one key the first that succeeds has it. Batches that mix operations are folded in ``mutation_batches``.
+    """
+    asked = requests.withColumn("key", key).withColumn("name", F.trim(F.regexp_replace("name", r"\s+", " ")))
     known = catalog.select("id", F.lit(True).alias("known"))
     others = catalog.select("key", F.col("id").alias("other"))
     met = asked.join(known, "id", "left").join(others, "key", "left")
     status = F.when(F.col("known").isNull(), "not_found").when(F.coalesce("key", F.lit("")) == "", "invalid").when(F.col("other").isNotNull() & (F.col("other") != F.col("id")), "conflict").otherwise("updated")
-    return met.select("request_id", "id", "name", "key", status.alias("status"))
+    judged = met.select("request_id", "id", "name", "key", status.alias("status"))
+    turn = F.row_number().over(Window.partitionBy("key", "status").orderBy("request_id"))
+    late = (F.col("status") == "updated") & (F.col("turn") > 1)
+    return judged.withColumn("turn", turn).select("request_id", "id", "name", "key", F.when(late, "conflict").otherwise(F.col("status")).alias("status"))
 
 
 def delete_unused(catalog: DataFrame, ids: DataFrame, links: DataFrame) -> DataFrame:

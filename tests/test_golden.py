@@ -160,6 +160,13 @@ def test_creation_conflicts(spark):
         mutations.delete_sources({}, catalog, confirm=False)
 
 
+def test_two_renames_to_one_key(spark):
+    catalog = spark.createDataFrame([(1, "A", "a"), (2, "B", "b"), (3, "C", "c")], "id long, name string, key string")
+    asked = spark.createDataFrame([(1, 1, " X  y"), (2, 2, "x Y"), (3, 3, "C"), (4, 9, "x y")], "request_id long, id long, name string")
+    got = [(r.request_id, r.name, r.status) for r in mutations.rename_named(catalog, asked, text.tag_key("name")).orderBy("request_id").collect()]
+    assert got == [(1, "X y", "updated"), (2, "x Y", "conflict"), (3, "C", "updated"), (4, "x y", "not_found")]
+
+
 def test_bulk_insert_is_strict(spark):
     chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id long, chunk_index long, content string")
     vectors = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0])], "doc_id long, chunk_index long, embedding array<double>")

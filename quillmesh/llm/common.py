@@ -92,9 +92,22 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage is cut, and lost executors lose nothing."""
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, path: str | None = None, clean: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage is cut, and lost executors lose nothing.
+
+    With ``clean`` the write's shuffle files go at its end and not when Spark happens to collect them.
+    """
     spark = df.sparkSession
     path = path or shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    if clean:
+        spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -106,7 +106,7 @@ def _settled(rows: list[np.ndarray]) -> pa.RecordBatch:
             join(start[firsts], s[cut], np.int32),
             join(n[firsts], e[last] - s[cut], np.int32),
             pa.array(flag),
-            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(part_[tied].astype(np.int64))),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(part_[tied].astype(np.int64)), mask=pa.array(np.diff(ends) == 0)),  # null takes less room in a shuffle
         ],
         names=["anchor", "key", "doc", "part", "start", "n", "known", "also"],
     )
@@ -178,8 +178,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = stretches.join(shared, "anchor", "left").filter("known OR times IS NOT NULL")
     first = F.min(F.struct("doc", "start")).over(Window.partitionBy("key"))  # a row a task at most, so a small group
     later = F.col("known") | (F.struct("doc", "start") > F.col("first"))
-    each = F.explode(F.concat(F.array("part"), "also")).alias("part")
-    settled = written(met.withColumn("first", first).select("doc", each, "start", "n", later.alias("later")), "stretches")
+    each = F.explode(F.concat(F.array("part"), F.coalesce("also", F.array().cast("array<long>")))).alias("part")
+    settled = written(met.withColumn("first", first).select("doc", each, "start", "n", later.alias("later")), "stretches", clean=True)
 
     todo = _merged(settled.filter(~F.col("later")))
     windows = rows.join(todo, ["doc", "part"]).select("doc", "part", "text", "todo").mapInArrow(_find_windows(length), _ROW)

@@ -209,10 +209,10 @@ def decided(recall, threshold: float, baseline_p95, index_p95) -> Column:
     return F.when(recall.isNull() | baseline_p95.isNull(), "inconclusive").when((recall < threshold) | (index_p95 >= baseline_p95), "rejected").otherwise("accepted")
 
 
-def posting_lists(chunks: DataFrame) -> DataFrame:
-    """chunks (chunk_id, content) -> term, chunk_id, positions: what full-text search reads."""
-    each = chunks.select("chunk_id", F.posexplode(text.tokens("content")).alias("pos", "term"))
-    return each.groupBy("term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def posting_lists(chunks: DataFrame, *more: str) -> DataFrame:
+    """chunks (chunk_id, content) -> term, chunk_id, positions: what full-text search reads; ``more`` columns of a chunk stay."""
+    each = chunks.select("chunk_id", *more, F.posexplode(text.tokens("content")).alias("pos", "term"))
+    return each.groupBy("term", "chunk_id", *more).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def posted_top(postings: DataFrame, query: list[str], k: int) -> DataFrame:

@@ -37,6 +37,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path)"""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Removes a folder with all in it; whether there was one."""
+    system, at = _at(spark, path)
+    return system.delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of the shared folder: its lineage is cut, and lost executors lose nothing."""
     path = fresh_folder(df.sparkSession, name)

@@ -132,6 +132,37 @@ def unaccented(values):
     return values.map(lambda x: None if x is None else "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k)).lower())
 
 
+def has_text(c, asked) -> Column:
+    """Whether a text holds another, without regard to case and accents."""
+    return F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(asked, "UNICODE_CI_AI"))
+
+
+NAME_LOCALE = "pt"
+
+
+def by_name(c, locale: str = NAME_LOCALE) -> Column:
+    """What names are ordered by in a language: letters first, then accents, then case."""
+    return F.collate(c, locale)
+
+
+def unsupported_keys(metadata) -> Column:
+    """The keys of a JSON object, in order, that may not be stored; none for what is no object."""
+    return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>")), F.array(*map(F.lit, PUBLIC_KEYS))))
+
+
+def reference(title, page, section, chunk_index, content) -> Column:
+    """A chunk as people cite it: its title, where it is, and its text. A page of 0 and a blank section are not shown."""
+    parts = F.array(F.when(F.col(page) != 0, F.concat(F.lit("Página "), F.col(page).cast("string"))), F.nullif(F.col(section), F.lit("")), F.concat(F.lit("Trecho "), (F.col(chunk_index) + 1).cast("string")))
+    return F.concat_ws("\n", title, F.array_join(parts, " · "), content)
+
+
+def name_uuid(namespace: str, c) -> Column:
+    """The UUID of a name in a namespace (version 5), so that a backfill that is run again gives the same."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(c, "UTF-8")))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
+
+
 def location(metadata, content) -> Column:
     """struct<chunk_index, page, section, start_char, end_char> of stored metadata; what is missing or no JSON has defaults."""
     at = lambda k: F.get_json_object(metadata, f"$.location.{k}")

@@ -32,6 +32,16 @@ def reindex_candidates(chunks: DataFrame, batches: DataFrame, active: str) -> Da
     return all_.filter((F.col("content") != "") & F.coalesce(stale, F.lit(True))).select("chunk_id", "doc_id", reason.alias("reason"))
 
 
+def backfilled(rows: DataFrame, defaults: dict) -> DataFrame:
+    """rows whose nulls have the defaults {column: Column}, each from the row as it was; what is set stays."""
+    return rows.withColumns({c: F.coalesce(F.col(c), default) for c, default in defaults.items()})
+
+
+def status_of_vector(embedding: str = "embedding"):
+    """The state of a chunk that was stored before states were."""
+    return F.when(F.col(embedding).isNull(), "pending").otherwise("unversioned")
+
+
 def first_by_hash(sources: DataFrame) -> DataFrame:
     """doc_id of the first source of each content hash: what a batch ingestion keeps."""
     return sources.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))

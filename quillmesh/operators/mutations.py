@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import by_name
+
 
 def create_named(catalog: DataFrame, requests: DataFrame, key: Column) -> DataFrame:
     """catalog (id, name, key), requests (request_id, name) -> request_id, id, name, key, status: created, conflict or invalid.
@@ -89,6 +91,17 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows, key, "left_anti").unionByName(rows)
 
 
+def upserted(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rows (id, name) after items (request_id, id, name) that replace them by id or are added, the last of equal ids; ordered by name, then id."""
+    last = items.groupBy("id").agg(F.max_by("name", "request_id").alias("name"))
+    return upsert(rows.select("id", "name"), last, "id").orderBy(by_name("name"), "id")
+
+
+def unselected(options: DataFrame, selected: DataFrame, ident: str) -> DataFrame:
+    """The options, each once, that are not selected yet."""
+    return options.distinct().join(selected.select(ident).distinct(), ident, "left_anti")
+
+
 def new_links(links: DataFrame, found: DataFrame) -> DataFrame:
     """links with the pairs of found that they lack, each once."""
     return links.unionByName(found.distinct().join(links, links.columns, "left_anti"))

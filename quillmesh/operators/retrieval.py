@@ -265,6 +265,12 @@ def read_rows(hits: DataFrame, chunks: DataFrame, sources: DataFrame, links: dic
     )
 
 
+def references(rows: DataFrame, by: str, place: str, **columns: str) -> DataFrame:
+    """rows (by, place, ..) -> by, references: the cited chunks of each search, whose number its limit bounds, in order; ``columns`` name the fields of ``text.reference``."""
+    each = rows.select(by, F.struct(F.col(place).alias("place"), text.reference(**columns).alias("said")).alias("r"))
+    return each.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["said"]), "\n\n").alias("references"))
+
+
 def context_line(page: Column | None = None, section: Column | None = None) -> Column:
     """A chunk as the answer model reads it; page and section only where they are known."""
     none = F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text, vector
 from quillmesh.operators import evaluation, lifecycle, mutations, retrieval, vector_index
-from quillmesh.plans import lifecycles, oracle, searches, workflows
+from quillmesh.plans import lifecycles, oracle, records, searches, workflows
 from quillmesh.sources import knowledge as model
 
 LIMIT = 10
@@ -45,7 +45,7 @@ def vector_topk_filtered(spark, sf_dir):
 
 
 def normalize_documents(spark, sf_dir):
-    return model.sources(spark, sf_dir).select("doc_id", F.length("content_text").cast("long").alias("n_chars"), text.content_hash(F.col("content_text")).alias("content_hash"))
+    return model.normalized_sources(spark, sf_dir).select("doc_id", F.length("content_text").cast("long").alias("n_chars"), text.content_hash(F.col("content_text")).alias("content_hash"))
 
 
 def content_hash_dedupe(spark, sf_dir):
@@ -76,6 +76,8 @@ def facets(spark, sf_dir):
 
 def dashboard_metrics(spark, sf_dir):
     return model.table(spark, sf_dir, "documents").agg(F.count("doc_id").alias("n_sources"), F.count_distinct("source").alias("n_tags")).crossJoin(  # one row each
+        model.source_categories(spark, sf_dir).agg(F.count_distinct("category").alias("n_categories"))
+    ).crossJoin(
         model.projects(spark).agg(F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") == "archived").alias("n_archived"))
     )
 
@@ -91,7 +93,7 @@ def library_all_filter(spark, sf_dir):
 def library_title_search(spark, sf_dir):
     """Titles that hold a string, without regard to case and accents."""
     titled = model.sources(spark, sf_dir).select("doc_id", F.concat("title", F.lit(" "), F.substring("content_text", 1, 20)).alias("title"))
-    return titled.filter(F.contains(text.unaccented("title"), F.lit(text.without_accents("É", False)))).select("doc_id", "title")
+    return titled.filter(text.has_text("title", F.lit("É"))).select("doc_id", "title")
 
 
 PREFIX = " SRÇ1"
@@ -275,7 +277,7 @@ _ALL = (
 )
 
 
-_MORE = workflows.WORKFLOWS | searches.SEARCHES | lifecycles.LIFECYCLES
+_MORE = workflows.WORKFLOWS | searches.SEARCHES | lifecycles.LIFECYCLES | records.RECORDS
 
 
 def queries():

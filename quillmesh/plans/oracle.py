@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_documents": _with(CHUNKS, "SELECT chunk_id, doc_id, chunk_index, start_char, end_char, sha256(content) AS content_hash FROM chunks"),
         "sources_serialized": _with(f"{CATS}, {PROJ}, {NAMES}", "SELECT d.doc_id, 'doc-' || d.doc_id AS title, 'text:doc-' || d.doc_id AS uri, d.source AS tag, coalesce(c.x, '') AS categories, coalesce(p.x, '') AS projects FROM documents d LEFT JOIN (SELECT doc_id, string_agg(category, ',' ORDER BY category) AS x FROM cats GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(name || ':' || status, ',' ORDER BY name) AS x FROM proj JOIN names USING (project_id) GROUP BY doc_id) p USING (doc_id)"),
         "facets": _with(f"{CATS}, {PROJ}", "SELECT 'category' AS facet, category AS name, count(*) AS n_sources FROM cats GROUP BY ALL UNION ALL SELECT 'tag', source, count(*) FROM documents GROUP BY ALL UNION ALL SELECT 'project', 'project-' || project_id, count(*) FROM proj GROUP BY ALL"),
-        "dashboard_metrics": _with(NAMES, "SELECT (SELECT count(doc_id) FROM documents) AS n_sources, (SELECT count(DISTINCT source) FROM documents) AS n_tags, count(*) FILTER (WHERE status = 'active') AS n_active, count(*) FILTER (WHERE status = 'archived') AS n_archived FROM names"),
+        "dashboard_metrics": _with(f"{NAMES}, {CATS}", "SELECT (SELECT count(DISTINCT category) FROM cats) AS n_categories, (SELECT count(doc_id) FROM documents) AS n_sources, (SELECT count(DISTINCT source) FROM documents) AS n_tags, count(*) FILTER (WHERE status = 'active') AS n_active, count(*) FILTER (WHERE status = 'archived') AS n_archived FROM names"),
         "recent_sources": "SELECT doc_id, 'doc-' || doc_id AS title, 1704067200 + doc_id * 60 AS created_s FROM documents ORDER BY created_s DESC, title, doc_id LIMIT 5",
         "library_all_filter": _with(CATS, "SELECT doc_id FROM cats WHERE category IN ('en', 'curated') GROUP BY doc_id HAVING count(DISTINCT category) = 2"),
         "library_title_search": _with(SRC, "SELECT doc_id, title FROM (SELECT doc_id, 'doc-' || doc_id || ' ' || substr(content_text, 1, 20) AS title FROM src) WHERE contains(lower(strip_accents(title)), 'e')"),

@@ -44,7 +44,7 @@ judged AS (SELECT *, CASE WHEN doc_id % 4 = 3 THEN 'unsupported_type' WHEN doc_i
 
 def duplicate_guard(spark, sf_dir):
     """Whether each document's content is held by another source: an update of itself does not count."""
-    src = model.sources(spark, sf_dir).select("doc_id", text.content_hash(F.col("content_text")).alias("content_hash"))
+    src = model.sources(spark, sf_dir).select("doc_id", "content_hash")
     return ingest.already_ingested(src.withColumnRenamed("doc_id", "excluded"), src).select(F.col("excluded").alias("doc_id"), "duplicate")
 
 
@@ -230,7 +230,7 @@ def config_upsert(spark, sf_dir):
 
 def point_lookups(spark, sf_dir):
     """Sources by id, by title and by content hash, and names that a request states twice."""
-    src = model.sources(spark, sf_dir).withColumn("content_hash", text.content_hash(F.col("content_text")))
+    src = model.sources(spark, sf_dir)
     first = src.filter("doc_id = 3").select("content_hash")
     by = [("id", src.filter("doc_id = 3")), ("title", src.filter(F.col("title") == "doc-5")), ("hash", src.join(first, "content_hash", "left_semi"))]
     rows = [df.select(F.lit(k).alias("by"), "doc_id") for k, df in by]

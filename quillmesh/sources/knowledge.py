@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text
 from quillmesh.operators import retrieval
-from quillmesh.sources.shared import fresh_folder
+from quillmesh.sources.shared import fingerprint, fresh_folder
 
 SIZE, OVERLAP = 1000, 150
 CHUNKS_A_SOURCE = 1_000_000  # above the number of chunks of any source
@@ -30,7 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, title, uri, lang, tag, content_text, created_at (minutes after 2024-01-01)."""
+    """The source table: doc_id, title, uri, lang, tag, content_text, content_hash, created_at; texts are normalized and hashed once."""
+    return stored(spark, sf_dir, "sources", lambda *a: normalized_sources(*a).withColumn("content_hash", text.content_hash(F.col("content_text"))))
+
+
+def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, title, uri, lang, tag, content_text, created_at (minutes after 2024-01-01), from the documents."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
@@ -95,12 +100,12 @@ def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
     return docs.select("doc_id", "content_text").mapInArrow(cut, "doc_id long, chunk_index long, start_char long, end_char long, content string")
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str, int], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A table that ingestion makes once for a session and searches read: in the shared folder, written at its first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table that ingestion makes once for a session and searches read: in the shared folder, written at its first use, and anew where a table of ``sf_dir`` has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, fingerprint(spark, sf_dir))
     if key not in _STORED:
         path = fresh_folder(spark, name)
         build(spark, sf_dir).write.parquet(path)

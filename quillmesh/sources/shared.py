@@ -48,6 +48,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def fingerprint(spark: SparkSession, path: str) -> int:
+    """Of the names, sizes and times of what is in a folder."""
+    system, at = _at(spark, path)
+    return hash(tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(at))))
+
+
 def removed(spark: SparkSession, path: str) -> bool:
     """Removes a folder with all in it; whether there was one."""
     system, at = _at(spark, path)

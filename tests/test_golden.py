@@ -178,9 +178,10 @@ def test_bulk_insert_is_strict(spark):
 def test_reports_in_json(spark, tmp_path):
     from quillmesh.sources import reports
 
-    (tmp_path / "d.json").write_text('{"dataset_version": "1", "defaults": {"limit": 5}, "cases": [{"id": "c1", "kind": "k", "question": "q", "expected_chunks": [{"snippet": "x", "page": 2}], "expected_answer_points": ["p"], "expected_refusal": false}]}')
-    cases = reports.read_cases(spark, str(tmp_path / "d.json")).collect()
-    assert [(c.case, c.limit, c.points, c.expected_refusal, c.expected[0].snippet, c.expected[0].page) for c in cases] == [("c1", 5, ["p"], False, "x", 2)]
+    (tmp_path / "d.json").write_text('{"dataset_version": "1", "defaults": {"limit": 5}, "cases": [{"id": "c1", "kind": "k", "question": "q", "expected_chunks": [{"snippet": "x", "page": 2}], "expected_answer_points": ["p"], "expected_refusal": false}, {"id": "c2", "kind": "unanswered", "question": "r"}]}')
+    cases = reports.read_cases(spark, str(tmp_path / "d.json")).orderBy("case").collect()
+    assert (cases[1].case, cases[1].expected_refusal, cases[1].expected) == ("c2", True, [])
+    assert [(c.case, c.limit, c.points, c.expected_refusal, c.expected[0].snippet, c.expected[0].page) for c in cases[:1]] == [("c1", 5, ["p"], False, "x", 2)]
     assert cases[0].dataset_hash == "sha256:" + hashlib.sha256((tmp_path / "d.json").read_bytes()).hexdigest()
     for name, body in (("q.json", '{"queries": [{"query": "a", "limit": 3}, {"query": "b", "tag_ids": [1]}]}'), ("l.json", '[{"query": "a", "limit": 3}, {"query": "b", "tag_ids": [1]}]')):
         (tmp_path / name).write_text(body)

@@ -52,7 +52,7 @@ PART_BYTES = 16 << 20  # of the table's estimated size for each partition
 LEAST = 3
 SHARE = 0.6
 
-DEPTH = 512  # open elements; as in browsers, what nests deeper stands beside the last
+DEPTH = 512  # open elements that make a path; what nests deeper has the path of the last, and is main or left out by its own marks too
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
@@ -174,6 +174,8 @@ def parse(html: str | None) -> Page:
     page, text, source = Page(), [], html or ""
     stack: list[tuple[str, str, bool, bool, Named | None]] = []  # tag, name, main, out, out by names
     paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal ones are one object
+    deeper: list[tuple[str, bool, bool]] = []  # tag, main, out of what nests deeper, or of what it stands in there
+    held: Counter = Counter()  # tags in deeper
 
     def path() -> tuple[str, ...]:
         own = tuple(s[1] for s in stack if s[0] in BLOCKS)
@@ -184,15 +186,24 @@ def parse(html: str | None) -> Page:
         text.clear()
         if words:
             at = path()
-            page.blocks.append(Block(at, words, any(s[2] for s in stack), any(s[3] for s in stack), [s[4] for s in stack if s[4]]))
+            page.blocks.append(Block(at, words, any(s[2] for s in stack) or bool(deeper and deeper[-1][1]), any(s[3] for s in stack) or bool(deeper and deeper[-1][2]), [s[4] for s in stack if s[4]]))
             page.tokens += [(w, at) for w in words.split()]
 
     def close(tag: str, stop: tuple[str, ...] = ()) -> None:
+        if held[tag] and not stop:
+            while (last := deeper.pop()[0]) != tag:
+                held[last] -= 1
+            held[tag] -= 1
+            return
+        if deeper and stop:
+            return  # what a start tag ends does not matter there
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in stop:
                 return
             if stack[k][0] == tag:
                 del stack[k:]
+                deeper.clear()
+                held.clear()
                 return
 
     for upto, at, closing, tag, attrs in (tags := _Tags(source)):
@@ -218,7 +229,11 @@ def parse(html: str | None) -> Page:
         name, main, out, named = _marks(tag, attrs)
         page.tokens.append(("<", path(), name))
         if tag not in VOID and not attrs.rstrip().endswith("/"):
-            del stack[DEPTH:]
+            if len(stack) > DEPTH:
+                _, above, without = deeper[-1] if deeper else ("", False, False)
+                deeper.append((tag, main or above, out or named is not None or without))
+                held[tag] += 1
+                continue
             if main and not any(s[2] for s in stack):
                 for x in [*(s[4] for s in stack), named]:
                     if x:

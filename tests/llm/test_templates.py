@@ -123,6 +123,14 @@ def test_names_do_not_exclude_the_article(html, text):
     assert t.main_texts([html]) == [text]
 
 
+@pytest.mark.parametrize("depth", [0, 500, 510, 511, 512, 513, 514, 600, 3000])
+def test_marks_count_at_any_depth(depth):
+    deep = lambda x: "<div>" * depth + x + "</div>" * depth
+    menu = "<nav><div><b>home</b></div><p>about<p>more</nav><div class=comments><div>me</div></div>"
+    assert t.main_texts([f"<article>{deep(menu + '<p>one</p>')}<p>two</p></article><p>three</p>"]) == ["one\n\ntwo"]
+    assert t.main_texts([deep(f"<div>rights</div><article><p>one</p>{menu}</article><p>three</p>")]) == ["one"]
+
+
 def test_table(spark):
     rows = [(k % 90, None if k == 3 else f"http://h{k % 2}.org/x", f"<article><p>p{k}</p></article>", "s") for k in range(150)] + [(7, "no host", "", "s"), (None, "http://h0.org", None, "s")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, salt string")

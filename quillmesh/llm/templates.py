@@ -21,8 +21,9 @@ article or main element stays in spite of its words where its text is most of th
 all of it where no marked element stays otherwise, and else, only for words that
 layouts use as well (`LAYOUT_NAMES`), of the text in marked elements.
 
-Hosts with over a hundredth of all pages, of which there are at most a hundred, are dealt out by the
-hash of page_id into groups of about `GROUP`, so they go to many tasks. Other hosts' pages are
+Hosts of two groups or more are dealt out by the hash of page_id into groups of about `GROUP`, so they
+go to many tasks, but for those with less than one page in `HOSTS` of all, so that no more than that many
+hosts are broadcast (a few MB); a task takes such a host page by page. Other hosts' pages are
 cut by page_id in groups of `GROUP`, the last pages halved, so no group of a host of more than `GROUP`
 pages has under `GROUP` / 2. The groups depend on the pages alone, not on the cluster's settings.
 
@@ -49,6 +50,7 @@ from quillmesh.llm import common
 
 GROUP = 48
 PART_BYTES = 16 << 20  # of the table's estimated size for each partition
+HOSTS = 100_000  # the most hosts that are dealt out
 LEAST = 3
 SHARE = 0.6
 
@@ -394,10 +396,9 @@ def main_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
-    hot = counts.filter(F.col("n") * 100 > total).collect()  # a hundred at most
-    salts = F.create_map(*(F.lit(x) for r in hot for x in (r["host"], max(1, r["n"] // GROUP)))) if hot else None
-    salt = F.pmod(F.xxhash64("page_id"), F.coalesce(F.try_element_at(salts, F.col("host")), F.lit(1))) if hot else F.lit(0)
-    spread = rows.withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "page_id")
+    dealt = counts.filter((F.col("n") >= 2 * GROUP) & (F.col("n") * HOSTS > total)).select("host", F.floor(F.col("n") / GROUP).alias("parts"))
+    salt = F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1)))
+    spread = rows.join(F.broadcast(dealt), "host", "left").withColumn("salt", salt).repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "page_id")
     return spread.select(F.struct("host", "salt").alias("group"), "page_id", "url", "html").mapInArrow(common.freeing(_extract), "page_id long, url string, text string")
 
 

@@ -210,8 +210,11 @@ def decided(recall, threshold: float, baseline_p95, index_p95) -> Column:
 
 
 def posting_lists(chunks: DataFrame, *more: str) -> DataFrame:
-    """chunks (chunk_id, content) -> term, chunk_id, positions: what full-text search reads; ``more`` columns of a chunk stay."""
-    each = chunks.select("chunk_id", *more, F.posexplode(text.tokens("content")).alias("pos", "term"))
+    """chunks (chunk_id, content) -> term, chunk_id, positions: what full-text search reads; ``more`` columns of a chunk stay.
+
+    Texts are shuffled by chunk and not their words by term, as a chunk's words together are several times its text.
+    """
+    each = chunks.repartition("chunk_id").select("chunk_id", *more, F.posexplode(text.tokens("content")).alias("pos", "term"))
     return each.groupBy("term", "chunk_id", *more).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

@@ -17,6 +17,26 @@ def case_results(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return hit.groupBy("case").agg((F.count("rank") / F.count("id")).alias("recall_at_k"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+RANGE = 1000  # ids of a range, whose rows of one label are sorted together
+
+
+def next_ids(rows: DataFrame, asked: DataFrame, ident: str, label: str, n: int) -> DataFrame:
+    """rows and asked (ident, label) -> ident, id: for each asked row the n rows of its label with the least ids above its own.
+
+    Rows are held in ranges of ids. A range gives its n least ids of a label; those of the n next ranges with any are all that can be needed from beyond a row's own.
+    """
+    every = rows.select(F.col(label).alias("l"), F.col(ident).alias("id")).filter("l IS NOT NULL AND id IS NOT NULL").withColumn("range", F.floor(F.col("id") / RANGE))
+    first = every.withColumn("r", F.row_number().over(Window.partitionBy("l", "range").orderBy("id"))).filter(F.col("r") <= n)
+    heads = first.groupBy("l", "range").agg(F.array_sort(F.collect_list("id")).alias("head"))  # n a range
+    after = Window.partitionBy("l").orderBy("range").rowsBetween(1, n)
+    beyond = heads.select("l", "range", F.slice(F.flatten(F.collect_list("head").over(after)), 1, n).alias("beyond"))
+    wanted = asked.select(F.col(label).alias("l"), F.col(ident).alias("asked")).filter("l IS NOT NULL").withColumn("range", F.floor(F.col("asked") / RANGE))
+    inside = wanted.join(every, ["l", "range"]).filter("id > asked").select("asked", "id")
+    outside = wanted.join(beyond, ["l", "range"]).select("asked", F.explode("beyond").alias("id"))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy("id"))
+    return inside.unionByName(outside).withColumn("r", place).filter(F.col("r") <= n).select(F.col("asked").alias(ident), "id")
+
+
 WHOLE = 100_000  # values of a group that are ranked without narrowing first
 NARROW = 2e-4  # on either side of the asked share; the sketch is within 1e-4
 

@@ -5,7 +5,7 @@ A part holds the postings of some changed sources (``postings``) and the ids of
 names all parts now in use, so a change that is cut off leaves the table as it was, and may be run again. One writer at a time
 is assumed, as with any table that a single job maintains; readers need no lock.
 
-Parts are ranged by term and chunk, so a common term lies in many files. A merge takes the latest parts while the one before
+Each task writes its postings by term to a file of its own, so a change shuffles nothing and a common term lies in many files. A merge takes the latest parts while the one before
 them has at most `FANOUT` times their rows, and is done where these are `FANOUT` at least: every row is rewritten about once for each
 power of `FANOUT` that the table grows by, and a search reads few parts.
 """
@@ -13,6 +13,7 @@ power of `FANOUT` that the table grows by, and a search reads few parts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,10 +56,10 @@ class PostingStore:
 
     def _read(self, parts: list[Part], table: str, schema: str) -> DataFrame:
         """The rows of some parts with their place."""
-        found = self.spark.createDataFrame([], f"{schema}, place long")
-        for p in parts:
-            found = found.unionByName(self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/{p.name}").withColumn("place", F.lit(p.place).cast("long")))
-        return found
+        if not parts:
+            return self.spark.createDataFrame([], f"{schema}, place long")
+        each = [self.spark.read.schema(schema).parquet(f"{self.folder}/{table}/{p.name}").withColumn("place", F.lit(p.place).cast("long")) for p in parts]
+        return reduce(DataFrame.unionByName, each)
 
     def _current(self, parts: list[Part], terms: list[str] | None = None) -> DataFrame:
         rows = self._read(parts, "postings", POSTINGS)
@@ -71,7 +72,7 @@ class PostingStore:
         return met.filter(F.col("last").isNull() | (F.col("place") >= F.col("last"))).select("term", "chunk_id", "doc_id", "positions")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """term, chunk_id, doc_id, positions as of now; of some terms, only their ranges are read."""
+        """term, chunk_id, doc_id, positions as of now; of some terms, only their pages are read."""
         return self._current(self.state()[1], terms)
 
     def search(self, query: list[str], k: int) -> DataFrame:
@@ -80,7 +81,7 @@ class PostingStore:
 
     def _write(self, name: int, place: int, rows: DataFrame, replaced: DataFrame) -> Part:
         at = f"{self.folder}/postings/{name}"
-        rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(at)
+        rows.write.mode("overwrite").parquet(at)
         replaced.select("doc_id").write.mode("overwrite").parquet(f"{self.folder}/replaced/{name}")
         return Part(name, place, self.spark.read.schema(POSTINGS).parquet(at).count())  # from the files' footers
 
@@ -107,7 +108,7 @@ class PostingStore:
         taken = parts[low:]
         # what the merged rows replace in earlier parts; before the first part there is nothing
         replaced = self._read(taken, "replaced", "doc_id long").select("doc_id").distinct() if low else self.spark.createDataFrame([], "doc_id long")
-        part = self._write(state + 1, taken[-1].place, self._current(taken), replaced)
+        part = self._write(state + 1, taken[-1].place, self._current(taken).sortWithinPartitions("term", "chunk_id"), replaced)
         self._use(state + 1, [*parts[:low], part])
 
     def vacuum(self) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import batched, evaluation
+from quillmesh.sources.shared import written
 
 EXPECTED = "array<struct<source_id:string,source_title:string,chunk_index:long,page:long,section:string,content_hash:string,snippet:string>>"
 SOURCES = "array<struct<id:string,title:string,content:string,expected:boolean>>"
@@ -45,9 +46,10 @@ def run(cases: DataFrame, search: Callable[[DataFrame], DataFrame], chunks: Data
     answer: (case, question, sources by rank) -> case, answer, answer_error; None for a run that only searches.
     """
     named = cases.withColumn("query", F.xxhash64("case")).withColumn("error", broken(dimension))
+    named = written(named, "cases")
     fine = named.filter("error IS NULL")
     hits = search(fine).join(fine.select("query", "case"), "query").select("case", "chunk_id", "place", "score")
-    found = retrieved_refs(hits, chunks)
+    found = written(retrieved_refs(hits, chunks), "retrieved")  # read by every grade
     wanted = fine.select("case", F.posexplode("expected").alias("number", "e"))
     graded = evaluation.graded_retrieval(wanted, found)
     # whether a retrieved chunk is expected: of a case's few results each against its few locators

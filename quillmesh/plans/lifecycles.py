@@ -99,16 +99,21 @@ after AS (SELECT chunk_id, doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 T
 now AS (SELECT CASE WHEN a.status = 'reindexed' THEN 'embedded' WHEN a.status IS NOT NULL THEN 'failed' ELSE embedding_status END AS state, CASE WHEN a.status = 'failed_retryable' THEN 'provider refused' END AS error, CASE WHEN a.status = 'reindexed' THEN 'next' ELSE config_hash END AS config FROM emb LEFT JOIN batches USING (batch_id) LEFT JOIN after a USING (chunk_id))"""
 
 
+ALL_FILES = 1_000_000  # more than arrive between two starts of the stream
+
+
 def streamed_ingestion(spark, sf_dir):
-    """The sources that a stream of four files keeps, with the number of their chunks and postings; the files hold the ids by their remainder of three, and the last one repeats the first."""
+    """The sources that a stream of four arrivals keeps, with the number of their chunks and postings; each holds the ids of a remainder of three, and the last one repeats the first."""
     arriving, folder = fresh_folder(spark, "arriving"), fresh_folder(spark, "ingested")
     docs = model.table(spark, sf_dir, "documents").select("doc_id", "text")
-    for part in (0, 1, 2, 0):  # a later file has a later time, by which a stream takes them
-        docs.filter(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(arriving)
-    ingestion.stream(spark, arriving, folder, fresh_folder(spark, "checkpoint")).awaitTermination()
+    checkpoint = fresh_folder(spark, "checkpoint")
+    for part in (0, 1, 2, 0):  # what has arrived since the last start is one micro-batch, in as many files as tasks wrote
+        docs.filter(F.col("doc_id") % 3 == part).write.mode("append").parquet(arriving)
+        ingestion.stream(spark, arriving, folder, checkpoint, ALL_FILES).awaitTermination()
     tables = ingestion.Tables(spark, folder)
     n = tables.chunks().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    terms = tables.postings().join(tables.chunks().select("chunk_id", "doc_id"), "chunk_id").groupBy("doc_id").agg(F.sum(F.size("positions").cast("long")).alias("n_words"))
+    words = tables.postings().groupBy("chunk_id").agg(F.sum(F.size("positions").cast("long")).alias("n_words"))  # added up where they lie
+    terms = words.join(tables.chunks().select("chunk_id", "doc_id"), "chunk_id").groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     return tables.sources().select("doc_id", "content_hash").join(n, "doc_id").join(terms, "doc_id", "left").select("doc_id", "content_hash", "n_chunks", F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import compared, tokens
+from quillmesh.sources.shared import written
 
 #: What marks an answer as a refusal.
 REFUSALS = ("nao encontrei essa informacao", "nao encontrei esta informacao", "nao tenho informacao", "nao tenho essa informacao", "nao disponho de informacao", "i don't know", "cannot find", "not enough information")
@@ -202,14 +203,18 @@ def holding(chunks: DataFrame, snippets: DataFrame) -> DataFrame:
     They meet on the hash of a snippet's first words, `SEED` or one where it is shorter, and are then compared whole.
     """
     held = chunks.select("chunk_id", tokens("content").alias("c"))
-    wanted = snippets.filter(F.size("t") > 0).select("item_id", "t", F.when(F.size("t") >= SEED, SEED).otherwise(1).alias("n")).withColumn("run", F.xxhash64("n", F.array_join(F.slice("t", F.lit(1), F.col("n")), " ")))
+    size = F.when(F.size("t") >= SEED, SEED).otherwise(1)
+    first = lambda n: F.xxhash64(F.lit(n), *(F.get("t", F.lit(i)) for i in range(n)))
+    wanted = snippets.filter(F.size("t") > 0).select("item_id", "t", size.alias("n")).withColumn("run", F.when(F.col("n") == SEED, first(SEED)).otherwise(first(1)))
+    wanted = written(wanted, "snippets")  # known to be small where it is, and then broadcast
+    used = [r.n for r in wanted.select("n").distinct().collect()]  # of two lengths
 
     def runs(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("c") - (n - 1))
-        hashed = F.transform(at, lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("c", i, F.lit(n)), " ")))
+        """The hashes of all runs of n words; the words are taken as they lie."""
+        hashed = F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: F.xxhash64(F.lit(n), *(F.get("c", i + k) for k in range(n))))
         return F.when(F.size("c") >= n, hashed).otherwise(F.array().cast("array<long>"))
 
-    seeds = held.select("chunk_id", F.explode(F.array_distinct(F.concat(runs(SEED), runs(1)))).alias("run"))
-    met = seeds.join(wanted, "run").select("chunk_id", "item_id", "t").join(held, "chunk_id")
+    seeds = held.select("chunk_id", F.explode(F.concat(F.array().cast("array<long>"), *(runs(n) for n in used))).alias("run"))
+    met = written(seeds.join(wanted, "run").select("chunk_id", "item_id", "t").distinct(), "candidates").join(chunks.select("chunk_id", tokens("content").alias("c")), "chunk_id")
     spaced = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
     return met.filter(F.contains(spaced("c"), spaced("t"))).select("item_id", "chunk_id").distinct()

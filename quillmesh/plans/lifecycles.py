@@ -8,7 +8,7 @@ from quillmesh.functions import text
 from quillmesh.operators import lifecycle, mutation_batches, reindex_store, snapshots
 from quillmesh.plans.oracle import CATS, CHUNKS, PROJ, STALE
 from quillmesh.sources import knowledge as model
-from quillmesh.sources.shared import fresh_folder
+from quillmesh.sources.shared import fresh_folder, written
 from quillmesh.streaming import ingestion
 
 
@@ -67,8 +67,9 @@ fold AS (
 def _store(spark, sf_dir):
     """Two runs over all stale chunks; in the first the sources divisible by three fail, and one slice is cut off between its two writes; in the second the odd ones of them fail again."""
     chunks = model.embedded_chunks(spark, sf_dir).join(F.broadcast(model.batches(spark)), "batch_id", "left")  # ten rows
-    items = lifecycle.reindex_candidates(model.embedded_chunks(spark, sf_dir), model.batches(spark), model.ACTIVE)
-    store = reindex_store.create(spark, fresh_folder(spark, "reindex"), chunks.select("chunk_id", "doc_id", "content", "embedding", "embedding_status", "config_hash"), items, max(1, items.count() // 2))
+    items = written(lifecycle.reindex_candidates(model.embedded_chunks(spark, sf_dir), model.batches(spark), model.ACTIVE), "items")
+    texts = model.chunks(spark, sf_dir).select("chunk_id", "doc_id", "content")  # not those that were joined with vectors
+    store = reindex_store.create(spark, fresh_folder(spark, "reindex"), chunks.select("chunk_id", "doc_id", "embedding", "embedding_status", "config_hash"), items, max(1, items.count() // 2), texts)
 
     def embed(lacks):
         return lambda rows: rows.select("chunk_id", F.when(~lacks, F.array(F.lit(1.0))).alias("vector"), F.when(lacks, F.lit("provider refused")).alias("error"))
@@ -88,7 +89,7 @@ def reindex_writeback(spark, sf_dir):
     """Items and current chunks of a store after two runs of which the first was cut off and resumed: how many are in which state."""
     store = _store(spark, sf_dir)
     items = store.items().groupBy(F.col("status").alias("state"), F.col("attempts").cast("long").alias("attempts"), "error").agg(F.count(F.lit(1)).alias("n"))
-    chunks = store.chunks().groupBy(F.col("embedding_status").alias("state"), "error", "config_hash").agg(F.count(F.lit(1)).alias("n"))
+    chunks = store.states().groupBy(F.col("embedding_status").alias("state"), "error", "config_hash").agg(F.count(F.lit(1)).alias("n"))
     return items.select(F.lit("item").alias("what"), "state", "attempts", "error", F.lit(None).cast("string").alias("config"), "n").unionByName(
         chunks.select(F.lit("chunk").alias("what"), "state", F.lit(None).cast("long").alias("attempts"), "error", F.col("config_hash").alias("config"), "n")
     )

@@ -67,3 +67,26 @@ def test_resumed_runs_end_in_the_same_tables(spark, tmp_path, cut):
     assert _state(broken) == _state(whole)
     if cut == "chunks":  # only what has failed is embedded again
         assert asked[0] <= {4, 8}
+
+
+def _bytes(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_texts_are_written_once(spark, tmp_path, monkeypatch, few):
+    size = 20
+    monkeypatch.setattr(rs, "FILES", few)  # two slices are dealt out, or written where they lie
+    content = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: F.sha2(F.concat_ws(":", "id", i), 256)))
+    chunks = spark.range(40).select(F.col("id").alias("chunk_id"), (F.col("id") / 4).cast("long").alias("doc_id"), content.alias("content"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit("embedded").alias("embedding_status"), F.lit("old").alias("config_hash"))
+    items = chunks.select("chunk_id", "doc_id", F.lit("config_changed").alias("reason"))
+    store = rs.create(spark, str(tmp_path / "a"), chunks, items, size)
+    before = _bytes(tmp_path / "a")
+    rs.run(store, _embed([8]), "new")
+    rs.run(store, _embed([8]), "new")
+    texts = {r.chunk_id: r.content for r in chunks.collect()}
+    got = {r.chunk_id: r for r in store.chunks().collect()}
+    assert {k: r.content for k, r in got.items()} == texts and tuple(got[8].embedding) == (1.0,) and got[8].config_hash == "old"
+    assert _bytes(tmp_path / "a") < before + sum(map(len, texts.values())) / 4  # before, every run wrote them again
+    apart = rs.create(spark, str(tmp_path / "b"), chunks.drop("content"), items, size, chunks.select("chunk_id", "doc_id", "content"))
+    assert {r.chunk_id: (r.content, r.batch) for r in apart.chunks().collect()} == {k: (v, 0) for k, v in texts.items()}

@@ -38,9 +38,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,10 +59,11 @@ SHARE = 0.6
 
 DEPTH = 512  # open elements that make a path; what nests deeper has the path of the last, and is main or left out by its own marks too
 
+KEY = 1000  # characters of a path's string, above which its hash stands for it, so that long names in deep paths stay small
+
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[^a-z]+")
 
 # HTML's elements by what they mean here.
@@ -93,12 +97,13 @@ class Block:
     main: bool  # in an element marked as the main content
     out: bool  # in an element that is never main text
     named: list[Named] = field(default_factory=list)  # the elements around it that their names exclude
+    words: list[tuple] = field(default_factory=list)  # its tokens
 
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    tokens: list[tuple] = field(default_factory=list)  # each element as it opens and each word, with its path
+    tokens: list[tuple] = field(default_factory=list)  # each element as it opens and each word, with its path as one string, whose hash is kept
 
 
 def _names(value: str) -> set[str]:
@@ -107,15 +112,18 @@ def _names(value: str) -> set[str]:
     return {n for w in words for k, n in enumerate(w) if not (k and w[k - 1] in HOLDS)}
 
 
-def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, Named | None]:
-    """(name with its first class, main, out by its tag, out by its names)"""
+def _marks(tag: str, attrs: str) -> tuple[str, bool, bool, set[str] | None]:
+    """(name with its first class, main, out by its tag, the names that exclude it)"""
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs else {}
     names = set().union(*map(_names, found.values())) & OUT_NAMES
     main = tag in ("article", "main") or found.get("role") == MAIN_ROLE
-    named = Named(names) if names and tag not in ("html", "body", "main") else None
+    named = names if names and tag not in ("html", "body", "main") else None
     return (f"{tag}.{found['class'].split()[0]}" if found.get("class", "").split() else tag), main, tag in OUT_TAGS, named
 
 
+_known_marks = lru_cache(4096)(_marks)  # of short attributes, which come on many pages
+
+
 class _Tags:
     """Iterates over (end of the text before, its start, closing, tag, attributes) of a page; the last has no tag. Each character is looked at a few times at most."""
 
@@ -135,12 +143,14 @@ class _Tags:
 
     def _element(self, at: int) -> tuple[int, int, str, str] | None:
         """(end, closing, tag, attributes) of the tag at a place."""
-        m = _OPEN.match(self.source, at) if at < self.last else None
+        if at >= self.last:
+            return None
+        if self.quoted and (m := _TAG.match(self.source, at)):
+            closing, tag, attrs = m.groups()
+            return m.end(), bool(closing), tag.lower(), attrs
+        m = _OPEN.match(self.source, at)
         if not m:
             return None
-        rest = _REST.match(self.source, m.end()) if self.quoted else None
-        if rest:
-            return rest.end(), bool(m[1]), m[2].lower(), rest[1]
         self.quoted = False
         end = self.source.find(">", m.end())
         return (end + 1, bool(m[1]), m[2].lower(), self.source[m.end() : end]) if end >= 0 else None
@@ -174,22 +184,23 @@ class _Tags:
 def parse(html: str | None) -> Page:
     """The blocks and elements of a page, in order."""
     page, text, source = Page(), [], html or ""
-    stack: list[tuple[str, str, bool, bool, Named | None]] = []  # tag, name, main, out, out by names
-    paths: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal ones are one object
+    #: Tag, own Named; and of it and all around it: path, path as a string, main, out, Named ones.
+    root = ("", None, (), "", False, False, [])
+    stack: list[tuple[str, Named | None, tuple[str, ...], str, bool, bool, list[Named]]] = []
+    paths: dict[str, tuple[str, tuple[str, ...]]] = {}  # equal ones are one object
     deeper: list[tuple[str, bool, bool]] = []  # tag, main, out of what nests deeper, or of what it stands in there
     held: Counter = Counter()  # tags in deeper
 
-    def path() -> tuple[str, ...]:
-        own = tuple(s[1] for s in stack if s[0] in BLOCKS)
-        return paths.setdefault(own, own)
-
     def flush() -> None:
-        words = _SPACE.sub(" ", "".join(text)).strip()
+        if not text:
+            return
+        words = "".join(text).split()
         text.clear()
         if words:
-            at = path()
-            page.blocks.append(Block(at, words, any(s[2] for s in stack) or bool(deeper and deeper[-1][1]), any(s[3] for s in stack) or bool(deeper and deeper[-1][2]), [s[4] for s in stack if s[4]]))
-            page.tokens += [(w, at) for w in words.split()]
+            _, _, at, key, main, out, named = stack[-1] if stack else root
+            tokens = [(w, key) for w in words]
+            page.blocks.append(Block(at, " ".join(words), main or bool(deeper and deeper[-1][1]), out or bool(deeper and deeper[-1][2]), named, tokens))
+            page.tokens += tokens
 
     def close(tag: str, stop: tuple[str, ...] = ()) -> None:
         if held[tag] and not stop:
@@ -228,19 +239,27 @@ def parse(html: str | None) -> Page:
             close("p", ("td", "th", "div", "section", "article", "main", "body", "button"))
         for other in CLOSES.get(tag, ()):
             close(other, KEEPS[tag])
-        name, main, out, named = _marks(tag, attrs)
-        page.tokens.append(("<", path(), name))
+        name, main, out, names = (_known_marks if len(attrs) < 200 else _marks)(tag, attrs)
+        named = Named(names) if names else None
+        _, _, at_path, key, above_main, above_out, around = stack[-1] if stack else root
+        page.tokens.append(("<", key, name))
         if tag not in VOID and not attrs.rstrip().endswith("/"):
             if len(stack) > DEPTH:
                 _, above, without = deeper[-1] if deeper else ("", False, False)
                 deeper.append((tag, main or above, out or named is not None or without))
                 held[tag] += 1
                 continue
-            if main and not any(s[2] for s in stack):
-                for x in [*(s[4] for s in stack), named]:
-                    if x:
-                        x.top = True
-            stack.append((tag, name, main, out, named))
+            if named:
+                around = [*around, named]
+            if main and not above_main:
+                for x in around:
+                    x.top = True
+            if tag in BLOCKS:
+                key = f"{key}{len(name)}:{name}"
+                if len(key) > KEY:
+                    key = blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                key, at_path = paths.get(key) or paths.setdefault(key, (key, (*at_path, name)))
+            stack.append((tag, named, at_path, key, main or above_main, out or above_out, around))
     flush()
     _judge(page.blocks)
     return page
@@ -262,14 +281,20 @@ def _judge(blocks: list[Block]) -> None:
 
 def template(pages: list[Page]) -> tuple[set[tuple], list[set[tuple]]]:
     """The tokens of the template and of the nested classes inside its slots, of pages that differ."""
-    sequences = [p.tokens for p in pages]
+    counts = [Counter(p.tokens) for p in pages]
+    held_by: Counter = Counter()
+    for c in counts:
+        held_by.update(c.keys())
+    common = {t for t, n in held_by.items() if n >= min(LEAST, len(pages))}  # others make no class
     on: dict[tuple, int] = defaultdict(int)  # the pages of a token, as bits
     often: set[tuple] = set()  # tokens that come twice on a page
-    for k, s in enumerate(sequences):
-        for token, n in Counter(s).items():
+    places: list[dict[tuple, int]] = []  # of each page's tokens
+    for k, c in enumerate(counts):
+        mine = [t for t in c if t in common]
+        for token in mine:
             on[token] |= 1 << k
-            if n > 1:
-                often.add(token)
+        often.update(t for t in mine if c[t] > 1)
+        places.append({t: i for i, t in enumerate(pages[k].tokens)})
     vectors: dict[int, list[tuple]] = defaultdict(list)
     for token, bits in on.items():
         if token not in often:
@@ -277,35 +302,33 @@ def template(pages: list[Page]) -> tuple[set[tuple], list[set[tuple]]]:
 
     def valid(tokens: list[tuple], on: list[int]) -> set[tuple]:
         """The tokens that come once each and in one order: those of the first page's order that the other pages keep."""
-        mine = set(tokens)
-        order = [t for t in sequences[on[0]] if t in mine]
+        order = sorted(tokens, key=places[on[0]].__getitem__)
         for k in on[1:]:
-            place = {t: i for i, t in enumerate(t for t in sequences[k] if t in mine)}
-            kept, last = [], -1
+            place, kept, last = places[k], [], -1
             for t in order:
-                if place[t] > last:
+                if (at := place[t]) > last:
                     kept.append(t)
-                    last = place[t]
+                    last = at
             order = kept
-            mine = set(order)
-        return mine
+        return set(order)
 
     full = (1 << len(pages)) - 1
     everywhere = valid(vectors[full], list(range(len(pages)))) if full in vectors else set()
+    outer = [sorted(map(place.__getitem__, everywhere)) for place in places]
     nested = []
     for bits, tokens in vectors.items():
         if len(tokens) >= 3 and LEAST <= bits.bit_count() < len(pages):
             held = [k for k in range(len(pages)) if bits >> k & 1]
             found = valid(tokens, held)
-            if len(found) >= 3 and all(_in_one_slot(sequences[k], everywhere, found) for k in held):
+            if len(found) >= 3 and all(_in_one_slot(outer[k], [places[k][t] for t in found]) for k in held):
                 nested.append(found)
     return everywhere, nested
 
 
-def _in_one_slot(sequence: list[tuple], outer: set[tuple], inner: set[tuple]) -> bool:
-    """Whether no token of the outer class stands between two of the inner one."""
-    places = [k for k, t in enumerate(sequence) if t in inner]
-    return not any(t in outer for t in sequence[places[0] : places[-1] + 1])
+def _in_one_slot(outer: list[int], inner: list[int]) -> bool:
+    """Whether no place of the outer class, which are in order, lies between two of the inner one."""
+    k = bisect_left(outer, min(inner))
+    return k == len(outer) or outer[k] > max(inner)
 
 
 def main_texts(htmls: list[str | None]) -> list[str]:
@@ -324,22 +347,23 @@ def main_texts(htmls: list[str | None]) -> list[str]:
         return set(), []
 
     def slots(blocks: list[Block], tokens: set[tuple]) -> list[Block]:
-        return [b for b in blocks if not (tokens and all((w, b.path) in tokens for w in b.text.split()))]
+        return [b for b in blocks if not (tokens and tokens.issuperset(b.words))]
 
     if marked:
         everywhere, nested = deduced(marked)
         mine = {k: [b for b in pages[k].blocks if b.main and not b.out] for k in marked}
-        words = {k: {(w, b.path) for b in mine[k] for w in b.text.split()} for k in marked}
+        words = {k: set().union(*(b.words for b in mine[k])) for k in marked}
         if 2 * sum(len(x & everywhere) for x in words.values()) > sum(map(len, words.values())):
             everywhere = set()
         inner = set().union(*nested)
+        classes = [(c, everywhere | c) for c in nested]
         for k in marked:
             data = slots(mine[k], everywhere)
             copied = 3 * len(words[k] & inner) > len(words[k])
-            for c in nested:
+            for c, known in classes:
                 if not copied and not c.isdisjoint(words[k]):
-                    rest = slots(data, everywhere | c)
-                    if all(c.isdisjoint((w, b.path) for w in b.text.split()) for b in [*rest, *(b for b in data if b.path[-1:] and b.path[-1].split(".")[0] == "h1")]):
+                    rest = slots(data, known)
+                    if all(c.isdisjoint(b.words) for b in [*rest, *(b for b in data if b.path[-1:] and b.path[-1].split(".")[0] == "h1")]):
                         data = rest
             out[k] = "\n\n".join(b.text for b in data or mine[k])
     if not bare:

@@ -159,3 +159,24 @@ def test_groups_do_not_depend_on_partitions(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     one, two = (sorted((r.page_id, r.text) for r in t.main_text(pages, n).collect()) for n in (1, 7))
     assert one == two
+
+
+def test_paths_of_deep_and_long_names_stay_small():
+    import tracemalloc
+
+    names = ["n" * 2000 + str(k) for k in range(300)]
+    html = "".join(f"<div class={n}>" for n in names) + "<p>one two</p>" * 20
+    tracemalloc.start()
+    page = t.parse(html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(html) and page.blocks[0].path == (*(f"div.{n}" for n in names), "p")
+    other = t.parse(html.replace(names[0], names[0] + "x"))
+    assert {x[1] for x in page.blocks[0].words}.isdisjoint(x[1] for x in other.blocks[0].words)
+
+
+def test_a_paths_string_is_hashed_once():
+    """Sets and counters of tokens hash no tuple of names; strings keep their hash."""
+    page = t.parse("<div class=a><section><p>one two</p></section></div>")
+    assert all(isinstance(part, str) for token in page.tokens for part in token)
+    assert len({t.parse(x).blocks[0].words[0] for x in ("<div class=ap>x", "<div class=a><p>x", "<p><div class=a>x", "<div class=a\0p>x")}) == 4

@@ -17,6 +17,7 @@ only doc_id and text are read.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,8 @@ from quillmesh.llm import common
 SEQUENCE = 256  # ids in a sequence
 ROWS = 2048  # sequences in a record batch
 END_ID = 2
-CACHE = 96 << 20  # bytes, at about ENTRY each, of the chunks that a worker keeps with their ids; above it, it starts anew
+MARKS = string.punctuation
+CACHE = 192 << 20  # bytes, at about ENTRY each, of the chunks that a worker keeps with their ids; above it, it starts anew
 ENTRY = 200
 PART_BYTES = 64 << 20  # of the table's estimated size for each file
 
@@ -51,7 +53,7 @@ class Encoder:
     A byte-level vocabulary's pre-tokenizer breaks before every single space and around
     one or two line ends that stand between other characters, so where these are a text's
     only white space, what lies between the breaks can be encoded apart, and so can
-    a comma or full stop behind a letter. Any other text is encoded as a whole, and so is
+    the punctuation that ends it behind a letter. Any other text is encoded as a whole, and so is
     one that holds the string of a special token, which the library makes one id.
     """
 
@@ -63,12 +65,12 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.newline = self._ids("\n")
-        self.fixed = {c: self._bytes(c) for c in ("", "\n", ",", ".")}
+        self.fixed = {c: self._bytes(c) for c in ("", "\n", *MARKS)}
         self.known: dict[str, bytes] = dict(self.fixed)
         self.held = 0
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets, which nothing reads
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype=np.uint16).tobytes()
@@ -83,13 +85,17 @@ class Encoder:
 
     @staticmethod
     def _stem(chunk: str) -> str:
-        """The chunk without a comma or full stop behind a letter."""
-        return chunk[:-1] if chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha() else chunk
+        """The chunk without the punctuation that ends it, where that is behind a letter."""
+        stem = chunk.rstrip(MARKS)
+        return stem if stem[-1:].isalpha() else chunk
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes what is not known yet, many chunks together, one a line."""
-        new = [c for c in chunks if c not in self.known]
-        lines = list({s for s in map(self._stem, new) if s not in self.known})
+        new = list(chunks.difference(self.known))
+        stems = list(map(self._stem, new))
+        tails = [(c, s) for c, s in zip(new, stems, strict=True) if len(c) != len(s)]
+        ends = {c[len(s) :] for c, s in tails}
+        lines = list(set(stems).union(ends).difference(self.known))
         for at in range(0, len(lines), 4096):
             part = lines[at : at + 4096]
             ids = np.array(self._ids("\n".join(part)), dtype=np.uint16)
@@ -102,17 +108,16 @@ class Encoder:
                     self.known[c] = data[a:b]
             else:
                 self.known |= {c: self._bytes(c) for c in part}
-        for c in new:
-            if c not in self.known:
-                self.known[c] = self.known[c[:-1]] + self.fixed[c[-1]]
+        for c, s in tails:
+            self.known[c] = self.known[s] + self.known[c[len(s) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
         cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.plain(t) else None for t in texts]
         before = len(self.known)
-        self.learn({c for x in cut if x is not None for c in x})
+        self.learn(set().union(*(x for x in cut if x is not None)))
         self.held += ENTRY * (len(self.known) - before)
-        whole = iter(self.tokenizer.encode_batch([t for t, x in zip(texts, cut, strict=True) if x is None], add_special_tokens=False))
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, cut, strict=True) if x is None], add_special_tokens=False))
         get = self.known.__getitem__
         out = [np.array(next(whole).ids, dtype=np.uint16).tobytes() if x is None else b"".join(map(get, x)) for x in cut]
         if self.held > CACHE:

@@ -51,3 +51,15 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     manifest = tokenfiles.write_files(docs, str(tmp_path / "f"), PATH, 2)
     assert tokenfiles.read_documents(manifest).count() == 0
+
+
+def test_words_that_differ_in_their_last_punctuation_are_encoded_once():
+    t, e = _library(), tokenfiles.Encoder(PATH)
+    asked = []
+    ids = e._ids
+    e._ids = lambda text: asked.append(text) or ids(text)
+    marks = ["", ",", ".", "...", "&&&", ",%%%", "'", "'.", "!?", "\"", ")", "###", "'s", "'s.", "'", "-x", "1.", "1"]
+    texts = [f"Tonesque{a} oueaule{b} é{a}\ntonesque{b} &&{a} {b}x" for a in marks for b in marks]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    lines = "\n".join(asked).split("\n")
+    assert len(lines) == len(set(lines)) and sum(x.startswith("Tonesque") for x in lines) == 5  # alone, with 's, -x, 1. and 1

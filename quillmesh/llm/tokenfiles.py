@@ -17,12 +17,14 @@ only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ SEQUENCE = 256  # ids in a sequence
 ROWS = 2048  # sequences in a record batch
 END_ID = 2
 MARKS = string.punctuation
+LINES = 512  # chunks that are encoded together
 CACHE = 192 << 20  # bytes, at about ENTRY each, of the chunks that a worker keeps with their ids; above it, it starts anew
 ENTRY = 200
 PART_BYTES = 64 << 20  # of the table's estimated size for each file
@@ -46,6 +49,35 @@ SCHEMA = pa.schema(
 )
 MANIFEST = "file int, path string, n_docs long, n_tokens long"
 
+_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: what a text that can be cut does not hold, for RE2
+_UNCUT = rf"[\x00{_OTHER_SPACE}]|  | \n|\n |\n\n\n|\A[ \n]|[ \n]\z"
+_IS_MARK, _IS_LETTER = (np.isin(np.arange(256), list(x.encode())) for x in (MARKS, string.ascii_letters))
+
+
+def _chunks(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of plain texts one after the other, as a dictionary of the distinct ones, and where each text begins among them, with their number last."""
+    encoded = [t.encode() for t in texts]
+    joined = b"".join(encoded)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in encoded], dtype=np.int64)])
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[:-1] = (data == 0x20) | (data == 0x0A)
+    cut[1:] |= data == 0x0A
+    cut[begins] = True
+    mark = _IS_MARK[data]
+    first, last = mark.copy(), mark.copy()
+    first[1:] &= ~mark[:-1] | cut[1:-1]
+    last[:-1] &= ~mark[1:] | cut[1:-1]
+    at, end = np.flatnonzero(first), np.flatnonzero(last) + 1  # of each run of punctuation
+    at = at[~cut[at] & cut[end]]
+    before = data[at - 1]
+    letter = _IS_LETTER[before] | ((data[at - 2] == 0xC3) & (before != 0x97) & (before != 0xB7))  # U+00C0 to U+00FF without their two signs
+    cut[at[letter]] = True
+    offsets = np.flatnonzero(cut).astype(np.int64)
+    chunks = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(joined))
+    return chunks.dictionary_encode(), np.searchsorted(offsets, begins)
+
 
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct chunk of a worker once.
@@ -53,7 +85,7 @@ class Encoder:
     A byte-level vocabulary's pre-tokenizer breaks before every single space and around
     one or two line ends that stand between other characters, so where these are a text's
     only white space, what lies between the breaks can be encoded apart, and so can
-    the punctuation that ends it behind a letter. Any other text is encoded as a whole, and so is
+    the punctuation that ends it behind a Latin letter. Any other text is encoded as a whole, and so is
     one that holds the string of a special token, which the library makes one id.
     """
 
@@ -65,7 +97,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.newline = self._ids("\n")
-        self.fixed = {c: self._bytes(c) for c in ("", "\n", *MARKS)}
+        self.fixed = {c: self._bytes(c) for c in ("\n", *MARKS)}
         self.known: dict[str, bytes] = dict(self.fixed)
         self.held = 0
 
@@ -75,51 +107,39 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         return np.array(self._ids(text), dtype=np.uint16).tobytes()
 
-    def plain(self, text: str) -> bool:
-        """Whether the text can be cut before its spaces and around its line ends."""
-        if any(s in text for s in self.special):
-            return False
-        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\0" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
-            return False
-        return len("".join(text.split())) == len(text) - text.count(" ") - text.count("\n")  # no other white space
-
-    @staticmethod
-    def _stem(chunk: str) -> str:
-        """The chunk without the punctuation that ends it, where that is behind a letter."""
-        stem = chunk.rstrip(MARKS)
-        return stem if stem[-1:].isalpha() else chunk
-
-    def learn(self, chunks: set[str]) -> None:
+    def plains(self, texts: list[str]) -> list[bool]:
+        """Whether each text can be cut before its spaces and around its line ends."""
+        pattern = "|".join([_UNCUT, *map(re.escape, self.special)])
+        return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), pattern)).to_pylist()
+
+    def learn(self, chunks: list[str]) -> None:
         """Encodes what is not known yet, many chunks together, one a line."""
-        new = list(chunks.difference(self.known))
-        stems = list(map(self._stem, new))
-        tails = [(c, s) for c, s in zip(new, stems, strict=True) if len(c) != len(s)]
-        ends = {c[len(s) :] for c, s in tails}
-        lines = list(set(stems).union(ends).difference(self.known))
-        for at in range(0, len(lines), 4096):
-            part = lines[at : at + 4096]
+        new = [c for c in chunks if c not in self.known]
+        for low in range(0, len(new), LINES):
+            part = new[low : low + LINES]
             ids = np.array(self._ids("\n".join(part)), dtype=np.uint16)
             cuts = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else np.zeros(0, int)
             if len(cuts) == len(part) - 1:
-                low = [0, *(2 * cuts + 2).tolist()]
-                high = [*(2 * cuts).tolist(), 2 * len(ids)]
+                begin = [0, *(2 * cuts + 2).tolist()]
+                end = [*(2 * cuts).tolist(), 2 * len(ids)]
                 data = ids.tobytes()
-                for c, a, b in zip(part, low, high, strict=True):
-                    self.known[c] = data[a:b]
+                self.known.update(zip(part, [data[a:b] for a, b in zip(begin, end, strict=True)], strict=True))
             else:
                 self.known |= {c: self._bytes(c) for c in part}
-        for c, s in tails:
-            self.known[c] = self.known[s] + self.known[c[len(s) :]]
+        self.held += ENTRY * len(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
-        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.plain(t) else None for t in texts]
-        before = len(self.known)
-        self.learn(set().union(*(x for x in cut if x is not None)))
-        self.held += ENTRY * (len(self.known) - before)
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, cut, strict=True) if x is None], add_special_tokens=False))
-        get = self.known.__getitem__
-        out = [np.array(next(whole).ids, dtype=np.uint16).tobytes() if x is None else b"".join(map(get, x)) for x in cut]
+        plain = self.plains(texts)
+        coded, bounds = _chunks([t for t, ok in zip(texts, plain, strict=True) if ok])
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        ids = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])[bounds].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        cut = (bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False))
+        out = [next(cut) if ok else np.array(next(whole).ids, dtype=np.uint16).tobytes() for ok in plain]
         if self.held > CACHE:
             self.known, self.held = dict(self.fixed), 0
         return out
@@ -254,7 +274,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for found in _documents_of(path):
-                    start = pa.compute.add(found.column(1), before)
+                    start = pc.add(found.column(1), before)
                     yield pa.RecordBatch.from_arrays([found.column(0), start, found.column(2), found.column(3)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = placed.repartitionByRange(max(1, manifest.count()), "file").select("path", "before")

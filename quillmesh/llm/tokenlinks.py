@@ -13,7 +13,7 @@ tokens (`possible_pairs`: fewer than a million for two of about 50,000), however
 are broadcast.
 
 Both tokenizers break before every single space and on both sides of a line end, and before a comma or full stop that
-ends a word. So where spaces and line ends are a text's only white space (`tokenfiles.Encoder.plain`), it is
+ends a word. So where spaces and line ends are a text's only white space (`tokenfiles.Encoder.plains`), it is
 aligned by chunks that begin with one, each distinct one of a worker once; any other text is aligned whole, block
 by block of about `BLOCK` bytes between two cuts.
 
@@ -258,7 +258,8 @@ class Aligner:
 
     def digests(self, texts: list[str | None]) -> list[tuple[str, bytes, int]]:
         """(sha256 of the groups or '', links as little-endian 32-bit b << 16 | a, packed counts) of each text."""
-        cut = [(" " + t).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:] if t and self.a.plain(t) else None for t in texts]
+        plain = self.a.plains([t or "" for t in texts])
+        cut = [(" " + t).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:] if t and ok else None for t, ok in zip(texts, plain, strict=True)]
         self._learn({c for x in cut if x is not None for c in x})
         out: list[tuple[str, bytes, int]] = [("", b"", 0)] * len(texts)
         get = self.known.__getitem__

@@ -63,3 +63,29 @@ def test_words_that_differ_in_their_last_punctuation_are_encoded_once():
     assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
     lines = "\n".join(asked).split("\n")
     assert len(lines) == len(set(lines)) and sum(x.startswith("Tonesque") for x in lines) == 5  # alone, with 's, -x, 1. and 1
+
+
+class _Counted(dict):
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_a_chunk_is_looked_up_once_for_all_its_occurrences():
+    t, e = _library(), tokenfiles.Encoder(PATH)
+    e.known = _Counted(e.fixed)
+    texts = [f"one two{m} three,\nfour and one two{m}" * 50 + " end" for m in ("", ".", "***", "!?")] * 5
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert e.known.asked < 40  # of over 4000 chunks
+    assert not {" two.", " two***", " two!?"} & set(e.known)  # the word is kept once, apart from what ends it
+
+
+def test_cuts_keep_to_texts_and_to_letters():
+    t, e = _library(), tokenfiles.Encoder(PATH)
+    edges = ["", ".", "a", "a.", ".a", "..", "a'", "s b", "'s b", "é.", "×.", "÷...", "é", "漢。", "漢.", "x1.", "a.b.", "_", "a_ _b", "\n", "a.\nb", "ñ***\nñ", "\0", "a\0b", "\xa0", "a　b", "<|", "|>", "a <|endoftext|>"]
+    for texts in (edges, edges[::-1], [], ["", ""], *([x] for x in edges), *([x, y] for x in edges for y in edges)):
+        assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert e.plains(["a b\nc", "", "᠎", "a\n\nb"]) == [True] * 4
+    assert not any(e.plains([" a", "a ", "a\n", "a  b", "a \nb", "a\n b", "a\n\n\nb", "a\tb", "a\x1cb", "a\x85b", "a b", "a\0b", "<|endoftext|>"]))
